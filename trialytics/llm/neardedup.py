@@ -9,9 +9,11 @@ Every link is then confirmed on the full sets, as 100 * intersection >= percent
 
 No bucket is expanded into pairs. Equal sets are one class. Each member of a bucket is
 compared with one hub, chosen anew in every round; confirmed links join documents into
-components. What remains of a bucket are members of different components, and only those go
-on: after `rounds` hubs, members of different components of a bucket meet each other, if their
-odd sketches allow a link. So a group of near copies costs a few comparisons a document.
+components. After `rounds` hubs only buckets with members of several components go on: their
+members outside the bucket's main component are gathered, by main component, in blocks of 64,
+and the bucket's members stream past each block, which a task holds in memory; it yields the
+links only. So a group of near copies costs a few comparisons a document, and what can't be
+told apart by hubs is compared block against stream, never as rows of pairs.
 
 Components come from repeated minima over links with pointer jumping. Each round is written to
 the shared folder, so that plans stay small and lost executors cost one round at most.
@@ -150,6 +152,55 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+def compare_blocks(open_rows: DataFrame, sketched: DataFrame, texts: DataFrame, words: int, percent: int, most: int, block: int = 64, stretch: int = 2048) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket. open_rows: bucket, id, component."""
+    spark = open_rows.sparkSession
+    sizes = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main"))
+    placed = cut(open_rows.join(mains, "bucket").select("main", "id", "component").distinct(), "open")
+    # blocks of members outside the main component; stretches of the stream of all members
+    counts = placed.groupBy("main").agg(F.ceil(F.sum((F.col("component") != F.col("main")).cast("long")) / block).alias("blocks"), F.ceil(F.count("*") / stretch).alias("stretches"))
+    sized = placed.join(counts, "main")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    held = sized.where("component <> main").select("main", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(upto("stretches")).alias("stretch"), F.lit(False).alias("streams"), "id", "component")
+    passing = sized.select("main", F.explode(upto("blocks")).alias("block"), F.pmod(F.hash("id"), "stretches").alias("stretch"), F.lit(True).alias("streams"), "id", "component")
+    rows = held.unionByName(passing).join(sketched, "id").join(texts, "id").select("main", "block", "stretch", "streams", "id", "component", "odd", "text")
+    kind = open_rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, group, ids, parts, odds, own = ShingleSets(words), None, [], [], [], []
+        for batch in batches:
+            found = []
+            for main, number, stretch_no, streams, doc_id, component, odd, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (main, number, stretch_no):
+                    group, ids, parts, odds, own = (main, number, stretch_no), [], [], [], []
+                if not streams:
+                    ids.append(doc_id)
+                    parts.append(component)
+                    odds.append(odd)
+                    own.append(sets.of(text))
+                    continue
+                if not ids:
+                    continue
+                bits = np.bitwise_count(np.array(odds, dtype=np.int64) ^ np.array(odd, dtype=np.int64)).sum(axis=1)
+                mine = None
+                for at in np.flatnonzero(bits <= most).tolist():
+                    if parts[at] != component:
+                        mine = sets.of(text) if mine is None else mine
+                        other = own[at]
+                        if 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
+                            continue
+                        common = len(np.intersect1d(mine, other, assume_unique=True))
+                        if 100 * common >= percent * (len(mine) + len(other) - common):
+                            found.append((ids[at], doc_id))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(4).type) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parallel, "main", "block", "stretch").sortWithinPartitions("main", "block", "stretch", "streams", "id").mapInArrow(run, schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of all ids in links (a, b)."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -205,26 +256,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         several = known.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("bucket")
         return known.join(several, "bucket", "left_semi")
 
-    for number in range(rounds + 1):
+    for number in range(rounds):
         rows_now = open_buckets()
-        if number < rounds:
-            place = F.struct((F.col("id") if number == 0 else F.xxhash64(F.col("id"), F.lit(number))).alias("order"), F.col("id").alias("id"), F.col("component").alias("component"))
-            hubs = rows_now.groupBy("bucket").agg(F.min(place).alias("hub"))
-            met = rows_now.join(hubs, "bucket").where("component <> hub.component")
-            pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
-        else:
-            one, two = (rows_now.select("bucket", F.col("id").alias(n), F.col("component").alias(f"component_{n}")) for n in "ab")
-            pairs = one.join(two, "bucket").where("a < b and component_a <> component_b").select("a", "b")
-        pairs = possible(pairs)
+        place = F.struct((F.col("id") if number == 0 else F.xxhash64(F.col("id"), F.lit(number))).alias("order"), F.col("id").alias("id"), F.col("component").alias("component"))
+        hubs = rows_now.groupBy("bucket").agg(F.min(place).alias("hub"))
+        met = rows_now.join(hubs, "bucket").where("component <> hub.component")
+        pairs = possible(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
         if number == 0:  # at first each document meets only the likeliest of its hubs
             pairs = pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where("best = 1")
         pairs = cut(pairs.select("a", "b"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if number and pairs.isEmpty():
-            continue
-        found = cut(confirm(pairs, texts, words, percent), "confirmed")
-        links = cut(links.unionByName(found), "links")
+        links = cut(links.unionByName(confirm(pairs, texts, words, percent)), "links")
         labels = components(links)
+    left = cut(open_buckets().select("bucket", "id", "component"), "open-buckets")
+    links = cut(links.unionByName(compare_blocks(left, sketched, texts, words, percent, most).distinct()), "links")
+    labels = components(links)
 
     grouped = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     placed = sketches.select("id", "n_shingles", "digest").join(grouped, "digest", "left")
