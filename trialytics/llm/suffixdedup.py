@@ -116,7 +116,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), dtype=np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(lasts))], names=found.names)
 
     segments = cut(docs.mapInArrow(find, found), "segments")
-    counted = segments.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("mixed")).where("n > 1").drop("n")
+    # written, so that the join below stands on plain exchanges, whose large partitions Spark can split
+    counted = cut(segments.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("mixed")).where("n > 1").drop("n"), "counted")
     repeated = cut(segments.join(counted, "anchor"), "repeated")
     equal = repeated.where("not mixed").select("id", "key", "first", "last")
     mixed = repeated.where("mixed")
@@ -125,8 +126,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
     kinds = cut(kinds.join(crowds, "anchor"), "kinds")
     copied = mixed.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("id", "key", "first", "last")
 
-    total = kinds.select(F.sum(F.expr(f"at.last - at.first + {length}")), F.sum(F.col("crowded").cast("long"))).head()
-    shards = max(1, (total[0] or 0) // shard_bytes)
+    total = kinds.select(F.sum(F.expr(f"at.last - at.first + {length}"))).head()[0] or 0
+    shards = max(1, total // shard_bytes)
     listed = kinds.groupBy(F.col("at.id").alias("id"), F.col("at.key").alias("key")).agg(F.collect_list(F.struct(F.pmod("anchor", F.lit(shards)).alias("shard"), F.col("at.first").alias("first"), F.col("at.last").alias("last"), (F.col("n") == 1).alias("open"), "crowded")).alias("parts"))
     fetched = T.StructType([T.StructField("shard", T.LongType()), *own, *whole("first", "last"), T.StructField("open", T.BooleanType()), T.StructField("data", T.BinaryType())])
 
@@ -146,10 +147,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
 
     same = F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))
     joined = docs.alias("d").join(listed.alias("l"), same).select("d.id", "d.key", "d.text", "l.parts")
-    pieces = joined.mapInArrow(fetch, fetched)
-    crowded = bool(total[1])
-    if crowded:
-        pieces = cut(pieces, "pieces")
+    pieces = cut(joined.mapInArrow(fetch, fetched), "pieces")
     ranges = T.StructType([*own, *whole("first", "last")])
     scratch = shared_folder(spark, "suffix-queues")
 
@@ -184,12 +182,10 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
 
     parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     settled = pieces.where("shard is not null").repartition(int(parts), "shard").sortWithinPartitions("shard").mapInArrow(settle, ranges)
-    out = equal.unionByName(copied).unionByName(settled)
-    if crowded:
-        windows = pieces.where("shard is null")
-        often = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
-        out = out.unionByName(windows.where("open").join(often, "data", "left_semi").select("id", "key", "first", "last"))
-    return out
+    windows = pieces.where("shard is null")
+    often = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
+    counted_windows = windows.where("open").join(often, "data", "left_semi").select("id", "key", "first", "last")
+    return equal.unionByName(copied).unionByName(settled).unionByName(counted_windows)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, **options) -> DataFrame:
