@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("true", "yes", "1", "pass", "passed", "success")
 FALSE_WORDS = ("false", "no", "0", "fail", "failed", "error")
 PASSED_WORDS = ("pass", "passed", "success", "successful", "ok", "complete", "completed")
-FAILED_WORDS = ("fail", "failed", "failure", "error")
-SKIPPED_WORDS = ("skip", "skipped")
-NOT_RECORDED_WORDS = ("not_recorded", "missing", "none")
+FAILED_WORDS = ("fail", "failed", "failure", "error", "timed_out", "timeout", "hung")
+SKIPPED_WORDS = ("skip", "skipped", "not_run", "not_executed")
+UNKNOWN_WORDS = ("unknown", "pending", "ready", "disabled")
 
 
 def _c(x: Column | str) -> Column:
@@ -57,13 +57,13 @@ def coerce_float(x: Column | str) -> Column:
 
 
 def normalize_status(x: Column | str) -> Column:
-    """passed, failed, skipped or not_recorded; null for an unknown word."""
+    """passed, failed, skipped or unknown; null for any other word. Booleans count as passed and failed."""
     word = F.regexp_replace(F.lower(F.trim(_c(x).cast("string"))), " ", "_")
     return (
         F.when(word.isin("true", *PASSED_WORDS), "passed")
         .when(word.isin("false", *FAILED_WORDS), "failed")
         .when(word.isin(*SKIPPED_WORDS), "skipped")
-        .when(word.isin(*NOT_RECORDED_WORDS), "not_recorded")
+        .when(word.isin(*UNKNOWN_WORDS), "unknown")
     )
 
 

@@ -43,14 +43,19 @@ def strip_marks(x: Column | str) -> Column:
 
 def source_paths(x: Column | str) -> Column:
     """Distinct relative source paths, in order."""
-    pattern = r"(?<![\w./-])(?:[\w.-]+/)+[\w.-]+\.(?:" + "|".join(SOURCE_SUFFIXES) + r")(?![\w])"
+    letter = "[A-Za-z0-9_.-]"
+    pattern = rf"(?<!{letter}){letter}+(?:/{letter}+)+\.(?:{'|'.join(SOURCE_SUFFIXES)})(?!{letter})"
     return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(0)))
 
 
-def repeated_count(x: Column | str) -> Column:
-    """N of 'N/N' or of 'N of N' (both numbers the same), the first form first."""
-    one, two = (F.regexp_extract(_c(x), p, 1) for p in (r"\b(\d+)\s*/\s*\1\b", r"\b(\d+) of \1\b"))
-    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit(""))).try_cast("bigint")
+# Ways to write a full test count, in order.
+FULL_COUNTS = (r"全GoogleTest[^\n]*?(\d+)\s*/\s*\1", r"CTest[^\n]*?(\d+)\s*/\s*\1", r"全(\d+)件")
+
+
+def repeated_count(x: Column | str, patterns: Sequence[str] = FULL_COUNTS) -> Column:
+    """The count by the first pattern that matches; a back-reference asks for the same number twice."""
+    found = (F.nullif(F.regexp_extract(_c(x), "(?iu)" + p, 1), F.lit("")) for p in patterns)
+    return F.coalesce(*found).try_cast("bigint")
 
 
 def last_match(x: Column | str, pattern: str, group: int = 1) -> Column:
@@ -60,13 +65,12 @@ def last_match(x: Column | str, pattern: str, group: int = 1) -> Column:
 def gtest_counts(x: Column | str) -> Column:
     """struct(ran, passed, failed) by the last summary lines; failed is 0 where nothing failed."""
     number = lambda p: last_match(x, p).try_cast("bigint")
-    ran = number(r"\[==========\]\s+(\d+)\s+tests? from[^\n]*ran")
-    return F.struct(F.coalesce(ran, number(r"\[==========\]\s+(\d+)\s+tests? from")).alias("ran"), number(r"\[  PASSED  \]\s+(\d+)\s+tests?").alias("passed"), F.coalesce(number(r"\[  FAILED  \]\s+(\d+)\s+tests?"), F.lit(0).cast("bigint")).alias("failed"))
+    return F.struct(number(r"\[==========\]\s+(\d+)\s+tests?\s+from").alias("ran"), number(r"\[\s*PASSED\s*\]\s+(\d+)\s+tests?").alias("passed"), F.coalesce(number(r"\[\s*FAILED\s*\]\s+(\d+)\s+tests?"), F.lit(0).cast("bigint")).alias("failed"))
 
 
 def ctest_counts(x: Column | str) -> Column:
     """struct(ran, passed, failed) of 'P% tests passed, F tests failed out of T'."""
-    pattern = r"\d+% tests passed, (\d+) tests? failed out of (\d+)"
+    pattern = r"\d+%\s+tests\s+passed,\s+(\d+)\s+tests\s+failed\s+out\s+of\s+(\d+)"
     failed, ran = (F.nullif(F.regexp_extract(_c(x), pattern, g), F.lit("")).try_cast("bigint") for g in (1, 2))
     return F.struct(ran.alias("ran"), (ran - failed).alias("passed"), failed.alias("failed"))
 

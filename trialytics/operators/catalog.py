@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialytics.functions.coerce import nonempty
-from trialytics.functions.text import is_separator, markdown_cells
+from trialytics.functions.text import LINE_END, is_separator, markdown_cells
 
 
 def fold_first(df: DataFrame, key: str, order: str, fields: Sequence[str]) -> DataFrame:
@@ -24,31 +24,29 @@ def fold_notes(df: DataFrame, key: str, order: str, note: str) -> DataFrame:
 
 
 def table_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, table_no, row_no, header, cells of all Markdown tables: a header, a separator under it, rows until the width changes.
+    """key, table_no, row_no, header, cells of all Markdown tables.
 
-    Lines are numbered, runs of lines with cells are islands, and an island's first separator
-    fixes header and width; everything stays within a document.
+    Neighbouring lines with equally many cells form a run. The first separator of a run that
+    isn't its first line makes a table of it: the line before is the header, all lines after
+    are rows. Lines are numbered and runs found within a document.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line_no", "line")).withColumn("cells", markdown_cells("line")).where("cells is not null")
+    lines = docs.select(key, F.posexplode(F.split(F.col(text), LINE_END)).alias("line_no", "line")).withColumn("cells", markdown_cells("line")).where("cells is not null").withColumn("width", F.size("cells"))
     by_doc = Window.partitionBy(key).orderBy("line_no")
-    lines = lines.withColumn("island", F.col("line_no") - F.row_number().over(by_doc))
-    here = Window.partitionBy(key, "island").orderBy("line_no")
-    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sep = is_separator("cells")
-    lines = lines.withColumns({"before": F.lag("cells").over(here), "sep": sep}).withColumn("opens", F.col("sep") & F.col("before").isNotNull() & (F.size("before") == F.size("cells")) & ~is_separator("before"))
-    lines = lines.withColumn("table", F.sum(F.col("opens").cast("int")).over(so_far)).where("table > 0")
-    inner = Window.partitionBy(key, "island", "table").orderBy("line_no")
-    within = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    next_opens = F.lead("opens").over(here)
-    lines = lines.withColumns({"header": F.first("before").over(within), "heads_next": F.coalesce(next_opens, F.lit(False))}).where(~F.col("opens"))
-    lines = lines.withColumn("broken", F.max((F.col("heads_next") | (F.size("cells") != F.size("header"))).cast("int")).over(within)).where("broken = 0")
-    numbered = lines.withColumns({"table_no": F.dense_rank().over(Window.partitionBy(key).orderBy("island", "table")), "row_no": F.row_number().over(inner)})
+    joins = (F.lag("line_no").over(by_doc) == F.col("line_no") - 1) & (F.lag("width").over(by_doc) == F.col("width"))
+    runs = lines.withColumn("starts", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("starts").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy(key, "run")
+    opened = runs.withColumn("rule", F.min(F.when(is_separator("cells") & (F.col("starts") == 0), F.col("line_no"))).over(run))
+    headed = opened.withColumn("header", F.max(F.when(F.col("line_no") == F.col("rule") - 1, F.col("cells"))).over(run)).where("line_no > rule")
+    numbered = headed.withColumns({"table_no": F.dense_rank().over(Window.partitionBy(key).orderBy("run")), "row_no": F.row_number().over(run.orderBy("line_no"))})
     return numbered.select(key, "table_no", "row_no", "header", "cells")
 
 
-def normalize_granularity(granularity: Column, repository: Column) -> Column:
-    text = F.lower(F.coalesce(granularity, F.lit("")))
-    return F.when(text.contains("class"), "class_span").when(text.contains("module") | text.contains("file"), "module_files").when(text.contains("function"), "function").when(repository.contains("ini"), "class_span").otherwise(F.nullif(text, F.lit("")))
+def normalize_granularity(granularity: Column, repository: Column, name: Column) -> Column:
+    """Granularity names by repository; others stay as they are."""
+    text = F.lower(granularity)
+    web = F.when(text.contains("module"), "module_files").when(text.contains("class"), "class_span")
+    ini = F.when(text.contains("class") | name.isin("INIReader", "INIWriter"), "class_span")
+    return F.coalesce(F.when(repository == "Echo-Web-Server", web).when(repository == "ini-cpp", ini), granularity)
 
 
 def missing_fields(fields: Sequence[tuple[str, Column]]) -> Column:

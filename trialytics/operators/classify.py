@@ -11,13 +11,13 @@ from trialytics.functions.text import first_error_line
 
 # Patterns over lower-cased compiler output, in order of precedence.
 BUILD_RULES = (
-    ("syntax_error", r"expected .* (before|at|after)|syntax error|stray|unterminated|expected (unqualified-id|primary-expression|declaration)|missing terminating"),
-    ("duplicate_definition", r"redefinition|multiple definition|duplicate|redeclar"),
-    ("missing_definition_or_dependency", r"undefined reference|not declared|no such file|does not name a type|has not been declared|incomplete type|unresolved|cannot find"),
-    ("type_interface_misunderstanding", r"no match|cannot convert|invalid conversion|no member|has no member|no matching|candidate|private within|invalid use|cannot bind|override|does not override"),
+    ("syntax_error", r"stray .* in program|expected .* before|expected .* after|expected primary-expression|expected declaration|unterminated|syntax error"),
+    ("duplicate_definition", r"redefinition|multiple definition"),
+    ("missing_definition_or_dependency", r"undefined reference|no such file or directory|cannot find -l|has not been declared|was not declared in this scope|not declared in this scope|not found"),
+    ("type_interface_misunderstanding", r"request for member.*non-class type|has no member|no member named|no matching function|cannot convert|invalid conversion|conflicting types|invalid use of|incomplete type|no declaration matches"),
     ("timeout_or_hang", r"timed out|timeout|killed|terminated|hang"),
 )
-ERROR_LINES = (r"(?:fatal )?error:", r"error|undefined reference|failed")
+ERROR_LINES = (r"fatal error|error:|undefined reference|Assertion.*failed|FAILED|Traceback", r"timed out|timeout|hung|killed|terminated")
 LABELS = ("none", "timeout_or_hang", "output_truncation", "output_format_or_pipeline", "configure_failure", *(c for c, _ in BUILD_RULES[:4]), "build_failure_other", "direct_test_failure", "full_test_failure", "unknown_failure")
 
 
@@ -28,12 +28,13 @@ def build_category(text: Column) -> Column:
     return out
 
 
-def classify(row: Mapping[str, Column], order: tuple[str, ...], log: Column) -> Column:
+def classify(row: Mapping[str, Column], order: tuple[str, ...], log: Column, stopped: Column | None = None) -> Column:
     """struct(stage, category, detail) of a record.
 
     row: overall_pass, design_reason, code_reason, failure_present, failure_stage,
     failure_message, detail, and for each stage of order <stage>_status, <stage>_timed_out,
-    <stage>_exit, <stage>_ran. log: the failing stage's text.
+    <stage>_exit, <stage>_ran. log: the failing stage's text. stopped: the category of a direct
+    test that was stopped from outside before it counted anything (null: timeout_or_hang).
     """
     error = F.nullif(first_error_line(log, ERROR_LINES), F.lit(""))
     result = lambda stage, category, detail: F.struct(stage.alias("stage"), F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"), detail.alias("detail"))
@@ -51,7 +52,7 @@ def classify(row: Mapping[str, Column], order: tuple[str, ...], log: Column) ->
         .when(row["failure_present"], result(F.coalesce(row["failure_stage"], F.lit("pipeline")), F.when(message.rlike("(?i)length|truncat|token limit|incomplete"), "output_truncation").otherwise("output_format_or_pipeline"), F.left(message, F.lit(500))))
         .when(failed("configure"), result(F.lit("configure"), "configure_failure", error))
         .when(failed("build"), result(F.lit("build"), build_category(text), error))
-        .when(failed("direct_test"), result(F.lit("direct_test"), F.when(F.coalesce(hung, F.lit(False)), "timeout_or_hang").otherwise("direct_test_failure"), error))
+        .when(failed("direct_test"), result(F.lit("direct_test"), F.when(F.coalesce(hung, F.lit(False)), F.lit("timeout_or_hang") if stopped is None else F.coalesce(stopped, F.lit("timeout_or_hang"))).otherwise("direct_test_failure"), error))
         .when(failed("full_test"), result(F.lit("full_test"), "full_test_failure", error))
         .otherwise(result(F.coalesce(row["failure_stage"], F.lit("unknown")), F.when(F.coalesce(row["detail"], F.lit("")).rlike("(?i)timeout|hung|stopp"), "timeout_or_hang").otherwise("unknown_failure"), row["detail"]))
     )

@@ -265,7 +265,7 @@ def merge_notes(t):
 
 @query("""WITH w AS (SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN ' Yes' WHEN 1 THEN 'FAILED' WHEN 2 THEN '1' WHEN 3 THEN '0' WHEN 4 THEN 'maybe' WHEN 5 THEN '' WHEN 6 THEN 'Success ' ELSE NULL END AS s FROM orders)
 SELECT o_orderkey, CASE WHEN lower(trim(s)) IN ('true','yes','1','pass','passed','success') THEN true WHEN lower(trim(s)) IN ('false','no','0','fail','failed','error') THEN false END AS b,
-CASE WHEN lower(trim(s)) IN ('pass','passed','success','true') THEN 'passed' WHEN lower(trim(s)) IN ('fail','failed','error','false') THEN 'failed' END AS status FROM w""")
+CASE WHEN lower(trim(s)) IN ('pass','passed','success','true') THEN 'passed' WHEN lower(trim(s)) IN ('fail','failed','failure','error','false') THEN 'failed' END AS status FROM w""")
 def coerce_bool(t):
     words = F.element_at(F.array(*map(F.lit, (" Yes", "FAILED", "1", "0", "maybe", "", "Success ", None))), (c("o_orderkey") % 8).cast("int") + 1)
     return t.orders.select("o_orderkey", coerce.coerce_bool(words).alias("b"), coerce.normalize_status(words).alias("status"))
@@ -317,14 +317,18 @@ def first_error_line(t):
     return t.documents.select("doc_id", text.first_error_line("text", ["licensed under", "token|@"]).alias("line"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, lower(text) AS t, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
-SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN NULL WHEN n_chars > 20000 THEN 'design_generation' WHEN regexp_matches(t, 'licen') THEN 'configure' WHEN doc_id % 3 = 0 THEN 'build' WHEN doc_id % 3 = 1 THEN 'direct_test' ELSE 'unknown' END AS stage,
-CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN n_chars > 20000 THEN 'timeout_or_hang' WHEN regexp_matches(t, 'licen') THEN 'configure_failure' WHEN doc_id % 3 = 0 THEN
- CASE WHEN regexp_matches(b, 'expected .* (before|at|after)|syntax error|stray|unterminated|expected (unqualified-id|primary-expression|declaration)|missing terminating') THEN 'syntax_error' WHEN regexp_matches(b, 'redefinition|multiple definition|duplicate|redeclar') THEN 'duplicate_definition'
- WHEN regexp_matches(b, 'undefined reference|not declared|no such file|does not name a type|has not been declared|incomplete type|unresolved|cannot find') THEN 'missing_definition_or_dependency'
- WHEN regexp_matches(b, 'no match|cannot convert|invalid conversion|no member|has no member|no matching|candidate|private within|invalid use|cannot bind|override|does not override') THEN 'type_interface_misunderstanding' WHEN regexp_matches(b, 'timed out|timeout|killed|terminated|hang') THEN 'timeout_or_hang' ELSE 'build_failure_other' END
+def build_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{k}'" for k, p in classify.BUILD_RULES) + " ELSE 'build_failure_other' END"
+
+
+ERROR_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?im)^.*(?:{p}).*$'), '')" for p in classify.ERROR_LINES) + ")"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, text, n_chars, quality, toxic, nullif(left(trim(regexp_replace({ERROR_SQL}, '[ \t\n\x0B\f\r]+', ' ', 'g')), 500), '') AS e FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN NULL WHEN n_chars > 20000 THEN 'design_generation' WHEN contains(lower(text), 'licen') THEN 'configure' WHEN doc_id % 3 = 0 THEN 'build' WHEN doc_id % 3 = 1 THEN 'direct_test' ELSE 'unknown' END AS stage,
+CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN n_chars > 20000 THEN 'timeout_or_hang' WHEN contains(lower(text), 'licen') THEN 'configure_failure' WHEN doc_id % 3 = 0 THEN {build_sql("lower(coalesce(e, left(text, 5000)))")}
  WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'timeout_or_hang' ELSE 'direct_test_failure' END ELSE 'unknown_failure' END AS category
-FROM (SELECT *, coalesce(nullif(left(trim(regexp_replace(coalesce(nullif(regexp_extract(t, '(?m)^.*(?:(?:fatal )?error:).*$'), ''), nullif(regexp_extract(t, '(?m)^.*(?:error|undefined reference|failed).*$'), '')), '[ \t\n\x0B\f\r]+', ' ', 'g')), 500), ''), left(t, 5000)) AS b FROM s)""")
+FROM s""")
 def failure_classifier(t):
     rows = t.documents.join(t.labels, "doc_id", "left")
     none, doc = F.lit(None).cast("string"), c("doc_id")
@@ -368,7 +372,7 @@ def source_paths(t):
 @query()
 def backref_counts(t):
     k = (c("o_orderkey") % 60).cast("string")
-    return t.orders.select("o_orderkey", text.repeated_count(F.concat(F.lit("ran "), k, F.lit("/63, then "), k, F.lit("/"), k)).alias("n"))
+    return t.orders.select("o_orderkey", text.repeated_count(F.concat(F.lit("CTest "), k, F.lit("/63, then "), k, F.lit("/"), k)).alias("n"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)

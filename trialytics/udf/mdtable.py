@@ -18,21 +18,20 @@ def cells_of(line: str) -> list[str] | None:
 
 def tables(text: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
     """(table_no, row_no, header, cells), numbers from 1."""
-    rows = [cells_of(line) for line in text.split("\n")]
-    separates = lambda r: bool(r) and all(SEPARATOR.fullmatch(c) for c in r)
-    at = number = 0
-    while at + 1 < len(rows):
-        header, under = rows[at], rows[at + 1]
-        at += 1
-        if header and not separates(header) and separates(under) and len(header) == len(under):
-            number, row = number + 1, 0
-            at += 1
-            while at < len(rows) and rows[at] and len(rows[at]) == len(header):
-                if at + 1 < len(rows) and separates(rows[at + 1]) and len(rows[at + 1]) == len(header) and not separates(rows[at]):
-                    break
-                row += 1
-                yield number, row, header, rows[at]
-                at += 1
+    number, run = 0, []
+
+    def table() -> list[tuple[list[str], list[str]]]:
+        rule = next((i for i in range(1, len(run)) if all(SEPARATOR.fullmatch(c) for c in run[i])), len(run))
+        return [(run[rule - 1], cells) for cells in run[rule + 1 :]]
+
+    for cells in [*map(cells_of, text.splitlines()), None]:
+        if run and (cells is None or len(cells) != len(run[0])):
+            found = table()
+            number += bool(found)
+            yield from ((number, i, header, row) for i, (header, row) in enumerate(found, 1))
+            run = []
+        if cells is not None:
+            run.append(cells)
 
 
 ROWS = T.StructType([T.StructField("table_no", T.IntegerType()), T.StructField("row_no", T.IntegerType()), T.StructField("header", T.ArrayType(T.StringType())), T.StructField("cells", T.ArrayType(T.StringType()))])
