@@ -17,7 +17,7 @@ Repeated rows get the same score each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -81,62 +81,84 @@ class BagModel:
         return float(-np.expm1(-np.logaddexp(0, z).sum())), found
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0.25, l1: float = 1.5e-3, l2: float = 1e-5, least: int = 5, floor: float = 0.3) -> BagModel:
+def fit(texts: Iterable[str], labels: list[int], steps: int = 150, rate: float = 0.25, l1: float = 1.5e-3, l2: float = 1e-5, least: int = 5, floor: float = 0.3) -> BagModel:
     """Maximum likelihood of the labels under the noisy-or, by proximal Adam steps.
 
-    A first descent under an L1 penalty picks the words (of those in `least` documents or more,
-    those whose weight leaves +-floor); a second, all but free, sets their weights.
+    A first descent under an L1 penalty picks the features (of those in `least` documents or
+    more, those whose weight leaves +-floor); a second, all but free, sets their weights. Words
+    are numbered and kept in flat arrays: a word of a sentence takes eight bytes.
     """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return BagModel({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] for t in texts]
-    parts: dict[str, set[str]] = {}
-    for w in set().union(*(s for b in bags for s in b)):
-        parts[w] = features(w)
-    seen = Counter(f for b in bags for f in set().union(*(parts[w] for w in set().union(*b))))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least))}
-    word, sentence, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [vocabulary[f] for w in s for f in parts[w] if f in vocabulary]
-            word += ids
-            sentence += [len(doc)] * len(ids)
-            doc.append(d)
-    word, sentence, doc = np.array(word, dtype=np.int64), np.array(sentence, dtype=np.int64), np.array(doc, dtype=np.int64)
-    words, count = sorted(vocabulary, key=vocabulary.get), len(doc)
+    numbers: dict[str, int] = {}
+    words, sizes, docs = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in SENTENCE.findall(text.lower()):
+            ids = {numbers.setdefault(w, len(numbers)) for w in WORD.findall(s)}
+            words.extend(sorted(ids))
+            sizes.append(len(ids))
+            docs.append(d)
+    word, doc = np.array(words, dtype=np.int32), np.array(docs, dtype=np.int32)
+    sentence = np.repeat(np.arange(len(doc), dtype=np.int32), np.array(sizes, dtype=np.int32))
+    names: dict[str, int] = {}
+    of_word, feature = array("i"), array("i")
+    for w, number in numbers.items():
+        for f in sorted(features(w)):
+            of_word.append(number)
+            feature.append(names.setdefault(f, len(names)))
+    of_word, feature = np.array(of_word, dtype=np.int32), np.array(feature, dtype=np.int32)
+    # documents that hold a feature: its words' (document, word) pairs, each document once
+    pairs = np.unique(doc[sentence].astype(np.int64) * len(numbers) + word)
+    begin = np.searchsorted(of_word, np.arange(len(numbers) + 1))
+    seen = np.zeros(len(names), dtype=np.int64)
+    for d in range(len(y)):
+        own = pairs[np.searchsorted(pairs, d * len(numbers)) : np.searchsorted(pairs, (d + 1) * len(numbers))] - d * len(numbers)
+        seen[np.unique(feature[_ranges(begin[own], begin[own + 1])])] += 1
+    texts_of = list(names)
+    count = len(doc)
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
-    def descend(word: np.ndarray, sentence: np.ndarray, size: int, l1: float, l2: float) -> np.ndarray:
-        theta, first, second = np.append(np.zeros(size), -4.0), np.zeros(size + 1), np.zeros(size + 1)
+    def descend(kept: np.ndarray, l1: float, l2: float) -> np.ndarray:
+        place = np.full(len(names), -1)
+        place[kept] = np.arange(len(kept))
+        use = place[feature] >= 0
+        left, right = of_word[use], place[feature[use]]
+        theta, first, second = np.append(np.zeros(len(kept)), -4.0), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
         for step in range(1, steps + 1):
-            z = theta[-1] + np.bincount(sentence, theta[word], count)
+            of_words = np.bincount(left, theta[right], len(numbers))
+            z = theta[-1] + np.bincount(sentence, of_words[word], count)
             total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(y)), 1e-9)
             slope = share * np.where(y > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)  # of the loss in the total
             at_z = slope[doc] / (1 + np.exp(-z))
-            grad = np.append(np.bincount(word, at_z[sentence], size) + l2 * theta[:-1], at_z.sum())
+            by_word = np.bincount(word, at_z[sentence], len(numbers))
+            grad = np.append(np.bincount(right, by_word[left], len(kept)) + l2 * theta[:-1], at_z.sum())
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
             pace = rate * (1.05 - step / steps) / (np.sqrt(second / (1 - 0.99**step)) + 1e-4)
             theta = theta - pace * first / (1 - 0.9**step)
             theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - (pace * l1)[:-1], 0)
         return theta
 
-    picked = np.flatnonzero(np.abs(descend(word, sentence, len(words), l1, 0.0)[:-1]) > floor)
-    place = np.full(len(words) + 1, -1)
-    place[picked] = np.arange(len(picked))
-    stays = place[word] >= 0
-    theta = descend(place[word[stays]], sentence[stays], len(picked), 0.0, l2)
-    return BagModel({words[i]: float(w) for i, w in zip(picked.tolist(), theta, strict=False)}, float(theta[-1]))
+    known = np.flatnonzero(seen >= least)
+    picked = known[np.abs(descend(known, l1, 0.0)[:-1]) > floor]
+    theta = descend(picked, 0.0, l2)
+    return BagModel({texts_of[i]: float(w) for i, w in zip(picked.tolist(), theta, strict=False)}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> BagModel:
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0], ..., end[0] - 1, begin[1], ... as one array."""
+    size = end - begin
+    return np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> BagModel:
     """Fit on at most per_class documents of each class, of the labelled ids for which learn_from (over id_col) holds."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn_from).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     known = known.select(id_col, "_label", F.xxhash64(id_col).alias("_order"))
     picked = known.where("_label = 1").orderBy("_order", id_col).limit(per_class).unionByName(known.where("_label = 0").orderBy("_order", id_col).limit(per_class))
     # at most 2 * per_class ids, so the broadcast is bounded
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("_order", id_col, text_col, "_label").toPandas().sort_values(["_order", id_col, text_col], na_position="first")
-    return fit([t or "" for t in rows[text_col]], rows["_label"].tolist(), **options)
+    return fit((t or "" for t in rows[text_col]), rows["_label"].tolist(), **options)
 
 
 def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, worst: int = 3) -> DataFrame:
