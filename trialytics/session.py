@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+#: Rows of an Arrow batch at most: with texts of a few kB a batch stays in the tens of MB.
+BATCH_ROWS = 1000
+
 #: Settings that change results or plans; everything else is left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,7 +32,10 @@ def build(app: str = "trialytics", master: str | None = None, **conf: str) -> Sp
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the same path as the driver (a no-op if they can already)."""
+    """Let Python workers import this package from the same path as the driver, and keep their Arrow batches small."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if ROOT not in sys.path:
         sys.path.insert(0, ROOT)
     environment = spark.sparkContext.environment
