@@ -46,7 +46,7 @@ SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 class ShingleSets:
     """64-bit hashes of the distinct word shingles of texts; ASCII letters count as lower case, ASCII white space separates."""
 
-    def __init__(self, words: int, room: int = 1_000_000):
+    def __init__(self, words: int, room: int = 300_000):
         self.words, self.room, self.known = words, room, {}
 
     def of(self, text: str | None) -> np.ndarray:

@@ -109,7 +109,7 @@ class LongestMatch:
         return total
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 300_000) -> DataFrame:
     """id, n_words, n_tokens of each row; nothing is shuffled."""
     prepare(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])

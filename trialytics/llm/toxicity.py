@@ -46,7 +46,7 @@ class BagModel:
     weights: dict[str, float]
     bias: float
     constant: float | None = None
-    room: int = 500_000
+    room: int = 200_000
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
