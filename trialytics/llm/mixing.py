@@ -80,7 +80,8 @@ def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -
     sure = np.concatenate([[0.0], np.cumsum(tokens[order])[:-1]])
     rest = np.cumsum((tokens * multiplier)[order][::-1])[::-1]
     scale = np.divide(wanted - sure, rest, out=np.full(len(rest), np.inf), where=rest > 0)
-    fits = np.flatnonzero(scale * multiplier[order] <= 1)
+    # a cell of no weight is never sampled, whatever the scale
+    fits = np.flatnonzero(np.where(multiplier[order] > 0, scale, 0.0) * multiplier[order] <= 1)
     return np.minimum(1.0, multiplier * scale[fits[0]]) if len(fits) else np.ones(len(tokens))
 
 

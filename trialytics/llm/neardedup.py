@@ -183,7 +183,7 @@ def compare_blocks(open_rows: DataFrame, sketched: DataFrame, texts: DataFrame,
                     continue
                 if not ids:
                     continue
-                bits = np.bitwise_count(np.array(odds, dtype=np.int64) ^ np.array(odd, dtype=np.int64)).sum(axis=1)
+                bits = np.bitwise_count((np.array(odds, dtype=np.int64) ^ np.array(odd, dtype=np.int64)).view(np.uint64)).sum(axis=1)
                 mine = None
                 for at in np.flatnonzero(bits <= most).tolist():
                     if parts[at] != component:
