@@ -77,12 +77,12 @@ def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -
     """min(1, scale x multiplier), with the scale for which `fraction` of the tokens is expected."""
     wanted = fraction * tokens.sum()
     order = np.argsort(-multiplier, kind="stable")
-    sure = np.concatenate([[0.0], np.cumsum(tokens[order])[:-1]])
+    order = order[multiplier[order] > 0]  # a cell of no weight is never sampled
+    sure = np.append(0.0, np.cumsum(tokens[order]))[:-1]
     rest = np.cumsum((tokens * multiplier)[order][::-1])[::-1]
-    scale = np.divide(wanted - sure, rest, out=np.full(len(rest), np.inf), where=rest > 0)
-    # a cell of no weight is never sampled, whatever the scale
-    fits = np.flatnonzero(np.where(multiplier[order] > 0, scale, 0.0) * multiplier[order] <= 1)
-    return np.minimum(1.0, multiplier * scale[fits[0]]) if len(fits) else np.ones(len(tokens))
+    scale = (wanted - sure) / rest
+    fits = np.flatnonzero(scale * multiplier[order] <= 1)
+    return np.minimum(1.0, multiplier * scale[fits[0]]) if len(fits) else (multiplier > 0).astype(float)
 
 
 def calibrated(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, max_cells: int = 1_000_000) -> DataFrame:
