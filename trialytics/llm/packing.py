@@ -47,7 +47,7 @@ class ChunkEncoder:
     the tokenizer disagree on what white space is.
     """
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known, self.words = Tokenizer.from_file(path), room, {}, {}
@@ -80,7 +80,10 @@ class ChunkEncoder:
                 self.words[word] = data[start:stop]
                 start = stop
         for chunk, (word, mark) in plain.items():
-            self.known[chunk] = self.words[word] + self.marks[mark] if mark else self.words[word]
+            if mark:
+                self.known[chunk] = self.words[word] + self.marks[mark]
+            else:
+                self.known[chunk] = self.words[word]  # one object for both
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
             for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -106,6 +109,16 @@ class ChunkEncoder:
         return np.array(sorted(i for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")), dtype=np.uint32)
 
 
+#: Encoders by file, kept from task to task in a worker: most words of a task were met before.
+ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = ChunkEncoder(path)
+    return ENCODERS[path]
+
+
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, seq_len: int, sequence_cost: int = 2) -> np.ndarray:
     """Indices of the chosen cuts, first and last included.
 
@@ -223,7 +236,9 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(tokenizer_path)
+        from trialytics.llm import packing  # by name, so that the worker's own module keeps the encoders
+
+        encoder = packing.encoder_of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId(), seq_len, encoder.sentence_ends(), sentence_cut, hard_cut, sequence_cost)
         id_type = None
 

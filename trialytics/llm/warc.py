@@ -136,7 +136,11 @@ def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, samples: i
     """A dictionary from at most `samples` payloads (the first by a hash of their id, 64 KiB of each); empty if there are too few."""
     import zstandard
 
-    rows = pages.select(F.xxhash64(id_col).alias("o"), F.substring(payload_col, 1, 65536).alias("t")).where(F.length("t") > 0).orderBy("o", "t").limit(samples).collect()
+    texts = pages.select(F.xxhash64(id_col).alias("o"), F.substring(payload_col, 1, 65536).alias("t")).where(F.length("t") > 0)
+    # hashes first, so that a task hands over numbers only; then the texts up to the last of them
+    last = texts.select("o").orderBy("o").limit(samples).agg(F.max("o")).head()[0]
+    rows = texts.where(F.col("o") <= F.lit(last)).limit(samples).collect() if last is not None else []
+    rows.sort(key=lambda r: (r["o"], r["t"]))
     try:
         return zstandard.train_dictionary(size, [r["t"].encode() for r in rows]).as_bytes() if len(rows) >= 16 else b""
     except zstandard.ZstdError:
