@@ -47,7 +47,7 @@ class ChunkEncoder:
     the tokenizer disagree on what white space is.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known, self.words = Tokenizer.from_file(path), room, {}, {}
