@@ -25,6 +25,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 
 from trialytics.session import prepare
 
+#: Of the sentence ends within so many tokens the first is a possible cut.
+SPACING = 16
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -59,31 +62,23 @@ class ChunkEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, fresh: set[str]) -> None:
-        plain, other = {}, []
-        for chunk in fresh:
-            low = chunk.lower()
-            word, mark = (low[:-1], low[-1]) if low[-1] in self.marks and len(low) > 1 else (low, "")
-            if word.isalpha() and len(word) < 64 and (word.isascii() or unicodedata.is_normalized("NFC", chunk) and max(word) < "\u0250"):
-                plain[chunk] = (word, mark)
-            else:
-                other.append(chunk)
-        new = list({w for w, _ in plain.values()} - self.words.keys())
+    def learn(self, fresh: list[str]) -> None:
+        marks, words = self.marks, self.words
+        lower = "\n".join(fresh).lower().split("\n")
+        cores = [x[:-1] if x[-1] in marks else x for x in lower]
+        new = [w for w in set(cores).difference(words) if w.isalpha() and len(w) < 64 and (w.isascii() or unicodedata.is_normalized("NFC", w) and max(w) < "\u0250")]
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("the tokenizer doesn't keep words apart")
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.words[word] = data[start:stop]
-                start = stop
-        for chunk, (word, mark) in plain.items():
-            if mark:
-                self.known[chunk] = self.words[word] + self.marks[mark]
-            else:
-                self.known[chunk] = self.words[word]  # one object for both
+            data, stops = ids.tobytes(), [0, *(stops * 4).tolist()]
+            words.update(zip(part, [data[i:j] for i, j in zip(stops, stops[1:], strict=False)], strict=True))
+        # a word's own object where there is no mark, so that both caches share it
+        made = [w if w is None or len(c) == len(x) else w + marks[x[-1]] for w, c, x in zip(map(words.get, cores), cores, lower, strict=True)]
+        self.known.update(zip(fresh, made, strict=True))
+        other = [c for c, m in zip(fresh, made, strict=True) if m is None]
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
             for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -91,15 +86,15 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for cache in (self.known, self.words):
-            if len(cache) > self.room:
-                cache.clear()
+        for name in ("known", "words"):
+            if len(cache := getattr(self, name)) > self.room:  # the oldest quarter stays: what is frequent was met early
+                setattr(self, name, dict(islice(cache.items(), self.room // 4)))
         odd = [any(c in t for c in SEPARATORS) for t in texts]
         chunks = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         fresh: set[str] = set().union(*chunks)
         fresh.difference_update(self.known)
         if fresh:
-            self.learn(fresh)
+            self.learn(list(fresh))
         get = self.known.__getitem__
         return [self.ids(t) if o else b"".join(map(get, x)) for t, o, x in zip(texts, odd, chunks, strict=True)]
 
@@ -172,7 +167,9 @@ class Packer:
 
     def __init__(self, partition: int, seq_len: int, ends: np.ndarray, sentence_cut: int, hard_cut: int, sequence_cost: int):
         self.base, self.made = partition << 33, 0
-        self.seq_len, self.ends, self.sentence_cut, self.hard_cut, self.sequence_cost = seq_len, ends, sentence_cut, hard_cut, sequence_cost
+        self.is_end = np.zeros(1 << 20, dtype=bool)  # by id
+        self.is_end[ends] = True
+        self.seq_len, self.sentence_cut, self.hard_cut, self.sequence_cost = seq_len, sentence_cut, hard_cut, sequence_cost
         self.docs: list[tuple] = []  # id, tokens before this part, all tokens, the part's ids
         self.size = 0
 
@@ -187,7 +184,9 @@ class Packer:
         bounds = np.concatenate([[0], np.cumsum([len(d[3]) for d in self.docs])])
         ids = np.concatenate([d[3] for d in self.docs])
         penalty = np.full(len(ids) + 1, -1, dtype=np.int64)
-        penalty[1:][np.isin(ids, self.ends)] = self.sentence_cut
+        stops = np.flatnonzero(self.is_end[ids]) + 1
+        stops = stops[np.append(True, np.diff(stops // SPACING) > 0)] if len(stops) else stops
+        penalty[stops] = self.sentence_cut
         penalty[bounds] = 0
         places = np.flatnonzero(penalty >= 0)
         stride = self.seq_len // 4
