@@ -31,3 +31,22 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_similarity_pairs_compares_all_neighbours(spark, tmp_path):
+    """Long texts and rows without n_chars are compared too, as the standard library compares them."""
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé,.") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (900, 20, 700, 30, 800)]
+    texts += [texts[-1], texts[-1].replace("a", "b", 40), texts[-1].replace(" ", "\n"), "abc", "", None, "x", texts[0][:4000]]
+    rows = [(i, "en", t, None if i % 3 == 1 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, (x, y) in enumerate(zip(texts, texts[1:], strict=False)):
+        bare = [None if v is None else re.sub(r"\s+", "", v) for v in (x, y)]
+        want.append((i, None, None, None) if x is None or y is None else (i, x == y, bare[0] == bare[1], SequenceMatcher(None, x, y).ratio()))
+    assert sorted(map(tuple, QUERIES["similarity_pairs"](spark, str(tmp_path)).collect())) == want

@@ -451,7 +451,7 @@ def strip_bodies(t):
 
 @query()
 def similarity_pairs(t):
-    a = t.documents.where("n_chars < 3000").select("doc_id", "lang", "text")
+    a = t.documents.select("doc_id", "lang", "text")
     b = a.select((c("doc_id") - 1).alias("doc_id"), c("text").alias("other"))
     rows = a.join(b, "doc_id")
     return rows.select("doc_id", *(v.alias(k) for k, v in similarity.compare(c("text"), c("other")).items()))

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from difflib import Match, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+class Matcher(SequenceMatcher):
+    """The standard library's matcher over two texts, with the same matches: where a letter of a isn't indexed in b (most letters of long texts are too frequent), no match ends, so only the other places are visited."""
+
+    def set_seqs(self, a, b):
+        super().set_seqs(a, b)
+        self.places = [i for i, x in enumerate(a) if x in self.b2j]
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        a, b, b2j = self.a, self.b, self.b2j
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        besti, bestj, bestsize = alo, blo, 0
+        places, lengths, before = self.places, {}, -2
+        for at in range(bisect_left(places, alo), bisect_left(places, ahi)):
+            i = places[at]
+            get = lengths.get if i == before + 1 else {}.get
+            lengths, before = {}, i
+            spots = b2j[a[i]]
+            for j in spots[bisect_left(spots, blo) : bisect_left(spots, bhi)]:
+                k = lengths[j] = get(j - 1, 0) + 1
+                if k > bestsize:
+                    besti, bestj, bestsize = i - k + 1, j - k + 1, k
+        while besti > alo and bestj > blo and a[besti - 1] == b[bestj - 1]:
+            besti, bestj, bestsize = besti - 1, bestj - 1, bestsize + 1
+        while besti + bestsize < ahi and bestj + bestsize < bhi and a[besti + bestsize] == b[bestj + bestsize]:
+            bestsize += 1
+        return Match(besti, bestj, bestsize)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of the standard library's matcher; null for a null."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else Matcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def compare(a, b) -> dict:
