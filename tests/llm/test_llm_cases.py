@@ -213,3 +213,14 @@ def test_raking():
 def test_automaton():
     automaton = tokens.LongestMatch(["ab", "abcd", "bc\0", "d"])
     assert [automaton.count(w + "\0") for w in ("abcd", "abc", "abd", "x", "")] == [1, 2, 2, 1, 0]
+
+
+def test_all_offending_sentences_are_located(spark):
+    model = toxicity.BagModel({"^vile$": 6.0, "^bad$": 4.0, "^kind$": -3.0}, -5.0)
+    parts = ["A vile day", " fine words", " bad luck", " kind people", " vile bad end", " a bad but kind one", " bad again", " vile", " so bad"]
+    text = ".".join(parts)
+    (row,) = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    got = [text[s.start : s.end] for s in row.offending]
+    assert got == [parts[i] for i in (4, 0, 7, 2, 6, 8, 5)]
+    assert [s.score for s in row.offending] == sorted((s.score for s in row.offending), reverse=True)
+    assert row.predicted == 1

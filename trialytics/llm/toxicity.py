@@ -3,7 +3,8 @@
 A document is a bag of sentences. A sentence's score is a logistic function of the words it
 holds (see features); a document's is the noisy-or of its sentences', 1 - product of (1 - p). Only documents
 are labelled: the likelihood of their labels trains the weights through the noisy-or, and
-the sentences that carry a document's score are the offending ones.
+the sentences that carry a document's score, all whose words raise their log-odds over the
+bias, are the offending ones, however many there are.
 
 The model is fitted on the driver on at most `per_class` labelled documents of each class (the
 first by a hash of their id, with their texts' words), and scores every whole text.
@@ -70,6 +71,10 @@ class BagModel:
                 out.append((*match.span(), self.bias + sum(values)))
         return out
 
+    def carries(self, z: float) -> bool:
+        """Whether a sentence's words speak for toxicity, taken together: its log-odds pass the bias, those of a sentence without weighted words."""
+        return z > self.bias
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and its weighted sentences. A sentence without weighted words adds nothing."""
         if self.constant is not None:
@@ -161,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     return fit((t or "" for t in rows[text_col]), rows["_label"].tolist(), **options)
 
 
-def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, worst: int = 3) -> DataFrame:
-    """All columns of docs with score, predicted and offending: the spans (code points) and scores of up to `worst` sentences that carry the score."""
+def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All columns of docs with score, predicted and offending: the spans (code points) and scores of all sentences that carry the score, highest first (see BagModel.carries)."""
     prepare(docs.sparkSession)
     names = [f.name for f in docs.schema.fields if f.name not in ("score", "predicted", "offending")]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -176,7 +181,7 @@ def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: st
                 value, found = model.score(text or "")
                 values.append(value)
                 guesses.append(int(value >= threshold))
-                best = sorted(found, key=lambda f: (-f[2], f[0]))[:worst]
+                best = sorted((f for f in found if model.carries(f[2])), key=lambda f: (-f[2], f[0]))
                 places.append([{"start": a, "end": b, "score": float(1 / (1 + np.exp(-z)))} for a, b, z in best])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array(guesses, pa.int32()), pa.array(places, spans)], names=schema.names)
 
