@@ -224,3 +224,12 @@ def test_all_offending_sentences_are_located(spark):
     assert got == [parts[i] for i in (4, 0, 7, 2, 6, 8, 5)]
     assert [s.score for s in row.offending] == sorted((s.score for s in row.offending), reverse=True)
     assert row.predicted == 1
+
+
+def test_packing_may_cut_at_every_sentence_end():
+    """Ends 3 tokens apart: only the cut at the second of them leaves no padding."""
+    ids = np.full(40, 7, dtype="<u4")
+    ids[[16, 19]] = 9
+    packer = packing.Packer(0, 20, np.array([9]), 4, 64, 2)
+    packer.add(1, ids)
+    assert [(p[1], p[2], p[5]) for p in packer.flush(True)] == [(0, 20, 0), (20, 20, 1)]

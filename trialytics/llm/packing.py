@@ -34,8 +34,6 @@ from pyspark.sql import types as T
 
 from trialytics.session import prepare
 
-#: Of the sentence ends within so many tokens the first is a possible cut.
-SPACING = 16
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -184,9 +182,7 @@ class Packer:
         bounds = np.concatenate([[0], np.cumsum([len(d[3]) for d in self.docs])])
         ids = np.concatenate([d[3] for d in self.docs])
         penalty = np.full(len(ids) + 1, -1, dtype=np.int64)
-        stops = np.flatnonzero(self.is_end[ids]) + 1
-        stops = stops[np.append(True, np.diff(stops // SPACING) > 0)] if len(stops) else stops
-        penalty[stops] = self.sentence_cut
+        penalty[np.flatnonzero(self.is_end[ids]) + 1] = self.sentence_cut
         penalty[bounds] = 0
         places = np.flatnonzero(penalty >= 0)
         stride = self.seq_len // 4
