@@ -41,7 +41,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by calibrated probabilities, with half of all tokens expected to stay."""
+    """Documents sampled and repeated by calibrated weights: half of all tokens are expected, at the target shares. Scarce documents come more than once."""
     return sample(docs, MIX_TARGETS, 0.5)
 
 

@@ -233,3 +233,19 @@ def test_packing_may_cut_at_every_sentence_end():
     packer = packing.Packer(0, 20, np.array([9]), 4, 64, 2)
     packer.add(1, ids)
     assert [(p[1], p[2], p[5]) for p in packer.flush(True)] == [(0, 20, 0), (20, 20, 1)]
+
+
+def test_mixing_stage_meets_targets(spark, monkeypatch):
+    """A language so scarce that its documents must be repeated."""
+    import corpus_pipeline
+
+    rows = [(i, prose(50, i), "es" if i % 10 == 0 else "en", "s", 3) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "MIX_TARGETS", {"source": 1.0, "lang": {"es": 0.5, "en": 0.5}, "topic": 1.0})
+    out = corpus_pipeline.mix_sources(spark, frame, "")
+    count = {r.lang: r.n for r in out.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert out.columns == frame.columns
+    assert count["es"] / (count["es"] + count["en"]) == pytest.approx(0.5, abs=0.03) and count["es"] + count["en"] == pytest.approx(1000, rel=0.05)
+    times = {r["count"] for r in out.where("lang = 'es'").groupBy("doc_id").count().collect()}
+    assert times == {2, 3}
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, corpus_pipeline.mix_sources(spark, frame.repartition(7), "").collect()))

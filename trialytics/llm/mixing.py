@@ -6,7 +6,8 @@ each language, then of each topic, for a fixed number of rounds. A cell's calibr
 what its tokens must be multiplied by. Documents are then sampled with a probability in
 proportion to that, scaled so that `fraction` of all tokens is expected to stay; where that
 would pass 1 the document stays and its `weight` says how often it should be repeated, so that
-weight x tokens of the sample meets the targets. The draw is a hash of the id, so that it is
+weight x tokens of the sample meets the targets. sample() repeats the documents itself: each is
+expected probability x weight times, so that the tokens of its rows meet the targets. The draw is a hash of the id, so that it is
 the same on every run and in every partition.
 
 Everything but the raking of the cell table is DataFrame work; the table is bounded by
@@ -86,7 +87,7 @@ def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -
 
 
 def calibrated(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, max_cells: int = 1_000_000) -> DataFrame:
-    """All columns of docs with _source, _lang, _topic, _tokens, _probability, _weight and _kept.
+    """All columns of docs with _source, _lang, _topic, _tokens, _probability, _weight, _draw and _kept.
 
     targets: for source, lang and topic a share of each value, or a temperature.
     """
@@ -112,9 +113,12 @@ def calibrated(docs: DataFrame, targets: Targets, fraction: float, source_col: s
     # as many rows as there are cells, at most max_cells; Spark checks the size before it broadcasts
     fitted = docs.sparkSession.createDataFrame(rows, schema)
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return named.join(fitted, list(SIDES)).withColumn("_kept", draw < F.col("_probability"))
+    return named.join(fitted, list(SIDES)).withColumn("_draw", draw).withColumn("_kept", F.col("_draw") < F.col("_probability"))
 
 
 def sample(docs: DataFrame, targets: Targets, fraction: float, **options) -> DataFrame:
-    """The sampled documents, with the columns of docs."""
-    return calibrated(docs, targets, fraction, **options).where("_kept").select(*docs.columns)
+    """The columns of docs, each document as often as probability x weight says: its integer part, and once more where the document's draw is below the rest."""
+    mixed = calibrated(docs, targets, fraction, **options).withColumn("_copies", F.col("_probability") * F.col("_weight"))
+    whole = F.floor("_copies")
+    times = (whole + (F.col("_draw") < F.col("_copies") - whole).cast("int")).cast("int")
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
