@@ -34,10 +34,12 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that with the smallest id. Documents with a null id stay."""
+    """One document of each group of near duplicates (five words, 0.8): that with the smallest id. Of rows with one id and one text one stays, and so of rows without an id; rows of one id with different texts all stay with their id."""
     kept = near_groups(docs, words=5, percent=80).where("kept").select("doc_id").dropDuplicates()
-    rest = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    marked = docs.withColumn("_digest", F.sha2("text", 256))
+    found = marked.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "_digest"])
+    rest = marked.where("doc_id is null").dropDuplicates(["_digest"])
+    return found.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

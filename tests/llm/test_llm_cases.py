@@ -249,3 +249,15 @@ def test_mixing_stage_meets_targets(spark, monkeypatch):
     times = {r["count"] for r in out.where("lang = 'es'").groupBy("doc_id").count().collect()}
     assert times == {2, 3}
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, corpus_pipeline.mix_sources(spark, frame.repartition(7), "").collect()))
+
+
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    one, two, other = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, one), (1, one), (2, one), (3, two), (3, other), (None, two), (None, two), (None, None), (None, None), (4, None), (4, None)]
+    frame = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.keep_one_of_near_copies(spark, frame, "")
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, one), (3, two), (3, other), (None, two), (None, None), (4, None)], key=key)
