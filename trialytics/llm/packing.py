@@ -1,8 +1,8 @@
 """Packing of documents into training sequences, by an order-preserving dynamic programme.
 
 Each input partition is packed on its own and in its own order, so nothing is shuffled: a
-scan's tasks tokenise, choose the cuts and emit the pieces. Memory is bounded by block_tokens
-and the longest document; what a block leaves in its last, unfinished sequence moves on into
+scan's tasks tokenise, choose the cuts and emit the pieces. Memory is bounded by block_chars,
+block_tokens and the longest document; what a block leaves in its last, unfinished sequence moves on into
 the next block, so only the last sequence of a partition is padded for want of text.
 
 The cuts of a block minimise padding + penalties. Possible cuts are document ends (free),
@@ -22,79 +22,121 @@ no rows; further columns are ignored. Very long texts are cut over as many seque
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trialytics.session import prepare
 
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
+#: Characters that Arrow takes for white space and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: A word of letters below U+0250 (in normal form C; but for one whose lower case is two), alone or before a mark.
+WORD_CHUNK = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,!?;:]?$"
 
 
 class ChunkEncoder:
     """Token ids by a `tokenizers` file whose pre-tokenizer never joins text over white space.
 
-    Ids are remembered per white-space chunk and per lower-cased word, in at most `room` of each.
-    A new chunk that is a word, or a word and one punctuation mark, is put together from its
-    words' ids; new words are encoded many at a time, as one text, and told apart by the tokens
-    that end a word. Other chunks are encoded one by one, and so are texts in which Python and
-    the tokenizer disagree on what white space is.
+    Texts are split at white space and their distinct chunks are encoded once a call, `room` at
+    a time: words, and words with one punctuation mark, as one text by the tokenizer's own model
+    behind a plain split at spaces, told apart by the tokens that end a word; other chunks one by
+    one. So are texts in which Arrow and the tokenizer disagree on what white space is. A call's
+    memory is a few times its texts; nothing is kept from call to call.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 16384):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known, self.words = Tokenizer.from_file(path), room, {}, {}
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        with open(path, encoding="utf-8") as file:
+            plain = json.load(file)
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain |= {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}, "added_tokens": []}
+        self.words = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {c: self.ids(c) for c in ".,!?;:"}
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,!?;:"}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, fresh: list[str]) -> None:
-        marks, words = self.marks, self.words
-        lower = "\n".join(fresh).lower().split("\n")
-        cores = [x[:-1] if x[-1] in marks else x for x in lower]
-        new = [w for w in set(cores).difference(words) if w.isalpha() and len(w) < 64 and (w.isascii() or unicodedata.is_normalized("NFC", w) and max(w) < "\u0250")]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(stops) != len(part):
+    def pool(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each chunk's, number of each chunk's)."""
+        simple = pc.match_substring_regex(chunks, WORD_CHUNK).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(simple)
+        known = chunks.take(pa.array(places))
+        mark = np.zeros(len(places), dtype="<u4")
+        for letter, number in self.marks.items():
+            mark[pc.ends_with(known, letter).to_numpy(zero_copy_only=False)] = number
+        cores = pc.utf8_lower(pc.utf8_rtrim(known, "".join(self.marks))).dictionary_encode()
+        word_ids, stops, before = [], [np.zeros(1, dtype=np.int64)], 0
+        for at in range(0, len(cores.dictionary), self.room):
+            part = cores.dictionary.slice(at, self.room).to_pylist()
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
                 raise ValueError("the tokenizer doesn't keep words apart")
-            data, stops = ids.tobytes(), [0, *(stops * 4).tolist()]
-            words.update(zip(part, [data[i:j] for i, j in zip(stops, stops[1:], strict=False)], strict=True))
-        # a word's own object where there is no mark, so that both caches share it
-        made = [w if w is None or len(c) == len(x) else w + marks[x[-1]] for w, c, x in zip(map(words.get, cores), cores, lower, strict=True)]
-        self.known.update(zip(fresh, made, strict=True))
-        other = [c for c, m in zip(fresh, made, strict=True) if m is None]
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+            word_ids.append(ids)
+            stops.append(before + ends)
+            before += len(ids)
+        stops, core = np.concatenate(stops), cores.indices.to_numpy(zero_copy_only=False)
+        length = np.diff(stops)[core]
+        own = length + (mark > 0)
+        total = int(own.sum())
+        first = np.cumsum(own) - own
+        start, size = np.zeros(len(chunks), dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+        start[places], size[places] = first, own
+        made = [np.zeros(total, dtype="<u4")]
+        if total:
+            index = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            made[0][np.repeat(first, length) + index] = np.concatenate(word_ids)[np.repeat(stops[core], length) + index]
+            made[0][(first + length)[mark > 0]] = mark[mark > 0]
+        places = np.flatnonzero(~simple)
+        for at in range(0, len(places), self.room):
+            own = places[at : at + self.room]
+            for place, got in zip(own.tolist(), self.tokenizer.encode_batch_fast(chunks.take(pa.array(own)).to_pylist(), add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype="<u4")
+                start[place], size[place] = total, len(ids)
+                made.append(ids)
+                total += len(ids)
+        return np.concatenate(made) if made else np.zeros(0, dtype="<u4"), start, size
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, the place at which each text's end)."""
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in SEPARATORS)]
+        listed = texts
+        if odd:
+            listed = list(texts)
+            for i in odd:
+                listed[i] = ""
+        split = pc.utf8_split_whitespace(pa.array(listed, pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        pool, start, size = self.pool(chunks.dictionary)
+        index = chunks.indices.to_numpy(zero_copy_only=False)
+        sizes = size[index]
+        ends = np.cumsum(sizes)
+        ids = pool[np.repeat(start[index] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()[1:]]
+        if odd:
+            parts = np.split(ids, bounds[:-1])
+            for i in odd:
+                parts[i] = np.frombuffer(self.ids(texts[i]), dtype="<u4")
+            ids, bounds = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, bounds
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for name in ("known", "words"):
-            if len(cache := getattr(self, name)) > self.room:  # the oldest quarter stays: what is frequent was met early
-                setattr(self, name, dict(islice(cache.items(), self.room // 4)))
-        odd = [any(c in t for c in SEPARATORS) for t in texts]
-        chunks = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        fresh: set[str] = set().union(*chunks)
-        fresh.difference_update(self.known)
-        if fresh:
-            self.learn(list(fresh))
-        get = self.known.__getitem__
-        return [self.ids(t) if o else b"".join(map(get, x)) for t, o, x in zip(texts, odd, chunks, strict=True)]
+        if not texts:
+            return []
+        ids, bounds = self.encode_all(texts)
+        return [part.tobytes() for part in np.split(ids, bounds[:-1])]
 
     def sentence_ends(self) -> np.ndarray:
         """Ids of the tokens that end a sentence."""
@@ -102,7 +144,7 @@ class ChunkEncoder:
         return np.array(sorted(i for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")), dtype=np.uint32)
 
 
-#: Encoders by file, kept from task to task in a worker: most words of a task were met before.
+#: Encoders by file, kept from task to task in a worker: reading the file takes a second.
 ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -216,7 +258,7 @@ class Packer:
         return out
 
 
-def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, sentence_cut: int = 4, hard_cut: int = 64, sequence_cost: int = 2, block_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, sentence_cut: int = 4, hard_cut: int = 64, sequence_cost: int = 2, block_tokens: int = 1 << 20, block_chars: int = 1 << 24, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids the ids.
 
     See the module's docstring for the method and for what becomes of nulls and edge cases.
@@ -226,7 +268,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id
     fields = [T.StructField(id_col, kind), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -245,15 +287,27 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id
                 arrays.append(pa.array([x.astype(np.int64) for x in columns[7]], type=pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
+        def packed(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            tokens, bounds = encoder.encode_all(texts)
+            begin = 0
+            for doc_id, stop in zip(ids, bounds.tolist(), strict=True):
+                packer.add(doc_id, np.append(tokens[begin:stop], end))
+                begin = stop
+                if packer.size >= block_tokens and (pieces := packer.flush(False)):
+                    yield table(pieces)
+
+        wait_ids, wait_texts, size = [], [], 0
         for batch in batches:
             id_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    packer.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
-                    if packer.size >= block_tokens and (pieces := packer.flush(False)):
-                        yield table(pieces)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wait_ids.append(doc_id)
+                wait_texts.append(text or "")
+                size += len(wait_texts[-1])
+                if size >= block_chars:
+                    yield from packed(wait_ids, wait_texts)
+                    wait_ids, wait_texts, size = [], [], 0
+        if wait_ids:
+            yield from packed(wait_ids, wait_texts)
         if pieces := packer.flush(True):
             yield table(pieces)
 
