@@ -11,9 +11,16 @@ No bucket is expanded into pairs. Equal sets are one class. Each member of a buc
 compared with one hub, chosen anew in every round; confirmed links join documents into
 components. After `rounds` hubs only buckets with members of several components go on: their
 members outside the bucket's main component are gathered, by main component, in blocks of 64,
-and the bucket's members stream past each block, which a task holds in memory; it yields the
-links only. So a group of near copies costs a few comparisons a document, and what can't be
-told apart by hubs is compared block against stream, never as rows of pairs.
+and the bucket's members stream past each block, which a task holds in memory. They meet twice:
+first odd sketches only, which tells the members that may be near one of another component;
+then those members with their texts, which yields the links. So a group of near copies costs a
+few comparisons a document; what hubs can't tell apart is quadratic in a bucket's unlinked
+members, in sketches (a byte for each pair of them) and, for members whose sketches are near
+but whose sets are not linked, in texts.
+
+Texts are fetched for documents of pairs that the sketches allow, and only those are shuffled:
+a bitmap of FILTER_BITS hashed ids, of fixed size, is broadcast to drop most others in the scan,
+and an exact join drops the rest.
 
 Components come from repeated minima over links with pointer jumping. Each round is written to
 the shared folder, so that plans stay small and lost executors cost one round at most.
@@ -30,7 +37,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +45,8 @@ from trialytics.llm.common import cut, mix64
 from trialytics.session import prepare
 
 SKETCH_BITS = 512
+#: Size of the bitmap of hashed ids; the table that is broadcast has a 64th as many rows of two longs.
+FILTER_BITS = 1 << 24
 #: Odd factors (fixed values).
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -132,9 +141,19 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def fetch_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of the rows of docs whose id is in ids (id, no nulls), written to the shared folder."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").withColumn("place", place)
+    # FILTER_BITS / 64 rows at most, whatever the number of ids
+    likely = named.join(F.broadcast(words), F.shiftright("place", 6) == F.col("word")).where(F.expr("bit_get(bits, cast(place & 63 as int)) = 1")).select("id", "text")
+    return cut(likely.join(ids.hint("merge"), "id", "left_semi"), "texts")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts join by id; pairs of one a come together, and its set is made once."""
-    left, right = (texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
+    """The pairs (a, b) whose full sets are similar enough. Texts join by id; pairs of one a come in a row, and its set is made once. Merge joins, so that Spark can split the many pairs of one a over tasks."""
+    left, right = (texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}")).hint("merge") for n in "ab")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,20 +171,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def compare_blocks(open_rows: DataFrame, sketched: DataFrame, texts: DataFrame, words: int, percent: int, most: int, block: int = 64, stretch: int = 2048) -> DataFrame:
+def _meet(members: DataFrame, block: int, stretch: int) -> DataFrame:
+    """main, block, stretch, streams, id, component: blocks of members (main, id, component) outside the main component, and stretches of the stream of all members."""
+    counts = members.groupBy("main").agg(F.ceil(F.sum((F.col("component") != F.col("main")).cast("long")) / block).alias("blocks"), F.ceil(F.count("*") / stretch).alias("stretches"))
+    sized = members.join(counts, "main")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    held = sized.where("component <> main").select("main", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(upto("stretches")).alias("stretch"), F.lit(False).alias("streams"), "id", "component")
+    passing = sized.where("blocks > 0").select("main", F.explode(upto("blocks")).alias("block"), F.pmod(F.hash("id"), "stretches").alias("stretch"), F.lit(True).alias("streams"), "id", "component")
+    return held.unionByName(passing)
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    """Each block's held members before those that stream past it."""
+    cell = ("main", "block", "stretch")
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parallel, *cell).sortWithinPartitions(*cell, "streams", "id")
+
+
+def compare_blocks(open_rows: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int, most: int, id_col: str, text_col: str, block: int = 64, stretch: int = 512) -> DataFrame:
     """Links (a, b) between members of different components of a bucket. open_rows: bucket, id, component."""
-    spark = open_rows.sparkSession
     sizes = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main"))
     placed = cut(open_rows.join(mains, "bucket").select("main", "id", "component").distinct(), "open")
-    # blocks of members outside the main component; stretches of the stream of all members
-    counts = placed.groupBy("main").agg(F.ceil(F.sum((F.col("component") != F.col("main")).cast("long")) / block).alias("blocks"), F.ceil(F.count("*") / stretch).alias("stretches"))
-    sized = placed.join(counts, "main")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    held = sized.where("component <> main").select("main", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(upto("stretches")).alias("stretch"), F.lit(False).alias("streams"), "id", "component")
-    passing = sized.select("main", F.explode(upto("blocks")).alias("block"), F.pmod(F.hash("id"), "stretches").alias("stretch"), F.lit(True).alias("streams"), "id", "component")
-    rows = held.unionByName(passing).join(sketched, "id").join(texts, "id").select("main", "block", "stretch", "streams", "id", "component", "odd", "text")
     kind = open_rows.schema["id"].dataType
+    near_schema = T.StructType([T.StructField("main", open_rows.schema["component"].dataType), T.StructField("id", kind)])
+
+    def close(odds: list, parts: list, odd: list, component) -> list[int]:
+        """Places of the held members of other components whose sketches are near."""
+        bits = np.bitwise_count((np.array(odds, dtype=np.int64) ^ np.array(odd, dtype=np.int64)).view(np.uint64)).sum(axis=1)
+        return [at for at in np.flatnonzero(bits <= most).tolist() if parts[at] != component]
+
+    def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, parts, odds, told = None, [], [], [], set()
+        for batch in batches:
+            found = []
+            for main, number, stretch_no, streams, doc_id, component, odd in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (main, number, stretch_no):
+                    group, ids, parts, odds, told = (main, number, stretch_no), [], [], [], set()
+                if not streams:
+                    ids.append(doc_id)
+                    parts.append(component)
+                    odds.append(odd)
+                elif ids and (near := close(odds, parts, odd, component)):
+                    found += [(main, x) for x in (doc_id, *(ids[at] for at in near)) if x not in told]
+                    told.update((doc_id, *(ids[at] for at in near)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (batch.column(0).type, batch.column(4).type), strict=True)], names=["main", "id"])
+
+    columns = ["main", "block", "stretch", "streams", "id", "component", "odd"]
+    near = _by_cell(_meet(placed, block, stretch).join(sketched, "id").select(*columns)).mapInArrow(flag, near_schema).distinct()
+    chosen = cut(placed.join(cut(near, "near"), ["main", "id"], "left_semi"), "chosen")
+    texts = fetch_texts(docs, chosen.select("id").distinct(), id_col, text_col)
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,24 +237,20 @@ def compare_blocks(open_rows: DataFrame, sketched: DataFrame, texts: DataFrame,
                     odds.append(odd)
                     own.append(sets.of(text))
                     continue
-                if not ids:
-                    continue
-                bits = np.bitwise_count((np.array(odds, dtype=np.int64) ^ np.array(odd, dtype=np.int64)).view(np.uint64)).sum(axis=1)
                 mine = None
-                for at in np.flatnonzero(bits <= most).tolist():
-                    if parts[at] != component:
-                        mine = sets.of(text) if mine is None else mine
-                        other = own[at]
-                        if 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
-                            continue
-                        common = len(np.intersect1d(mine, other, assume_unique=True))
-                        if 100 * common >= percent * (len(mine) + len(other) - common):
-                            found.append((ids[at], doc_id))
+                for at in close(odds, parts, odd, component) if ids else ():
+                    mine = sets.of(text) if mine is None else mine
+                    other = own[at]
+                    if 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
+                        continue
+                    common = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * common >= percent * (len(mine) + len(other) - common):
+                        found.append((ids[at], doc_id))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(4).type) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parallel, "main", "block", "stretch").sortWithinPartitions("main", "block", "stretch", "streams", "id").mapInArrow(run, schema)
+    rows = _meet(chosen, block, stretch).join(sketched, "id").join(texts, "id").select(*columns, "text")
+    return _by_cell(rows).mapInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,12 +276,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     heads = usable.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
     most = MinHash(bands, rows).most_odd_bits(percent)
 
-    buckets = heads.select(F.explode("keys").alias("bucket"), "id")
-    by_bucket = Window.partitionBy("bucket")
-    buckets = cut(buckets.withColumn("n", F.count("*").over(by_bucket)).where("n > 1").drop("n"), "buckets")
+    dealt = heads.select(F.explode("keys").alias("bucket"), "id")
+    # counted by partial aggregation and joined, so that Spark can split a bucket of many members
+    full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    buckets = cut(dealt.join(full.hint("merge"), "bucket", "left_semi"), "buckets")
     sketched = cut(heads.select("id", "odd").join(buckets.select("id").distinct(), "id", "left_semi"), "odd")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sketched.select("id").distinct(), "id", "left_semi")
-    texts = cut(texts, "texts")
 
     # one id can stand for several sets (rows that share it): those are linked from the start
     nodes = classes.select("digest", F.col("rep").alias("a"))
@@ -257,19 +308,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         return known.join(several, "bucket", "left_semi")
 
     for number in range(rounds):
-        rows_now = open_buckets()
+        rows_now = cut(open_buckets(), "open-buckets") if number else open_buckets()
         place = F.struct((F.col("id") if number == 0 else F.xxhash64(F.col("id"), F.lit(number))).alias("order"), F.col("id").alias("id"), F.col("component").alias("component"))
         hubs = rows_now.groupBy("bucket").agg(F.min(place).alias("hub"))
-        met = rows_now.join(hubs, "bucket").where("component <> hub.component")
+        met = rows_now.join(hubs.hint("merge"), "bucket").where("component <> hub.component")
         pairs = possible(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
         if number == 0:  # at first each document meets only the likeliest of its hubs
-            pairs = pairs.withColumn("best", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where("best = 1")
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
         pairs = cut(pairs.select("a", "b"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = fetch_texts(docs, both, id_col, text_col)
         links = cut(links.unionByName(confirm(pairs, texts, words, percent)), "links")
         labels = components(links)
     left = cut(open_buckets().select("bucket", "id", "component"), "open-buckets")
-    links = cut(links.unionByName(compare_blocks(left, sketched, texts, words, percent, most).distinct()), "links")
+    links = cut(links.unionByName(compare_blocks(left, sketched, docs, words, percent, most, id_col, text_col).distinct()), "links")
     labels = components(links)
 
     grouped = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
