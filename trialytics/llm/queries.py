@@ -66,7 +66,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = read(spark, folder, "documents")
     model = train(docs, read(spark, folder, "labels"), ~held_out())
-    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
+    done = score(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out().alias("held_out"), F.col("_t_score").alias("score"), F.col("_t_predicted").alias("predicted"), F.col("_t_offending").alias("offending"))
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of the words it
-holds (see features); a document's is the noisy-or of its sentences', 1 - product of (1 - p). Only documents
-are labelled: the likelihood of their labels trains the weights through the noisy-or, and
-the sentences that carry a document's score, all whose words raise their log-odds over the
-bias, are the offending ones, however many there are.
+A document is a bag of sentences. A sentence that holds a learnt feature (see features) has as
+its score the logistic function of its features' weights and a bias; one that holds none scores
+0. A document's score is the noisy-or of its sentences', 1 - product of (1 - p). Only documents
+are labelled: the likelihood of their labels trains the weights through that same noisy-or.
+The offending sentences of a document that is predicted toxic are all whose score is at least
+`sentence_from`, and in any case the highest; a document that isn't has none.
 
-The model is fitted on the driver on at most `per_class` labelled documents of each class (the
-first by a hash of their id, with their texts' words), and scores every whole text.
+The model is fitted on the driver on a bounded sample: at most `per_class` labelled documents of
+each class, the first by a hash of their id, as far as their texts stay within `most_chars` code
+points a class (the first text always counts); whole texts. It scores every whole text.
 
 Nulls and edge cases: a null or empty text has no sentence and scores 0. Labels that are null
-don't count; of several labels of one id the highest counts. Without a document of both
-classes no weight is learnt and the score is the share of toxic labels (0 without labels).
-Repeated rows get the same score each; an empty table gives no rows.
+don't count; of several labels of one id the highest counts, and of several texts of one id the
+shortest is learnt from. Without a document of both classes no weight is learnt and
+the score is the share of toxic labels (0 without labels). Repeated rows get the same score
+each; an empty table gives no rows. The operator's own columns begin with `_t_`; input columns
+of such names are left out, all others are kept.
 """
 
 from __future__ import annotations
@@ -71,12 +75,8 @@ class BagModel:
                 out.append((*match.span(), self.bias + sum(values)))
         return out
 
-    def carries(self, z: float) -> bool:
-        """Whether a sentence's words speak for toxicity, taken together: its log-odds pass the bias, those of a sentence without weighted words."""
-        return z > self.bias
-
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score and its weighted sentences. A sentence without weighted words adds nothing."""
+        """The document's score and its weighted sentences. A sentence without weighted words scores 0."""
         if self.constant is not None:
             return (self.constant if text else 0.0), []
         found = self.sentences(text)
@@ -90,7 +90,8 @@ def fit(texts: Iterable[str], labels: list[int], steps: int = 150, rate: float =
     """Maximum likelihood of the labels under the noisy-or, by proximal Adam steps.
 
     A first descent under an L1 penalty picks the features (of those in `least` documents or
-    more, those whose weight leaves +-floor); a second, all but free, sets their weights. Words
+    more, those whose weight leaves +-floor); a second, all but free, sets their weights. In both
+    a sentence counts by the model's rule: one without features in play scores 0. Words
     are numbered and kept in flat arrays: a word of a sentence takes eight bytes.
     """
     y = np.array(labels, dtype=np.float64)
@@ -129,13 +130,16 @@ def fit(texts: Iterable[str], labels: list[int], steps: int = 150, rate: float =
         place[kept] = np.arange(len(kept))
         use = place[feature] >= 0
         left, right = of_word[use], place[feature[use]]
+        speaks = np.zeros(len(numbers), dtype=bool)
+        speaks[left] = True
+        in_play = np.bincount(sentence, speaks[word], count) > 0
         theta, first, second = np.append(np.zeros(len(kept)), -4.0), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
         for step in range(1, steps + 1):
             of_words = np.bincount(left, theta[right], len(numbers))
             z = theta[-1] + np.bincount(sentence, of_words[word], count)
-            total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(y)), 1e-9)
+            total = np.maximum(np.bincount(doc, np.where(in_play, np.logaddexp(0, z), 0.0), len(y)), 1e-9)
             slope = share * np.where(y > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)  # of the loss in the total
-            at_z = slope[doc] / (1 + np.exp(-z))
+            at_z = np.where(in_play, slope[doc] / (1 + np.exp(-z)), 0.0)
             by_word = np.bincount(word, at_z[sentence], len(numbers))
             grad = np.append(np.bincount(right, by_word[left], len(kept)) + l2 * theta[:-1], at_z.sum())
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
@@ -156,22 +160,35 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> BagModel:
-    """Fit on at most per_class documents of each class, of the labelled ids for which learn_from (over id_col) holds."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn_from).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_label"))
-    known = known.select(id_col, "_label", F.xxhash64(id_col).alias("_order"))
-    picked = known.where("_label = 1").orderBy("_order", id_col).limit(per_class).unionByName(known.where("_label = 0").orderBy("_order", id_col).limit(per_class))
-    # at most 2 * per_class ids, so the broadcast is bounded
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("_order", id_col, text_col, "_label").toPandas().sort_values(["_order", id_col, text_col], na_position="first")
-    return fit((t or "" for t in rows[text_col]), rows["_label"].tolist(), **options)
-
-
-def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of docs with score, predicted and offending: the spans (code points) and scores of all sentences that carry the score, highest first (see BagModel.carries)."""
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = 1000, most_chars: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> BagModel:
+    """Fit on a bounded sample of the labelled documents for whose id learn_from holds (see the module's docstring)."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn_from).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    known = known.select("id", "label", F.xxhash64("id").alias("order"))
+    picked = known.where("label = 1").orderBy("order", "id").limit(per_class).unionByName(known.where("label = 0").orderBy("order", "id").limit(per_class))
+    # at most 2 * per_class ids, so the broadcast is bounded; the hash tells equal sizes of one id's texts apart
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sized = named.join(F.broadcast(picked), "id").groupBy("order", "id", "label").agg(F.min(F.struct(F.length("text").alias("chars"), F.xxhash64("text").alias("digest"))).alias("first"))
+    chosen, room = [], {0: most_chars, 1: most_chars}
+    started: set[int] = set()
+    for r in sized.orderBy("order", "id").collect():  # numbers only, at most 2 * per_class rows
+        room[r["label"]] -= r["first"]["chars"]
+        if room[r["label"]] >= 0 or r["label"] not in started:
+            started.add(r["label"])
+            chosen.append((r["id"], r["order"], r["label"], r["first"]["digest"]))
+    if not chosen:
+        return fit([], [], **options)
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("order", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("digest", T.LongType())]))
+    texts = named.withColumn("digest", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "digest"]).dropDuplicates(["id"])
+    rows = sorted(texts.select("order", "id", "text", "label").collect(), key=lambda r: (r["order"], r["id"]))
+    return fit((r["text"] for r in rows), [r["label"] for r in rows], **options)
+
+
+def score(docs: DataFrame, model: BagModel, text_col: str = "text", threshold: float = 0.5, sentence_from: float = 0.25) -> DataFrame:
+    """The columns of docs with _t_score, _t_predicted and _t_offending: spans (code points) and scores of the offending sentences, highest first."""
     prepare(docs.sparkSession)
-    names = [f.name for f in docs.schema.fields if f.name not in ("score", "predicted", "offending")]
+    names = [n for n in docs.columns if not n.startswith("_t_")]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("offending", T.ArrayType(span))])
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("_t_score", T.DoubleType()), T.StructField("_t_predicted", T.IntegerType()), T.StructField("_t_offending", T.ArrayType(span))])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +198,8 @@ def score(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: st
                 value, found = model.score(text or "")
                 values.append(value)
                 guesses.append(int(value >= threshold))
-                best = sorted((f for f in found if model.carries(f[2])), key=lambda f: (-f[2], f[0]))
-                places.append([{"start": a, "end": b, "score": float(1 / (1 + np.exp(-z)))} for a, b, z in best])
+                ranked = sorted(((float(1 / (1 + np.exp(-z))), a, b) for a, b, z in found), key=lambda f: (-f[0], f[1])) if value >= threshold else []
+                places.append([{"start": a, "end": b, "score": p} for at, (p, a, b) in enumerate(ranked) if not at or p >= sentence_from])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array(guesses, pa.int32()), pa.array(places, spans)], names=schema.names)
 
     return docs.select(*names).mapInArrow(run, schema)
