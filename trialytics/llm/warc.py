@@ -7,8 +7,10 @@ the version line, the required headers, the block's length and digest, and the p
 length and digest. A broken record raises ValueError.
 
 Archives go to a folder under the session's shared folder, through pyarrow's file systems
-(file, hdfs, s3, gs). A task writes each archive under a name of its attempt and then renames
-it, so that a repeated task replaces its own files. Archives are closed at about
+(file, hdfs, s3, gs). A task writes each archive under a hidden name and then renames it; both
+names hold the attempt, so that a repeated task, which may meet its rows in another order, never
+replaces an archive that another attempt has listed. The reader follows the list that the
+successful attempts return; archives of failed attempts are never read. Archives are closed at about
 `archive_bytes` of text, so memory stays bounded by the largest record.
 
 Nulls and edge cases: a null payload is empty; a null URL leaves out the header. Of rows with
@@ -147,19 +149,18 @@ def train_dictionary(pages: DataFrame, id_col: str, payload_col: str, samples: i
         return b""
 
 
-def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, salts: int = 16) -> DataFrame:
+def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, refers_to: the id whose payload a row repeats, or null.
 
-    Ids meet by digest, reduced before they are shuffled; a payload that very many rows share
-    is dealt over `salts` keys.
+    Ids meet by digest, reduced before they are shuffled; the merge join lets Spark split a
+    payload that very many rows share over as many tasks as its bytes ask for.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(salts)))
+    first = first.select("digest", "first").hint("merge")
     repeats = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return salted.join(first, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", repeats.alias("refers_to"))
+    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", repeats.alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 128 << 20, level: int = 3) -> DataFrame:
@@ -179,7 +180,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", date:
 
         def close() -> pa.RecordBatch:
             stream.close()
-            name = f"archive-{context.partitionId():06d}-{number:04d}.warc.zst"
+            name = f"archive-{context.partitionId():06d}-{number:04d}-{context.taskAttemptId()}.warc.zst"
             system.move(hidden, f"{root}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], names=["path", "records"])
 
