@@ -2,26 +2,35 @@
 
 Documents fall into cells of (source, language, topic). The cells' token counts, one small
 aggregate over all documents, are raked: scaled to the target share of each source, then of
-each language, then of each topic, for a fixed number of rounds. A cell's calibrated weight is
-what its tokens must be multiplied by. Documents are then sampled with a probability in
-proportion to that, scaled so that `fraction` of all tokens is expected to stay; where that
-would pass 1 the document stays and its `weight` says how often it should be repeated, so that
-weight x tokens of the sample meets the targets. sample() repeats the documents itself: each is
-expected probability x weight times, so that the tokens of its rows meet the targets. The draw is a hash of the id, so that it is
-the same on every run and in every partition.
-
-Everything but the raking of the cell table is DataFrame work; the table is bounded by
-`max_cells` (beyond it the operator stops with an error rather than leave cells out).
+each language, then of each topic, round after round. A cell's calibrated weight is what its
+tokens must be multiplied by. Documents are then sampled with a probability in proportion to
+that, scaled so that `fraction` of all tokens is expected to stay; where that would pass 1 the
+document stays and its weight says how often it should be repeated, so that weight x tokens of
+the sample meets the targets. sample() repeats the documents itself: each is expected
+probability x weight times, so that the tokens of its rows meet the targets. The draw is a hash
+of the id, so that it is the same on every run and in every partition.
+
+After `rounds` rounds the largest distance of a side's share from its target is the residual.
+Targets can contradict each other (a source that has one language only); then the residual
+stays, a warning tells it, and with `tolerance` a residual above that is an error.
+
+Everything but the raking is DataFrame work. The driver rakes the table of cells: a row for
+each combination that occurs, whose number is that of sources x languages x topics, not of
+documents. Up to BROADCAST_CELLS rows it is broadcast to the documents; a larger one is joined
+by a shuffle. Beyond `max_cells` the operator stops with an error rather than leave cells out.
 
 Nulls and edge cases: null source, language or topic is a value of its own, '(none)'; a null
 text has no word, and every document counts one token besides its words. A null id draws as the
 empty string. Targets of values that don't occur are left out, and the shares of those that do
 are scaled to sum to 1; a value without a target keeps its share of what is left. Repeated
-rows share their draw. An empty table gives no rows.
+rows share their draw. An empty table gives no rows. The operator's own columns are called as
+in OWN; where docs has a column of such a name, the operator's gets one more underscore in front
+(see own_names), and the input's column stays.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -29,7 +38,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Targets = Mapping[str, Mapping[str, float] | float]
-SIDES = ("_source", "_lang", "_topic")
+OWN = ("_source", "_lang", "_topic", "_tokens", "_probability", "_weight", "_draw", "_kept")
+#: Rows of the table of cells that is broadcast: a few MB.
+BROADCAST_CELLS = 20_000
+
+
+def own_names(docs: DataFrame) -> dict[str, str]:
+    """The names that the columns of OWN have beside those of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = {}
+    for name in OWN:
+        free = name
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        out[name] = free
+    return out
 
 
 def default_topic(text: str = "text") -> Column:
@@ -59,8 +83,8 @@ def shares(tokens: np.ndarray, labels: Sequence[str], target: Mapping[str, float
     return {v: w / total for v, w in wanted.items()}
 
 
-def rake(tokens: np.ndarray, labels: Sequence[Sequence[str]], targets: Sequence[Mapping[str, float]], rounds: int = 20) -> np.ndarray:
-    """Cell shares whose marginals meet the targets, starting from the cells' tokens."""
+def rake(tokens: np.ndarray, labels: Sequence[Sequence[str]], targets: Sequence[Mapping[str, float]], rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Cell shares whose marginals meet the targets, starting from the cells' tokens, and the largest distance of a marginal from its target."""
     weight = tokens / tokens.sum()
     sides = []
     for names, target in zip(labels, targets, strict=True):
@@ -71,7 +95,7 @@ def rake(tokens: np.ndarray, labels: Sequence[Sequence[str]], targets: Sequence[
         for index, wanted in sides:
             now = np.bincount(index, weight, len(wanted))
             weight = weight * np.divide(wanted, now, out=np.zeros_like(wanted), where=now > 0)[index]
-    return weight
+    return weight, max(float(np.abs(np.bincount(index, weight, len(wanted)) - wanted).max()) for index, wanted in sides)
 
 
 def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -> np.ndarray:
@@ -86,39 +110,51 @@ def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -
     return np.minimum(1.0, multiplier * scale[fits[0]]) if len(fits) else (multiplier > 0).astype(float)
 
 
-def calibrated(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, max_cells: int = 1_000_000) -> DataFrame:
-    """All columns of docs with _source, _lang, _topic, _tokens, _probability, _weight, _draw and _kept.
-
-    targets: for source, lang and topic a share of each value, or a temperature.
-    """
+def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, max_cells: int = 1_000_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
+    own = own_names(docs)
+    sides = [own[n] for n in OWN[:3]]
     side = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    named = docs.withColumns({"_source": side(F.col(source_col)), "_lang": side(F.col(lang_col)), "_topic": side(default_topic(text_col) if topic is None else topic), "_tokens": token_count(text_col)})
-    cells = named.groupBy(*SIDES).agg(F.sum("_tokens").alias("tokens"))
-    table = cells.limit(max_cells + 1).collect()
+    columns = dict(zip(sides, (side(F.col(source_col)), side(F.col(lang_col)), side(default_topic(text_col) if topic is None else topic)), strict=True))
+    named = docs.withColumns(columns | {own["_tokens"]: token_count(text_col)})
+    table = named.groupBy(*sides).agg(F.sum(own["_tokens"]).alias("tokens")).limit(max_cells + 1).collect()
     if len(table) > max_cells:
         raise ValueError(f"more than max_cells={max_cells} cells of source, language and topic")
-    table.sort(key=lambda r: tuple(r[s] for s in SIDES))
-    schema = "_source string, _lang string, _topic string, _probability double, _weight double"
+    table.sort(key=lambda r: tuple(r[:3]))
+    rows = []
     if table:
         tokens = np.array([float(r["tokens"]) for r in table])
-        labels = [[r[s] for r in table] for s in SIDES]
+        labels = [[r[i] for r in table] for i in range(3)]
         wanted = [shares(tokens, names, targets[k]) for names, k in zip(labels, ("source", "lang", "topic"), strict=True)]
-        multiplier = rake(tokens, labels, wanted, rounds) / (tokens / tokens.sum())
+        raked, residual = rake(tokens, labels, wanted, rounds)
+        if tolerance is not None and residual > tolerance:
+            raise ValueError(f"the targets are missed by {residual:.4f} after {rounds} rounds")
+        if residual > 1e-3:
+            warnings.warn(f"the targets are missed by {residual:.4f} after {rounds} rounds", stacklevel=3)
+        multiplier = raked / (tokens / tokens.sum())
         chance = probabilities(tokens, multiplier, fraction)
-        scale = fraction
-        weight = np.divide(scale * multiplier, chance, out=np.zeros_like(chance), where=chance > 0)
+        weight = np.divide(fraction * multiplier, chance, out=np.zeros_like(chance), where=chance > 0)
         rows = list(zip(*labels, chance.tolist(), weight.tolist(), strict=True))
-    else:
-        rows = []
-    # as many rows as there are cells, at most max_cells; Spark checks the size before it broadcasts
-    fitted = docs.sparkSession.createDataFrame(rows, schema)
+    fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` string" for n in sides) + f", `{own['_probability']}` double, `{own['_weight']}` double")
+    fitted = F.broadcast(fitted) if len(rows) <= BROADCAST_CELLS else fitted.hint("merge")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return named.join(fitted, list(SIDES)).withColumn("_draw", draw).withColumn("_kept", F.col("_draw") < F.col("_probability"))
+    drawn = named.join(fitted, sides).withColumn(own["_draw"], draw)
+    return drawn.withColumn(own["_kept"], F.col(own["_draw"]) < F.col(own["_probability"])), own
+
+
+def calibrated(docs: DataFrame, targets: Targets, fraction: float, **options) -> DataFrame:
+    """All columns of docs with those of OWN.
+
+    targets: for source, lang and topic a share of each value, or a temperature. options:
+    source_col, lang_col, topic (a column), text_col, id_col, rounds, max_cells, tolerance.
+    """
+    mixed, own = _calibrate(docs, targets, fraction, **options)
+    return mixed.select(*docs.columns, *own.values())
 
 
 def sample(docs: DataFrame, targets: Targets, fraction: float, **options) -> DataFrame:
     """The columns of docs, each document as often as probability x weight says: its integer part, and once more where the document's draw is below the rest."""
-    mixed = calibrated(docs, targets, fraction, **options).withColumn("_copies", F.col("_probability") * F.col("_weight"))
-    whole = F.floor("_copies")
-    times = (whole + (F.col("_draw") < F.col("_copies") - whole).cast("int")).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    mixed, own = _calibrate(docs, targets, fraction, **options)
+    copies = F.col(own["_probability"]) * F.col(own["_weight"])
+    whole = F.floor(copies)
+    times = (whole + (F.col(own["_draw"]) < copies - whole).cast("int")).cast("int")
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(own["_kept"])).select(*docs.columns)
