@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -194,6 +196,31 @@ def test_warc_rejects_broken_records():
             warc.parse(bad)
 
 
+def test_warc_rejects_broken_archives(spark, tmp_path):
+    import io
+    import struct
+
+    import zstandard
+
+    pages = spark.createDataFrame([(i, "u", f"<p>{prose(60, i)}") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    dictionary = warc.train_dictionary(pages, "page_id", "html", size=2048)
+    assert dictionary
+    folder = str(tmp_path / "archives")
+    one, two = ([r.path for r in warc.write_archives(warc.with_references(pages), folder, dictionary).collect()] for _ in range(2))
+    assert not set(one) & set(two)  # an attempt never writes over what another has listed
+    data = open(one[0], "rb").read()
+    whole = list(warc.frames(io.BytesIO(data)))
+    assert struct.unpack("<II", data[:8]) == (warc.SKIPPABLE, len(dictionary))
+    assert len(whole) > 0
+    with pytest.raises(ValueError, match="last frame"):
+        list(warc.frames(io.BytesIO(data[:-5])))
+    with pytest.raises(ValueError, match="dictionary"):
+        list(warc.frames(io.BytesIO(data[: 8 + len(dictionary) // 2])))
+    with pytest.raises(zstandard.ZstdError):
+        list(warc.frames(io.BytesIO(data[8 + len(dictionary) :])))
+    assert list(warc.frames(io.BytesIO(b""))) == []
+
+
 def test_odd_sketches_estimate():
     maker, rng = neardedup.MinHash(38, 6), np.random.default_rng(8)
     for size, common in ((45, 40), (500, 445)):
@@ -204,26 +231,90 @@ def test_odd_sketches_estimate():
 
 def test_raking():
     tokens_of = np.array([10.0, 20.0, 30.0, 40.0])
-    weight = mixing.rake(tokens_of, [["a", "a", "b", "b"], ["x", "y", "x", "y"]], [{"a": 0.5, "b": 0.5}, {"x": 0.25, "y": 0.75}], 60)
+    weight, residual = mixing.rake(tokens_of, [["a", "a", "b", "b"], ["x", "y", "x", "y"]], [{"a": 0.5, "b": 0.5}, {"x": 0.25, "y": 0.75}], 60)
+    assert residual < 1e-9
     assert weight[:2].sum() == pytest.approx(0.5) and weight[[0, 2]].sum() == pytest.approx(0.25)
     chance = mixing.probabilities(tokens_of, weight / (tokens_of / 100), 0.5)
     assert (chance * tokens_of).sum() == pytest.approx(50) and chance.max() <= 1
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, prose(9, i), "en" if i % 2 else None, f"s{i % 3}", -1.5, "mine", i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _probability double, _source string, _Weight long")
+    targets = {"source": 0.5, "lang": {"en": 0.7, "(none)": 0.3}, "topic": 1.0}
+    out = mixing.calibrated(frame, targets, 0.5)
+    assert out.columns[:7] == frame.columns and {"__probability", "__source", "__weight", "_kept"} <= set(out.columns)
+    assert sorted(map(tuple, out.select(*frame.columns).collect())) == sorted(rows, key=lambda r: r[0])
+    again = mixing.sample(frame, targets, 0.5)
+    assert again.columns == frame.columns and set(map(tuple, again.collect())) <= set(rows)
+
+
+def test_mixing_tells_targets_that_cannot_be_met(spark):
+    rows = [(i, "a b", "en" if i % 2 else "de", "x" if i % 2 else "y") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": 1.0}
+    with pytest.warns(UserWarning, match="missed by"):
+        assert mixing.calibrated(frame, targets, 0.5).count() == 40
+    with pytest.raises(ValueError, match="missed by"):
+        mixing.calibrated(frame, targets, 0.5, tolerance=0.01)
+    with pytest.raises(ValueError, match="max_cells"):
+        mixing.calibrated(frame, targets, 0.5, max_cells=1)
+
+
 def test_automaton():
     automaton = tokens.LongestMatch(["ab", "abcd", "bc\0", "d"])
     assert [automaton.count(w + "\0") for w in ("abcd", "abc", "abd", "x", "")] == [1, 2, 2, 1, 0]
 
 
-def test_all_offending_sentences_are_located(spark):
+def test_offending_sentences_are_those_above_the_threshold(spark):
     model = toxicity.BagModel({"^vile$": 6.0, "^bad$": 4.0, "^kind$": -3.0}, -5.0)
     parts = ["A vile day", " fine words", " bad luck", " kind people", " vile bad end", " a bad but kind one", " bad again", " vile", " so bad"]
     text = ".".join(parts)
-    (row,) = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
-    got = [text[s.start : s.end] for s in row.offending]
-    assert got == [parts[i] for i in (4, 0, 7, 2, 6, 8, 5)]
-    assert [s.score for s in row.offending] == sorted((s.score for s in row.offending), reverse=True)
-    assert row.predicted == 1
+    rows = [(1, text), (2, "so bad. kind people"), (3, "bad.bad.bad"), (4, None)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [text[s.start : s.end] for s in got[1]._t_offending] == [parts[i] for i in (4, 0, 7, 2, 6, 8)]
+    assert [s.score for s in got[1]._t_offending] == sorted((s.score for s in got[1]._t_offending), reverse=True)
+    assert got[1]._t_predicted == 1 and got[3]._t_predicted == 1 and len(got[3]._t_offending) == 3
+    assert got[2]._t_offending == [] and got[2]._t_predicted == 0 and got[4]._t_score == 0
+    strict = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model, sentence_from=0.9).collect()
+    assert [len(r._t_offending) for r in sorted(strict, key=lambda r: r.doc_id)] == [1, 0, 1, 0]
+
+
+def plain_toxicity(model, text):
+    """The noisy-or by the docstring's rule, word by word."""
+    rest = 1.0
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        found = [w for word in set(re.findall(r"[^\W\d_]+", sentence)) for n in {f"^{word}$", *(f"^{word}$"[:k] for k in (4, 5, 6)), *(f"^{word}$"[-k:] for k in (4, 5, 6))} if (w := model.weights.get(n))]
+        if found:
+            rest *= 1 - 1 / (1 + math.exp(-model.bias - sum(found)))
+    return 1 - rest
+
+
+def test_toxicity_scores_what_was_fitted():
+    rng = random.Random(5)
+    texts, labels = [], []
+    for i in range(300):
+        sentences = [" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(rng.randint(1, 9))]
+        if i % 3 == 0:
+            sentences[rng.randrange(len(sentences))] += " zzvile zzword"
+        texts.append(". ".join(sentences))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, labels)
+    for text, label in zip([*texts, "", "zzvile", "?!. \n"], [*labels, 0, 1, 0], strict=True):
+        value = model.score(text)[0]
+        assert value == pytest.approx(plain_toxicity(model, text), abs=1e-9) and (value >= 0.5) == label
+
+
+def test_toxicity_sample_is_bounded_and_columns_stay(spark):
+    rows = [(i, ("zzvile " if i % 2 else "kind ") + prose(30, i), "s", 0.25, 7) for i in range(40)]
+    rows += [(1, "x" * 5000, "s", 0.25, 7), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string, score double, _t_score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(frame, labels, F.lit(True))
+    assert model.weights and toxicity.train(frame, labels, F.lit(True), most_chars=1).weights == {}
+    out = toxicity.score(frame, model)
+    assert out.columns == ["doc_id", "text", "label", "score", "_t_score", "_t_predicted", "_t_offending"]
+    assert {r.score for r in out.where("doc_id is not null").collect()} == {0.25} and out.count() == len(rows)
 
 
 def test_packing_may_cut_at_every_sentence_end():

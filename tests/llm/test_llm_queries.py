@@ -117,11 +117,24 @@ def test_token_counts(spark, docs):
         assert got[doc_id] == (len(words), sum(greedy("".join(letters[b] for b in w.encode()) + END) for w in words))
 
 
-def test_toxicity(spark, con):
-    truth = dict(con.sql("SELECT doc_id, toxic FROM labels").fetchall())
-    got = {r.doc_id: r for r in rows_of(spark, "op8_toxicity")}
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
-    assert np.mean([got[d].predicted == t for d, t in truth.items()]) > 0.85
+def test_toxicity(spark, con, tmp_path):
+    """Contract columns, each score by a plain version, and accuracy on held-out rows alone."""
+    from test_llm_cases import plain_toxicity
+
+    from trialytics.llm import toxicity
+
+    folder = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~toxicity.held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, folder).collect()}
+    assert set(got) == set(texts)
+    for d, r in got.items():
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+        assert r.score == pytest.approx(plain_toxicity(model, texts[d] or ""), abs=1e-6)
+        assert bool(r.offending) == bool(r.predicted)
+    assert np.mean([got[d].predicted == t for d, t in truth.items() if got[d].held_out]) > 0.9
 
 
 def test_pipeline(spark, con):
