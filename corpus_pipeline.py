@@ -24,7 +24,7 @@ from trialytics.llm.toxicity import held_out, score, train
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, learnt from the labels, scores below 0.5."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    return score(docs, model).where("_t_predicted = 0").select(*docs.columns)
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
