@@ -30,33 +30,40 @@ Tuples = tuple[np.ndarray, np.ndarray]  # positions, common-prefix values
 
 
 class BucketQueues:
-    """First-in, first-out queues of tuples by letter; beyond `room` tuples in memory, runs go to files in `folder`."""
+    """First-in, first-out queues of tuples by letter. With a folder, at most about `room` tuples stay in memory: beyond it the letter with most of them goes to a file, as one run behind its earlier ones."""
 
     def __init__(self, folder: str | None = None, room: int = 1 << 24):
         self.folder, self.room, self.held = folder, room, 0
         self.queues: dict[int, deque] = defaultdict(deque)
-        self.paths: list[str] = []
+        self.sizes: dict[int, int] = defaultdict(int)  # tuples in memory, by letter
+        self.written = 0
 
     def push(self, letter: int, positions: np.ndarray, values: np.ndarray) -> None:
-        if self.folder is not None and self.held + len(positions) > self.room:
-            self.queues[letter].append(self._spill(positions, values))
-        else:
-            self.held += len(positions)
-            self.queues[letter].append((positions, values))
+        self.queues[letter].append((positions, values))
+        self.sizes[letter] += len(positions)
+        self.held += len(positions)
+        while self.folder is not None and self.held > self.room:
+            most = max(self.sizes, key=self.sizes.__getitem__)
+            paths, taken = self._in_memory(most)
+            self.queues[most] = deque([*paths, self._spill(*taken)])
+
+    def _in_memory(self, letter: int) -> tuple[list[str], Tuples]:
+        """Take a letter's runs that are in memory, as one; the files before them."""
+        queue = self.queues[letter]
+        paths = [x for x in queue if isinstance(x, str)]
+        taken = [x for x in queue if not isinstance(x, str)]
+        queue.clear()
+        self.held -= self.sizes[letter]
+        self.sizes[letter] = 0
+        return paths, taken[0] if len(taken) == 1 else (np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken]))
 
     def runs(self, letter: int) -> Iterator[Tuples]:
         """Take the letter's runs in order of arrival, those that arrive meanwhile too; runs in memory are taken together."""
-        queue = self.queues[letter]
-        while queue:
+        while queue := self.queues[letter]:
             if isinstance(queue[0], str):
                 yield self._load(queue.popleft())
-                continue
-            taken = []
-            while queue and not isinstance(queue[0], str):
-                taken.append(queue.popleft())
-            positions, values = taken[0] if len(taken) == 1 else (np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken]))
-            self.held -= len(positions)
-            yield positions, values
+            else:
+                yield self._in_memory(letter)[1]
 
     def _open(self):
         from pyarrow import fs
@@ -66,10 +73,10 @@ class BucketQueues:
     def _spill(self, positions: np.ndarray, values: np.ndarray) -> str:
         system, root = self._open()
         system.create_dir(root, recursive=True)
-        path = f"{root}/run-{len(self.paths):08d}"
+        path = f"{root}/run-{self.written:08d}"
         with system.open_output_stream(path) as out:
             out.write(np.array([len(positions)], dtype=np.int64).tobytes() + positions.tobytes() + values.tobytes())
-        self.paths.append(path)
+        self.written += 1
         return path
 
     def _load(self, path: str) -> Tuples:
@@ -81,7 +88,7 @@ class BucketQueues:
         return np.frombuffer(data, np.int32, count, 8), np.frombuffer(data, np.int32, count, 8 + 4 * count)
 
     def close(self) -> None:
-        if self.paths:
+        if self.written:
             system, root = self._open()
             system.delete_dir(root)
 

@@ -17,9 +17,12 @@ digests instead, which spreads them over all tasks.
 
 Hashes that decide: segments are held equal by 64-bit anchor hash and 64-bit digest together.
 
+Shards are about `shard_bytes` and their queues keep `room` tuples in memory, less than a shard
+has, so that they spill to the shared folder; a shard's text and its types lie in memory.
+
 Nulls and edge cases: a null text is empty; texts shorter than `length` lose nothing. Rows with
-a null id take part like others. Rows of one id are kept apart by a hash of their text; wholly
-repeated rows are documents that repeat each other. An empty table gives no rows.
+a null id take part like others. Rows of one id are kept apart by a 128-bit digest of their
+text; wholly repeated rows are documents that repeat each other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,11 +91,11 @@ def _digest(data: memoryview | bytes, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
-def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes: int = 2 << 20, crowd: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes: int = 4 << 20, room: int = 1 << 20, crowd: int = 4096) -> DataFrame:
     """id, key, first, last: ranges of window starts whose windows occur more than once. docs: id, key, text (no nulls in text)."""
     spark = prepare(docs.sparkSession)
     kind = docs.schema["id"].dataType
-    own = [T.StructField("id", kind), T.StructField("key", T.IntegerType())]
+    own = [T.StructField("id", kind), T.StructField("key", T.BinaryType())]
     whole = lambda *names: [T.StructField(n, T.LongType()) for n in names]
     found = T.StructType([*whole("anchor", "segment"), *own, *whole("first", "last")])
 
@@ -118,13 +121,14 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
     segments = cut(docs.mapInArrow(find, found), "segments")
     # written, so that the join below stands on plain exchanges, whose large partitions Spark can split
     counted = cut(segments.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("mixed")).where("n > 1").drop("n"), "counted")
-    repeated = cut(segments.join(counted, "anchor"), "repeated")
+    repeated = cut(segments.join(counted.hint("merge"), "anchor"), "repeated")
     equal = repeated.where("not mixed").select("id", "key", "first", "last")
     mixed = repeated.where("mixed")
     kinds = mixed.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "first", "last")).alias("at"))
-    crowds = kinds.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
-    kinds = cut(kinds.join(crowds, "anchor"), "kinds")
-    copied = mixed.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("id", "key", "first", "last")
+    kinds = cut(kinds, "segment-kinds")
+    crowds = cut(kinds.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded")), "crowds")
+    kinds = cut(kinds.join(crowds.hint("merge"), "anchor"), "kinds")
+    copied = cut(mixed.join(kinds.where("n > 1").select("anchor", "segment").hint("merge"), ["anchor", "segment"], "left_semi").select("id", "key", "first", "last"), "copied")
 
     total = kinds.select(F.sum(F.expr(f"at.last - at.first + {length}"))).head()[0] or 0
     shards = max(1, total // shard_bytes)
@@ -143,7 +147,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
                     else:
                         out.append((p["shard"], p["first"], p["last"], p["open"], data[p["first"] : p["last"] + length]))
                 shard, first, last, is_open, piece = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([ids[row]] * len(out), batch.column(0).type), pa.array([keys[row]] * len(out), pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(is_open, pa.bool_()), pa.array(piece, pa.binary())], names=fetched.names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([ids[row]] * len(out), batch.column(0).type), pa.array([keys[row]] * len(out), pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(is_open, pa.bool_()), pa.array(piece, pa.binary())], names=fetched.names)
 
     same = F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))
     joined = docs.alias("d").join(listed.alias("l"), same).select("d.id", "d.key", "d.text", "l.parts")
@@ -160,14 +164,14 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
         def done() -> Iterator[pa.RecordBatch]:
             folder = f"{scratch}/{context.partitionId()}-{context.taskAttemptId()}-{now}"
             out = []
-            for (doc_id, key, first, _, is_open, _), starts in zip(rows, repeated_starts([r[5] for r in rows], length, folder), strict=True):
+            for (doc_id, key, first, _, is_open, _), starts in zip(rows, repeated_starts([r[5] for r in rows], length, folder, room), strict=True):
                 if is_open and len(starts):
                     breaks = np.flatnonzero(np.diff(starts) != 1)
                     for a, b in zip(starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist(), strict=True):
                         out.append((doc_id, key, first + a, first + b))
             if out:
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int32(), pa.int64(), pa.int64()), strict=True)], names=ranges.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.binary(), pa.int64(), pa.int64()), strict=True)], names=ranges.names)
 
         for batch in batches:
             id_type = batch.column(1).type
@@ -192,7 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each removed run), and with with_kept the bytes that stay."""
     spark = prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     ranges = repeated_windows(rows, length, **options).groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span)), *([T.StructField("kept", T.BinaryType())] if with_kept else [])])
