@@ -117,34 +117,56 @@ def splice(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def as_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """16 bytes for each (id, hash), in the same order."""
+    both = np.stack([ids.astype(np.int64), hashes.astype(np.int64)], axis=1) ^ np.int64(-(1 << 63))
+    return np.ascontiguousarray(both.astype(">i8")).view("S16").ravel()
+
+
+def range_bounds(cuts: list[int]) -> tuple[np.ndarray, bool]:
+    """The first key of each range but the first, ascending, and whether an id is cut: one that quantiles name m times gets m ranges."""
+    values, times = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    pairs = set()
+    for value, count in zip(values.tolist(), times.tolist(), strict=True):
+        pairs.update((value, -(1 << 63) + (j << 64) // count) for j in range(count))
+        if count > 1 and value < (1 << 63) - 1:
+            pairs.add((value + 1, -(1 << 63)))
+    ids, hashes = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+    return as_keys(np.array(ids, dtype=np.int64), np.array(hashes, dtype=np.int64)), bool((times > 1).any())
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 256, width: int = 12) -> DataFrame:
     """Fingerprints of every text and of its edited form (see splice; the text after is that of the next id, after the last the first).
 
-    id_col is an integer. Ids alone give as many ranges as there are shuffle partitions, and
-    the first id of each range (two numbers a range on the driver). Each text goes to its range
+    id_col is an integer. Ids alone give as many ranges as there are shuffle partitions; an id
+    that fills several is cut by a hash of its texts. Each range is a partition of its own, by
+    number. The driver learns the first (id, hash) of each range. Each text goes to its range
     once, and the first text of a range to the range before as well; there a task pairs
-    neighbours as they stream by, sorted by id. Rows of equal ids follow each other in text
-    order; rows with a null id come before all others.
+    neighbours as they stream by, in order. Rows of equal ids follow each other in text order,
+    or where an id fills several ranges in order of the texts' hashes; rows with a null id come
+    before all others.
     """
     spark = prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    cuts = ids.select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).head()[0]
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    cuts = docs.select(key.alias("id")).select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).head()[0]
+    bounds, hot = range_bounds(cuts or [])
+    order = F.xxhash64(text_col) if hot else F.lit(0).cast("long")  # texts are hashed only where an id has to be cut
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, as_keys(ids.to_numpy(), hashes.to_numpy()), side="right").astype(np.int32))
 
-    firsts = ids.groupBy(range_of("id").alias("range")).agg(F.min("id").alias("id")).orderBy("range").collect()
-    before = {f["id"]: firsts[i - 1]["range"] for i, f in enumerate(firsts)}
+    found = docs.select(key.alias("id"), order.alias("hash"))
+    firsts = found.groupBy(range_of("id", "hash").alias("range")).agg(F.min(F.struct("id", "hash")).alias("at")).orderBy("range").collect()
+    before = {tuple(f["at"]): firsts[i - 1]["range"] for i, f in enumerate(firsts)}
 
     @F.pandas_udf("array<int>")
-    def places(key: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, key.to_numpy(), side="right").tolist()
-        return pd.Series([[2 * o, 2 * before[i] + 1] if i in before else [2 * o] for o, i in zip(own, key.tolist(), strict=True)])
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = np.searchsorted(bounds, as_keys(ids.to_numpy(), hashes.to_numpy()), side="right").tolist()
+        return pd.Series([[2 * o, 2 * before[i] + 1] if i in before else [2 * o] for o, i in zip(own, zip(ids.tolist(), hashes.tolist(), strict=True), strict=True)])
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, last = BottomK(k, width), None
@@ -163,7 +185,6 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (batch.column(1).type, *types), strict=True)], names=schema.names)
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    placed = docs.select(F.explode(places(key)).alias("_place"), F.col(id_col), F.col(text_col).alias("_text"))
-    ordered = placed.repartition(parts, F.shiftright("_place", 1)).sortWithinPartitions("_place", id_col, "_text")
+    placed = docs.select(F.explode(places(key, order)).alias("_place"), order.alias("_order"), F.col(id_col), F.col(text_col).alias("_text"))
+    ordered = placed.repartitionById(len(bounds) + 1, F.shiftright("_place", 1)).sortWithinPartitions("_place", id_col, "_order", "_text").drop("_order")
     return ordered.mapInArrow(pair, schema)
