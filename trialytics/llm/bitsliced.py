@@ -8,9 +8,12 @@ carry-save adders reduce the columns to the slices of the sum. The best k rows a
 from the most significant slice of the sum downward; only the rows that tie at the boundary
 are resolved one by one. All arithmetic is on integers, so results are exact.
 
-Scale: the index is built in one shuffle into blocks of block_rows rows, and queries meet it
-block against block (a stated query set against all rows); each pair of blocks yields at most
-k rows a query, whatever the number of rows.
+Scale: the index is built in one shuffle into blocks of block_rows rows, the queries into
+blocks too. A stated query set meets all rows on a grid of cells, each a partition of its own
+by number: the index is dealt over the grid's rows, the queries over its columns, column_queries
+at most in each; a cell holds its queries in memory while its index blocks stream past. So the
+index is sent once for each column and the queries once for each row, no join key gathers
+anything, and each meeting of blocks yields at most k rows a query.
 
 Nulls and edge cases: rows whose id is null, and vectors that are null or hold null or
 non-finite components, take no part; vectors of different length have no product and are not
@@ -166,41 +169,59 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return used.repartition(blocks).mapInArrow(run, INDEX)
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block_rows: int = 32768, query_rows: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block_rows: int = 32768, query_rows: int = 256, column_queries: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row that the condition `queries` picks."""
-    index = build_index(vectors, id_col, vector_col, scale, block_rows)
+    spark = prepare(vectors.sparkSession)
     asked = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    groups = max(1, -(-asked.count() // query_rows))
+    number = asked.count()
+    wanted = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-vectors.count() // block_rows))
+    columns = max(1, -(-number // column_queries), min(-(-number // query_rows), -(-wanted // blocks)))
+    rows = min(blocks, max(1, -(-wanted // columns)))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for dims, ids, rows in _vectors(batch, scale):
+            for dims, ids, found in _vectors(batch, scale):
                 numbers = np.arange(number, number + len(ids), dtype=np.int64)
                 number += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, numbers, rows))], names=["dims", "query_ids", "numbers", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, numbers, found))], names=["dims", "query_ids", "numbers", "vectors"])
+
+    def best(queries: dict, block: dict) -> pa.RecordBatch:
+        ids = np.frombuffer(block["ids"], dtype=np.int64)
+        slices = np.frombuffer(block["data"], dtype=np.uint64).reshape(block["dims"], block["bits"], -(-len(ids) // 64))
+        query_ids, numbers = (np.frombuffer(queries[n], dtype=np.int64) for n in ("ids", "numbers"))
+        asked_for = np.frombuffer(queries["data"], dtype=np.int64).reshape(len(query_ids), queries["dims"])
+        out = []
+        for query, number, vector in zip(query_ids.tolist(), numbers.tolist(), asked_for.tolist(), strict=True):
+            packed = np.packbits(ids != query, bitorder="little")
+            allowed = np.zeros(slices.shape[2] * 8, dtype=np.uint8)
+            allowed[: len(packed)] = packed
+            offset, sums = scores(slices, vector)
+            out += [(query, number, i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in top_rows(sums, allowed.view(np.uint64), ids, offset, k)]
+        found = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "query_no", "vec_id", "score"])
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype=np.int64)
-                slices = np.frombuffer(row["slices"], dtype=np.uint64).reshape(row["dims"], row["bits"], -(-len(ids) // 64))
-                query_ids, numbers = (np.frombuffer(row[n], dtype=np.int64) for n in ("query_ids", "numbers"))
-                asked_for = np.frombuffer(row["vectors"], dtype=np.int64).reshape(len(query_ids), row["dims"])
-                out = []
-                for query, number, vector in zip(query_ids.tolist(), numbers.tolist(), asked_for.tolist(), strict=True):
-                    packed = np.packbits(ids != query, bitorder="little")
-                    allowed = np.zeros(slices.shape[2] * 8, dtype=np.uint8)
-                    allowed[: len(packed)] = packed
-                    offset, sums = scores(slices, vector)
-                    out += [(query, number, i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in top_rows(sums, allowed.view(np.uint64), ids, offset, k)]
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_no", "vec_id", "score"])
-
-    blocks = asked.repartition(groups).mapInArrow(gather, QUERIES).withColumnRenamed("dims", "query_dims")
-    pairs = index.crossJoin(blocks).where("dims = query_dims").drop("query_dims")
-    found = pairs.mapInArrow(answer, FOUND)
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                if not row["indexed"]:
+                    held.append(row)
+                    continue
+                for group in held:
+                    if group["dims"] == row["dims"]:
+                        yield best(group, row)
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grouped = asked.repartition(columns).mapInArrow(gather, QUERIES).withColumn("column", F.pmod(F.spark_partition_id(), F.lit(columns)))
+    grouped = grouped.withColumn("row", upto(rows)).select((F.col("row") * columns + F.col("column")).alias("cell"), F.lit(False).alias("indexed"), "dims", F.lit(0).alias("bits"), F.col("query_ids").alias("ids"), "numbers", F.col("vectors").alias("data"))
+    index = build_index(vectors, id_col, vector_col, scale, block_rows).withColumn("row", F.pmod(F.spark_partition_id(), F.lit(rows)))
+    index = index.withColumn("column", upto(columns)).select((F.col("row") * columns + F.col("column")).alias("cell"), F.lit(True).alias("indexed"), "dims", "bits", "ids", F.lit(None).cast("binary").alias("numbers"), F.col("slices").alias("data"))
+    cells = grouped.unionByName(index).repartitionById(rows * columns, "cell").sortWithinPartitions("indexed")
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    found = cells.mapInArrow(answer, FOUND)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
