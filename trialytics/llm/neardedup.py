@@ -191,8 +191,8 @@ def _by_cell(rows: DataFrame) -> DataFrame:
 def compare_blocks(open_rows: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int, most: int, id_col: str, text_col: str, block: int = 64, stretch: int = 512) -> DataFrame:
     """Links (a, b) between members of different components of a bucket. open_rows: bucket, id, component."""
     sizes = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main"))
-    placed = cut(open_rows.join(mains, "bucket").select("main", "id", "component").distinct(), "open")
+    mains = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main")), "mains")
+    placed = cut(open_rows.join(mains.hint("merge"), "bucket").select("main", "id", "component").distinct(), "open")
     kind = open_rows.schema["id"].dataType
     near_schema = T.StructType([T.StructField("main", open_rows.schema["component"].dataType), T.StructField("id", kind)])
 
@@ -277,8 +277,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     most = MinHash(bands, rows).most_odd_bits(percent)
 
     dealt = heads.select(F.explode("keys").alias("bucket"), "id")
-    # counted by partial aggregation and joined, so that Spark can split a bucket of many members
-    full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # counted by partial aggregation, written, and joined: a merge join of two plain exchanges, whose large partitions Spark can split
+    full = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "full-buckets")
     buckets = cut(dealt.join(full.hint("merge"), "bucket", "left_semi"), "buckets")
     sketched = cut(heads.select("id", "odd").join(buckets.select("id").distinct(), "id", "left_semi"), "odd")
 
@@ -305,12 +305,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
             return known.withColumn("component", F.col("id"))
         known = known.withColumn("component", F.coalesce("component", "id"))
         several = known.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("bucket")
-        return known.join(several, "bucket", "left_semi")
+        return known.join(cut(several, "several").hint("merge"), "bucket", "left_semi")
 
     for number in range(rounds):
         rows_now = cut(open_buckets(), "open-buckets") if number else open_buckets()
         place = F.struct((F.col("id") if number == 0 else F.xxhash64(F.col("id"), F.lit(number))).alias("order"), F.col("id").alias("id"), F.col("component").alias("component"))
-        hubs = rows_now.groupBy("bucket").agg(F.min(place).alias("hub"))
+        hubs = cut(rows_now.groupBy("bucket").agg(F.min(place).alias("hub")), "hubs")
         met = rows_now.join(hubs.hint("merge"), "bucket").where("component <> hub.component")
         pairs = possible(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
         if number == 0:  # at first each document meets only the likeliest of its hubs
