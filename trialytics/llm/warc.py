@@ -158,7 +158,7 @@ def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    first = first.select("digest", "first").hint("merge")
+    first = cut(first.select("digest", "first"), "first").hint("merge")
     repeats = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", repeats.alias("refers_to"))
 
