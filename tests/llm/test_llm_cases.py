@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -107,6 +109,43 @@ def test_suffix_dedup_against_brute_force(spark, crowd):
     assert got == {i: int(m.sum()) for i, m in enumerate(brute_repeats([t.encode() for t in texts], 100))}
 
 
+def test_suffix_dedup_spills(spark, monkeypatch):
+    """One shard whose queues keep 50 tuples of several thousand; the result stays exact, and nothing is left behind."""
+    from test_llm_queries import brute_repeats
+
+    rng = random.Random(8)
+    parts = [prose(40, s) for s in range(5)]
+    texts = [" ".join(rng.choice(parts)[rng.randint(0, 9) :] for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in suffixdedup.remove_repeats(frame, 100, gram=32, room=50).collect()}
+    assert got == {i: int(m.sum()) for i, m in enumerate(brute_repeats([t.encode() for t in texts], 100))}
+
+
+def test_queues_spill_in_order(tmp_path):
+    queues = suffixarray.BucketQueues(str(tmp_path / "queues"), 10)
+    pushed = defaultdict(list)
+    for at in range(40):
+        letter = at % 3
+        queues.push(letter, np.arange(at * 4, at * 4 + 4, dtype=np.int32), np.full(4, at, dtype=np.int32))
+        pushed[letter] += range(at * 4, at * 4 + 4)
+    assert queues.written > 5 and queues.held <= 10
+    assert {c: np.concatenate([p for p, _ in queues.runs(c)]).tolist() for c in range(3)} == pushed
+    queues.close()
+    assert not (tmp_path / "queues").exists()
+
+
+def test_suffix_dedup_of_very_long_texts_and_shared_ids(spark):
+    """A repeat across the places where a long text is dealt with in stretches, and rows of one id, or none, kept apart."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    common, long, lone = noise(900), noise(suffixdedup.STRETCH + 300), noise(700)
+    a = long[: suffixdedup.STRETCH - 450] + common + long[suffixdedup.STRETCH - 450 :]
+    rows = [(1, a), (2, noise(50) + common), (None, lone), (None, common + "x"), (None, None), (3, lone[:399]), (3, noise(800))]
+    got = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in got)
+    assert found == sorted([(1, len(a), 900, 1), (2, 950, 900, 1), (0, 700, 0, 0), (0, 901, 900, 1), (0, 0, 0, 0), (3, 399, 0, 0), (3, 800, 0, 0)])
+
+
 def test_suffix_array(tmp_path):
     rng = random.Random(2)
     for trial in range(60):
@@ -179,6 +218,36 @@ def test_top_k(spark):
     assert bitsliced.top_k(frame, F.col("vec_id") % 100 == 0, 10).where("vec_id = 304").count() > 0
 
 
+def test_top_k_on_a_grid(spark):
+    """Several rows and columns of the grid, with queries of unlike lengths in one column."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.3, 3 + i % 2).tolist()) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = bitsliced.top_k(frame, F.col("vec_id") % 5 == 0, 3, block_rows=128, query_rows=8, column_queries=30)
+    exact = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    want = [(q, r, i, -s) for q in range(0, 500, 5) for r, (s, i) in enumerate(sorted((-int(exact[q] @ exact[i]), i) for i in exact if i != q and i % 2 == q % 2)[:3], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Join" not in plan
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """Most rows share an id, or have none: they are cut into several ranges, and every row still meets the next."""
+    rows = [(7, prose(3, i)) for i in range(300)] + [(i, prose(4, i)) for i in range(20, 40)] + [(None, prose(5, i)) for i in range(200)]
+    cuts = [-(1 << 63), -(1 << 63), 7, 7, 7, 30]
+    bounds, hot = fingerprints.range_bounds(cuts)
+    assert hot and len(bounds) == 8 and (bounds[:-1] < bounds[1:]).all()
+    got = fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    out = got.collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == sorted((d is not None, d or 0) for d, _ in rows)
+    texts = {r.edited_sha256 for r in out}
+    splices = {hashlib.sha256(fingerprints.splice(a, b).encode()).hexdigest() for _, a in rows for _, b in rows}
+    assert texts <= splices
+    by_id = {r.doc_id: r for r in out if r.doc_id and r.doc_id >= 20}
+    for i in range(20, 39):
+        assert by_id[i].edited_sha256 == hashlib.sha256(fingerprints.splice(prose(4, i), prose(4, i + 1)).encode()).hexdigest()
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>" + "x" * 200
     rows = [(3, "http://a/\r\nb", page), (1, None, page), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", page), (6, "u", "é" * 60), (7, "u", "é" * 60), (3, "http://a/", page)]
