@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialytics.functions import coerce, fmt, text
-from trialytics.operators import catalog, groups, lookup, quant, records, registry
+from trialytics.operators import catalog, groups, lookup, quant, records, registry, validate
 from trialytics.schemas import EVALUATION, STAGES, stage_dimension
 from trialytics.sinks import reports
 from trialytics.sources import files
@@ -33,7 +34,11 @@ def test_null_text(spark):
 
 def test_coercion(spark):
     assert values(spark, coerce.coerce_int("x"), [" 7 ", "3.0", "1_000", "", "-4"]) == [7, None, 1000, None, -4]
-    assert values(spark, coerce.coerce_bool("x"), ["Pass ", "ERROR", "2"]) == [True, False, None]
+    assert values(spark, coerce.coerce_bool("x"), ["Pass ", "ERROR", "2", "1.0"]) == [True, False, None, None]
+    assert values(spark, coerce.coerce_bool("x"), [1.0, 0.0, 2.0, float("nan"), None], "x double") == [True, False, None, None, None]
+    assert values(spark, coerce.coerce_bool("x"), [True, False], "x boolean") == [True, False] and values(spark, coerce.coerce_bool("x"), [1, 0, 7], "x int") == [True, False, None]
+    assert values(spark, coerce.coerce_int("x"), [3.9, -3.9, float("nan"), float("inf")], "x double") == [3, -3, None, None]
+    assert values(spark, coerce.coerce_int("x"), [True, False, None], "x boolean") == [1, 0, None]
 
 
 def test_paths_and_names(spark):
@@ -71,16 +76,23 @@ def test_braces():
     assert cpp.matching_brace("{ {", 0) is None
     assert cpp.class_span("class A;\nclass A { };", "A")[2] == "2 declarations"
     assert cpp.class_span("x struct B { int a; }; y", "B")[:2] == (2, 22)
-    assert cpp.without_bodies("int f() const { return 1; } void g() { if (a) { b(); } }") == "int f() const; void g();"
+    assert cpp.without_bodies("int f() const { return 1; } void g() { if (a) { b(); } }") == "int f() const ; void g() ;"
     assert cpp.without_bodies("if (a) { b(); }") == "if (a) { b(); }"
+    assert cpp.without_bodies("// f() { x\nint y;") is None  # a brace in a comment counts, and has no end
+    assert cpp.without_bodies("struct A { int f() override { return 1; }\n};") == "struct A { int f() override ;\n};"
 
 
-def test_fences():
+def test_fences(spark):
     mark = "```"
-    assert fence.normalize("int a;")["strict_format_pass"]
-    assert fence.normalize(f"{mark}cpp\nint a;\n{mark}")["normalized"] == "int a;\n"
-    for bad, error in ((f"{mark}cpp\nint a;", "unmatched_fence"), (f"{mark}java\nx\n{mark}", "disallowed_language"), (f"{mark}\n{mark}\nx\n{mark}\n{mark}", "nested_fence"), (f"{mark}\n\n{mark}", "empty_body")):
-        assert fence.normalize(bad)["error"] == error
+    made = lambda t, *a: values(spark, fence.normalize("x", *a), [t])[0]
+    assert made("int a;")["strict_format_pass"] and made(None) is None
+    kept = made(f"{mark}cpp\nint a;\r\nint b; \n{mark}")
+    assert (kept["normalized"], kept["applied"], kept["language"], kept["strict_format_pass"]) == ("int a;\r\nint b; ", True, "cpp", False)
+    assert kept["normalized_sha256"] == hashlib.sha256(b"int a;\r\nint b; ").hexdigest()
+    errors = {f"{mark}cpp\nint a;": "unmatched_fence", f"{mark}java\n \n{mark}": "disallowed_language", f"{mark}\n{mark}\nx\n{mark}\n{mark}": "nested_fence", f"{mark}\n \n{mark}": "empty_body", f"x\n{mark}\ny\n{mark}": "unmatched_fence", f"{mark}json\nx\n{mark}": "disallowed_language"}
+    assert {t: made(t)["error"] for t in errors} == errors
+    assert made(f"{mark}json\n[]\n{mark}", fence.FILE_LANGUAGES)["normalized"] == "[]" and made(f"x {mark}cpp y")["error"] is None
+    assert values(spark, text.strip_fence("x"), [f"{mark}cpp\nabc{mark}", f"{mark}cpp\n\nabc\n{mark}\n", f"{mark}a b\nabc\n{mark}"]) == [f"{mark}cpp\nabc{mark}", "abc", f"{mark}a b\nabc\n{mark}"]
 
 
 def test_tables_agree(spark):
@@ -93,6 +105,8 @@ def test_tables_agree(spark):
 def test_recursive_entry():
     assert jsontext.find_entry({"a": [{"id": "x", "v": 1}]}, "x") == {"id": "x", "v": 1}
     assert jsontext.find_entry([], "x") is None
+    assert jsontext.find_entry({"target_id": "a", "id": "b"}, "b") is None and jsontext.find_entry({"target_id": "", "id": "b"}, "b") == {"target_id": "", "id": "b"}
+    assert jsontext.find_entry([{"n": {"id": "x", "v": 1}}, {"id": "x", "v": 2}], "x")["v"] == 1
 
 
 def test_registry(spark):
@@ -113,10 +127,19 @@ def test_records(spark):
     evaluation = spark.createDataFrame([(doc,)], "j string").select(F.from_json("j", EVALUATION).alias("e")).select("e.*")
     stages = records.stages_of(evaluation, stage_dimension(spark))
     assert {r.stage: r.status for r in stages.collect()} == {**dict.fromkeys(STAGES, "not_recorded"), "build": "passed", "full_test": "passed"}
-    empty = lambda s: spark.createDataFrame([], s)
-    configs = spark.createDataFrame([("t", "", "name", None)], "target_id string, repository_id string, target_name string, granularity string")
-    out = records.assemble(configs, spark.createDataFrame([("t", "repo", "n", "function")], "target_id string, repository_id string, target_name string, target_granularity string"), empty("target_id string, run_id string, status string"), evaluation, empty("target_id string, failed_stage string, stage string, failure_stage string, error string"), stages).head()
-    assert (out.repository, out.granularity, out.overall_pass, out.result, out.full_test_tests_ran) == ("repo", "function", True, "PASS", 3)
+
+
+def test_record_rules(spark):
+    names = {"overall_pass": True, "granularity": "class_span", "original_measurement_scope": "class_span_design_input_fallback", "retry_performed": None, "automatic_repair_performed": None, "code_done_reason": None, "design_done_reason": None, "generated_loc": 1, "legacy_format": False}
+    names |= {f"{s}_status": "passed" for s in STAGES}
+    cases = {"fine": {}, "scope": {"original_measurement_scope": "whole_source_files_fallback"}, "design failed": {"design_generation_status": "failed"}, "stopped unpassed": {"code_done_reason": "stop", "code_regeneration_status": "unknown"}, "cut short": {"code_done_reason": "length"}, "unknown": {"overall_pass": None}, "no size": {"code_done_reason": "stop", "generated_loc": None}}
+    kind = {bool: "boolean", int: "int"}
+    schema = "target_id string, " + ", ".join(f"{n} {kind.get(type(v), 'string')}" for n, v in (names | {"retry_performed": True, "automatic_repair_performed": True}).items())
+    rows = spark.createDataFrame([(k, *(names | v).values()) for k, v in cases.items()], schema)
+    found = {}
+    for r in validate.violations(rows, "target_id", validate.record_rules()).collect():
+        found.setdefault(r.target_id, []).append(r.rule_no)
+    assert found == {"scope": [2], "design failed": [3], "stopped unpassed": [7], "cut short": [7], "unknown": [1], "no size": [5]}
 
 
 def test_files_and_reports(spark, tmp_path):
@@ -135,5 +158,5 @@ def test_files_and_reports(spark, tmp_path):
     assert (tmp_path / "o.csv").read_text() == "a,b,c\nx|y,1.0,\n"
     assert reports.markdown_table(df).splitlines()[2] == "| x\\|y | 1.0 | — |"
     assert "&lt;" in reports.svg_bars("a<b", [("x", 1), ("y", 0)])
-    assert reports.manifest([str(tmp_path / "o.csv")])[0]["bytes"] == os.path.getsize(tmp_path / "o.csv")
+    assert reports.manifest([str(tmp_path / "o.csv")], str(tmp_path))[0]["bytes"] == os.path.getsize(tmp_path / "o.csv")
     assert reports.fenced("``` a").startswith("````")

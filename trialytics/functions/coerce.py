@@ -20,6 +20,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _numeric(x: Column) -> Column:
+    """Whether the column's type is a number's; known when the plan is made."""
+    return F.typeof(x).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+
+
 def nonempty(x: Column | str) -> Column:
     """A string, or null where it is empty."""
     return F.nullif(_c(x), F.lit(""))
@@ -35,15 +40,20 @@ def first_nonempty(*xs: Column | str) -> Column:
 
 
 def coerce_bool(x: Column | str) -> Column:
-    """Three-valued truth of a spelling; null for any other."""
+    """Three-valued truth: booleans, numbers that equal 1 or 0, and spellings; null for any other."""
     word = F.lower(F.trim(_c(x).cast("string")))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    number = F.when(_numeric(_c(x)), word.try_cast("double"))
+    return F.when(word.isin(*TRUE_WORDS) | (number == 1), True).when(word.isin(*FALSE_WORDS) | (number == 0), False)
 
 
 def coerce_int(x: Column | str) -> Column:
-    """Whole number of a text; single underscores between digits are allowed, a decimal point isn't."""
+    """Whole number of a text, in which single underscores between digits are allowed and a decimal point isn't; of a number, toward zero (null for NaN and infinities); of a boolean, 1 or 0."""
     text = F.trim(_c(x).cast("string"))
-    return F.when(text.rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(text, "_", "").try_cast("bigint"))
+    whole = F.when(text.rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(text, "_", "").try_cast("bigint"))
+    value = text.try_cast("double")
+    cut = F.when(~F.isnan(value) & (F.abs(value) < float(1 << 63)), value.try_cast("bigint"))
+    boolean = F.when(F.typeof(_c(x)) == "boolean", F.when(text == "true", 1).when(text == "false", 0))
+    return F.coalesce(whole, F.when(_numeric(_c(x)), cut), boolean.cast("bigint"))
 
 
 def truncate_int(x: Column | str) -> Column:

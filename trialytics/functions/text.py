@@ -82,9 +82,9 @@ def first_error_line(x: Column | str, patterns: Sequence[str], size: int = 500)
 
 
 def strip_fence(x: Column | str) -> Column:
-    """The body of one outer code fence, else the text."""
-    pattern = r"\A\s*```[^\n]*\n(.*?)\n?```\s*\z"
-    return F.when(_c(x).rlike("(?s)" + pattern), F.regexp_extract(_c(x), "(?s)" + pattern, 1)).otherwise(_c(x))
+    """The body of one outer code fence, whose closing fence has a line of its own, else the text."""
+    pattern = r"(?s)\A\s*```[A-Za-z0-9_+.-]*\s*\n(.*)\n```\s*\z"  # fixed value: what such a text looks like
+    return F.when(_c(x).rlike(pattern), F.regexp_extract(_c(x), pattern, 1)).otherwise(_c(x))
 
 
 def bump_identifier(x: Column | str) -> Column:

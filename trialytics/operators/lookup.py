@@ -40,28 +40,40 @@ def resolve_directory(ids: DataFrame, directories: DataFrame, id_col: str = "tar
     return found.unionByName(within)
 
 
+#: Letters of the pieces by which contained keys are looked for.
+PIECE = 4
+
+
+def _pieces(key: str) -> Column:
+    """All pieces of a key: runs of PIECE letters, and the shorter runs, which shorter keys equal."""
+    x, size = F.col(key), F.length(key)
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+    return F.array_distinct(F.concat(*(runs(n) for n in range(1, PIECE + 1))))
+
+
+def _containing(small: DataFrame, small_key: str, large: DataFrame, large_key: str) -> DataFrame:
+    """Pairs of rows of which the large key contains the small one, found through the small key's first piece."""
+    heads = small.withColumn("_piece", F.left(small_key, F.lit(PIECE)))
+    pieces = large.withColumn("_piece", F.explode(_pieces(large_key)))
+    return heads.join(pieces, "_piece").where(F.col(large_key).contains(F.col(small_key))).drop("_piece")
+
+
 def unique_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, id_col: str, value: str, contained_after_many: bool = True) -> DataFrame:
-    """id, value: the only row of right with an equal key, else the only one that contains or is contained, else null.
+    """id, value: the only row of right with an equal key, else the only value of those that contain or are contained, else null.
 
-    contained_after_many: whether several equal keys fall through to containment too. Equality
-    is a hash join. Containment meets left and right through 4-letter pieces: the shorter key's
-    first piece must occur in the longer one; shorter keys than that are compared as they are.
+    contained_after_many: whether several equal keys fall through to containment too. Both
+    sides are reduced to their distinct keys before they meet, so that the work follows the
+    number of different keys; equality is a hash join, containment is looked for through pieces.
     """
-    a, b = left.select(id_col, left_key.alias("_a")), right.select(F.col(value), right_key.alias("_b"))
-    equal = a.join(b, F.col("_a") == F.col("_b")).groupBy(id_col).agg(F.count("*").alias("_n"), F.min(value).alias("_equal"))
-    state = a.join(equal, id_col, "left")
-    settled = F.col("_n") == 1 if contained_after_many else F.col("_n") >= 1
-    rest = state.where(~F.coalesce(settled, F.lit(False))).select(id_col, "_a")
-    size = 4
-    grams = lambda x: F.array_distinct(F.when(F.length(x) < size, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(x, i, F.lit(size)))))
-    heads = lambda x: F.left(x, F.lit(size))
-    shorts = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substring(x, i, F.lit(size - 1)))
-    pieces = lambda x: F.array_distinct(F.concat(grams(x), shorts(x), F.transform(shorts(x), lambda s: F.left(s, F.lit(2))), F.transform(shorts(x), lambda s: F.left(s, F.lit(1)))))
-    one = rest.select(id_col, "_a", heads(F.col("_a")).alias("_k")).join(b.select(value, "_b", F.explode(pieces(F.col("_b"))).alias("_k")), "_k").where(F.col("_b").contains(F.col("_a")))
-    two = b.select(value, "_b", heads(F.col("_b")).alias("_k")).join(rest.select(id_col, "_a", F.explode(pieces(F.col("_a"))).alias("_k")), "_k").where(F.col("_a").contains(F.col("_b")))
-    within = one.select(id_col, value).unionByName(two.select(id_col, value)).distinct().groupBy(id_col).agg(F.count("*").alias("_m"), F.min(value).alias("_within"))
-    out = state.join(within, id_col, "left")
-    return out.select(id_col, F.when(F.col("_n") == 1, F.col("_equal")).when(settled, F.lit(None)).when(F.col("_m") == 1, F.col("_within")).alias(value))
+    a = left.select(id_col, left_key.alias("_a"))
+    keys = right.select(F.col(value).alias("_v"), right_key.alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    asked = a.select("_a").distinct().join(keys.select(F.col("_b").alias("_a"), "_n", F.col("_least").alias("_equal")), "_a", "left")
+    settled = F.coalesce(F.col("_n") == 1 if contained_after_many else F.col("_n") >= 1, F.lit(False))
+    rest, others = asked.where(~settled & F.col("_a").isNotNull()).select("_a"), keys.where("_b is not null").select("_b", "_least", "_most")
+    both = _containing(rest, "_a", others, "_b").unionByName(_containing(others, "_b", rest, "_a"))
+    within = both.groupBy("_a").agg(F.min("_least").alias("_low"), F.max("_most").alias("_high")).where("_low = _high").select("_a", F.col("_low").alias("_within"))
+    answer = asked.join(within, "_a", "left").select("_a", F.when(F.col("_n") == 1, F.col("_equal")).when(~settled, F.col("_within")).alias(value))
+    return a.join(answer, "_a", "left").select(id_col, value)
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -3,45 +3,85 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialytics.functions.stats import fisher_exact, median, pearson
+from trialytics.functions.stats import fisher_exact, pearson
+
+
+def _same(a: str, b: str, names: Sequence[str]) -> Column:
+    """Null-safe equality of both sides' columns."""
+    return reduce(Column.__and__, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
+
+
+def value_ranks(df: DataFrame, value: str, *groups: str) -> DataFrame:
+    """groups, value, n (rows of the value), below (rows of lower values in the group).
+
+    Prefix counts over ranges of the distinct values: no task holds more than a range, however
+    few the groups are. Only the ranges' totals, a row for each range and group, meet by group.
+    """
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()).persist()
+    inside = Window.partitionBy("_range", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range", *groups).agg(F.sum("n").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    local = ranged.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    joined = local.alias("l").join(totals.alias("t"), _same("l", "t", ["_range", *groups]))
+    return joined.select(*(F.col(f"l.{g}") for g in groups), F.col(f"l.{value}"), "l.n", (F.col("_ahead") + F.col("_inside")).alias("below"))
+
+
+def _mean_place() -> Column:
+    return F.col("below") + (F.col("n") + 1) / F.lit(2.0)
 
 
 def average_rank(df: DataFrame, value: str, *groups: str, name: str = "avg_rank") -> DataFrame:
-    """Rank within groups, ties at the mean of their places. A rank needs its whole group in order; give groups."""
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*groups).orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / F.lit(2.0))
+    """Rank within groups, ties at the mean of their places."""
+    places = value_ranks(df, value, *groups).withColumn("_place", _mean_place())
+    joined = df.alias("d").join(places.alias("p"), _same("d", "p", [*groups, value]))
+    return joined.select("d.*", F.col("p._place").alias(name))
+
+
+def _median_of(ranks: DataFrame, value: str, *groups: str) -> DataFrame:
+    """groups, median: from the counts below each distinct value."""
+    totals = ranks.groupBy(*groups).agg(F.sum("n").alias("_all"))
+    held = ranks.alias("r").join(totals.alias("t"), _same("r", "t", groups)).select(*(F.col(f"r.{g}") for g in groups), F.col(f"r.{value}").alias("_v"), "r.n", "r.below", "t._all")
+    covers = lambda place: (F.col("below") < place) & (place <= F.col("below") + F.col("n"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    return held.groupBy(*groups).agg(((F.max(F.when(covers(low), F.col("_v"))) + F.max(F.when(covers(high), F.col("_v")))) / 2).alias("median"))
 
 
 def metrics_by_outcome(df: DataFrame, metrics: Sequence[str], passed: Column) -> DataFrame:
     """One row a metric: n, means and medians by outcome, point-biserial r and Spearman rho.
 
-    The metrics are unpivoted, so that one scan and one shuffle serve all; ranks are computed
-    within a metric, from its distinct values' counts, so that no sort holds a metric's rows.
+    The metrics are unpivoted, so that one scan serves all; ranks and medians come from counts
+    of distinct values (value_ranks), so that no task holds a metric's rows or values.
     """
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("p"), passed.cast("double").alias("outcome")).select("p.metric", "p.value", "outcome").where("value is not null and outcome is not null")
-    values = long.groupBy("metric", "value").agg(F.count("*").alias("n"), F.sum("outcome").alias("ones"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    of_value = values.withColumn("rank", below + (F.col("n") + 1) / F.lit(2.0))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
+    long = df.select(F.explode(pairs).alias("p"), passed.cast("double").alias("outcome")).select("p.metric", "p.value", "outcome").where("value is not null and outcome is not null")
     outcome = lambda x: F.when(F.col("outcome") == x, F.col("value"))
-    plain = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg(outcome(1)).alias("pass_mean"), median(outcome(1)).alias("pass_median"), F.avg(outcome(0)).alias("fail_mean"), median(outcome(0)).alias("fail_median"), pearson("value", "outcome").alias("point_biserial"))
-    # Pearson of ranks and outcomes from the counts; the ranks of outcomes are a linear function of them
-    n, ones = F.sum("n").cast("double"), F.sum("ones")
-    mean_rank = (n + 1) / 2
-    cross = F.sum(F.col("rank") * F.col("ones")) / n - mean_rank * ones / n
-    rank_var = F.sum(F.col("rank") * F.col("rank") * F.col("n")) / n - mean_rank * mean_rank
-    outcome_var = ones / n * (1 - ones / n)
-    ranked = of_value.groupBy("metric").agg(F.when((n >= 3) & (rank_var > 0) & (outcome_var > 0), cross / F.nullif(F.sqrt(rank_var * outcome_var), F.lit(0.0))).alias("spearman"))
-    return plain.join(ranked, "metric")
+    plain = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg(outcome(1)).alias("pass_mean"), F.avg(outcome(0)).alias("fail_mean"), pearson("value", "outcome").alias("point_biserial"))
+    medians = _median_of(value_ranks(long, "value", "metric", "outcome"), "value", "metric", "outcome")
+    medians = medians.groupBy("metric").agg(F.max(F.when(F.col("outcome") == 1, F.col("median"))).alias("pass_median"), F.max(F.when(F.col("outcome") == 0, F.col("median"))).alias("fail_median"))
+    # Pearson of ranks and outcomes; the ranks of outcomes are a linear function of them
+    ranked = spearman(long, "value", "outcome", "metric").select("metric", "spearman")
+    return plain.join(medians, "metric").join(ranked, "metric").select("metric", "n", "pass_mean", "pass_median", "fail_mean", "fail_median", "point_biserial", "spearman")
 
 
 def spearman(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
-    """Pearson of average ranks by group; null for fewer than 3 rows."""
+    """Pearson of average ranks by group; null for fewer than 3 rows. From the counts of distinct (x, y) and the ranks of distinct values."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(both, x, *groups, name="_rx"), y, *groups, name="_ry")
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("spearman"))
+    cells = both.groupBy(*groups, x, y).agg(F.count("*").alias("_w"))
+    for side, name in ((x, "_rx"), (y, "_ry")):
+        places = value_ranks(both, side, *groups).withColumn(name, _mean_place())
+        cells = cells.alias("c").join(places.alias("p"), _same("c", "p", [*groups, side])).select("c.*", f"p.{name}")
+    n = F.sum("_w").cast("double")
+    mean = (n + 1) / 2  # of ranks, on both sides
+    cross = F.sum(F.col("_rx") * F.col("_ry") * F.col("_w")) / n - mean * mean
+    spread = lambda r: F.sum(F.col(r) * F.col(r) * F.col("_w")) / n - mean * mean
+    rho = F.when((n >= 3) & (spread("_rx") > 0) & (spread("_ry") > 0), cross / F.sqrt(spread("_rx") * spread("_ry")))
+    return cells.groupBy(*groups).agg(F.sum("_w").alias("n"), rho.alias("spearman"))
 
 
 def two_by_two(df: DataFrame, group: Column, first: str, second: str, passed: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialytics.functions.coerce import first_nonempty, overall_ladder, result_label, stage_status
+from trialytics.functions.coerce import stage_status
 from trialytics.functions.fmt import ratio
 from trialytics.schemas import STAGE_ATTRIBUTES, STAGES
 
@@ -27,18 +27,6 @@ def stages_of(evaluations: DataFrame, dimension: DataFrame, key: str = "target_i
     )
 
 
-def assemble(configs: DataFrame, targets: DataFrame, runs: DataFrame, evaluations: DataFrame, failures: DataFrame, stages: DataFrame) -> DataFrame:
-    """Records: configurations with the manifests' rows, evaluations and failures, first non-empty source first."""
-    wide = flatten_stages(stages)
-    failed = F.greatest(*(F.coalesce(F.col(f"{s}_status") == "failed", F.lit(False)) for s in STAGES))
-    out = configs.alias("c").join(targets.alias("t"), "target_id", "left").join(runs.alias("r"), "target_id", "left").join(evaluations.alias("e"), "target_id", "left").join(failures.alias("f"), "target_id", "left").join(wide, "target_id", "left")
-    verdict = overall_ladder(F.col("e.overall_pass"), F.lit(None).cast("boolean"), F.when(F.col("r.status") == "passed", True).when(F.col("r.status") == "failed", False), F.col("full_test_status"), F.col("f.error").isNotNull() | failed)
-    return out.select(
-        "target_id", first_nonempty("c.repository_id", "t.repository_id").alias("repository"), first_nonempty("c.target_name", "t.target_name").alias("target_name"), first_nonempty("c.granularity", "t.target_granularity").alias("granularity"),
-        "r.run_id", verdict.alias("overall_pass"), first_nonempty("f.failed_stage", "f.stage", "f.failure_stage").alias("failure_stage"), F.col("f.error").alias("failure_message"), *(f"{s}_{a}" for s in STAGES for a in STAGE_ATTRIBUTES),
-    ).withColumn("result", result_label("overall_pass"))
-
-
 def size_ratio(df: DataFrame) -> DataFrame:
     return df.withColumn("generated_original_loc_ratio", ratio("generated_loc", "original_loc"))
 

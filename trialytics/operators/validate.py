@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialytics.schemas import STAGES
+
+
+# Scopes that are larger than a class or a function.
+FALLBACK_SCOPES = ("whole_source_files_fallback", "whole_source_files_repository_fallback", "legacy_backup_tree_fallback")
+
 
 def violations(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """key, rule_no, message for every rule that a row breaks; one scan for all row-wise rules."""
@@ -20,12 +27,12 @@ def record_rules() -> list[tuple[str, Column]]:
     failed = lambda s: c(f"{s}_status") == "failed"
     return [
         ("unknown overall result", c("overall_pass").isNull()),
-        ("size measured at another scope", c("granularity").isin("class_span", "function") & ~c("original_measurement_scope").isin("class_span", "function_span")),
-        ("passed with failed stages", c("overall_pass") & (failed("configure") | failed("build") | failed("direct_test") | failed("full_test"))),
+        ("size measured at another scope", c("granularity").isin("class_span", "function") & c("original_measurement_scope").isin(*FALLBACK_SCOPES)),
+        ("passed with failed stages", c("overall_pass") & reduce(Column.__or__, (F.coalesce(failed(s), F.lit(False)) for s in STAGES))),
         ("retry or repair recorded", F.coalesce(c("retry_performed"), F.lit(False)) | F.coalesce(c("automatic_repair_performed"), F.lit(False))),
         ("stopped without generated size", (c("code_done_reason") == "stop") & c("generated_loc").isNull() & ~F.coalesce(c("legacy_format"), F.lit(False))),
-        ("design stopped but not passed", (c("design_done_reason") == "stop") & (c("design_generation_status") != "passed")),
-        ("code truncated but not failed", (c("code_done_reason") == "length") & (c("code_regeneration_status") != "failed")),
+        ("design stopped but not passed", (c("design_done_reason") == "stop") & ~c("design_generation_status").eqNullSafe("passed")),
+        ("code reason against its stage", (c("code_done_reason") == "length") & ~c("code_regeneration_status").eqNullSafe("failed") | (c("code_done_reason") == "stop") & ~c("code_regeneration_status").eqNullSafe("passed")),
     ]
 
 

@@ -7,69 +7,132 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialytics.operators import funnel, groups, quant, validate
+from trialytics.operators import classify, funnel, groups, quant, records, validate
 from trialytics.schemas import METRICS, STAGES, stage_dimension
 from trialytics.sinks import reports
 
+# Columns of the failure report, and titles of the tables for print.
+FAILURE_COLUMNS = ("target_id", "repository", "target_name", "failure_stage", "failure_category", "failure_category_ja", "failure_detail", "design_done_reason", "code_done_reason", "normalization_applied")
+PRINT_TITLE = "# 論文掲載用集計表"
+PRINT_TABLES = ("## 表A　対象別の主実験結果", "## 表B　リポジトリ別結果", "## 表C　粒度別結果", "## 表D　粒度間の探索的比較", "## 表E　失敗原因別件数")
+SPAN, MODULE = "class_span", "module_files"
+INFERENCE_NOTE = "Exploratory only: targets are few and not guaranteed to be independent."
+#: Beginnings of messages that stop an analysis.
+FATAL = ("unknown overall result", "duplicate", "retry or repair recorded")
 
-def long_stages(records: DataFrame) -> DataFrame:
+
+def long_stages(rows: DataFrame) -> DataFrame:
     """target_id, stage, status of wide records."""
-    return records.select("target_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.coalesce(f"{s}_status", F.lit("not_recorded")).alias("status")) for s in STAGES))).alias("s")).select("target_id", "s.stage", "s.status")
+    return rows.select("target_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.coalesce(f"{s}_status", F.lit("not_recorded")).alias("status")) for s in STAGES))).alias("s")).select("target_id", "s.stage", "s.status")
 
 
-def tables(records: DataFrame) -> dict[str, DataFrame]:
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
     """Lazy result tables of wide records."""
-    passed, spark = F.col("overall_pass"), records.sparkSession
+    passed, spark = F.col("overall_pass"), rows.sparkSession
     c = F.col
     flag = lambda n: F.coalesce(c(n), F.lit(False))
     return {
-        "overall": groups.overall(records, passed),
-        "group_statistics": groups.pass_rates_by(records, ["repository", "granularity"], passed).orderBy(F.desc("dimension"), "group"),
-        "stage_funnel": funnel.stage_funnel(long_stages(records), stage_dimension(spark)),
-        "failure_stages": groups.failure_counts(records, "failure_stage", ~passed),
-        "failure_categories": groups.failure_counts(records, "failure_category", ~passed, by_count=True),
-        "quantitative": quant.metrics_by_outcome(records, METRICS, passed),
-        "inferential": quant.two_by_two(records, c("granularity"), "class_span", "module_files", passed),
-        "normalization": groups.counters(records, records_with_metadata=c("normalization_applied").isNotNull(), normalization_applied=flag("normalization_applied"), normalization_applied_and_passed=flag("normalization_applied") & passed, strict_format_failures=~c("strict_format_pass"), done_reason_length_count=c("code_done_reason") == "length", design_stop_count=c("design_done_reason") == "stop", code_stop_count=c("code_done_reason") == "stop"),
-        "data_quality": groups.counters(records, legacy_record_count=flag("legacy_format"), missing_original_loc_count=c("original_loc").isNull(), missing_generated_loc_count=c("generated_loc").isNull()),
-        "validation": validate.violations(records, "target_id", validate.record_rules()).unionByName(validate.duplicate_keys(records, "target_id")),
-        "failures": records.where(c("overall_pass") == F.lit(False)),
+        "overall": groups.overall(rows, passed),
+        "group_statistics": groups.pass_rates_by(rows, ["repository", "granularity"], passed).orderBy(F.desc("dimension"), "group"),
+        "stage_funnel": funnel.stage_funnel(long_stages(rows), stage_dimension(spark)).orderBy("stage_order").select("stage", "reached", "passed", "failed", "skipped", "not_recorded_or_unknown"),
+        "failure_stages": groups.failure_counts(rows, "failure_stage", ~passed),
+        "failure_categories": groups.failure_counts(rows, "failure_category", ~passed, by_count=True),
+        "quantitative": quant.metrics_by_outcome(rows, METRICS, passed),
+        "inferential": quant.two_by_two(rows, c("granularity"), SPAN, MODULE, passed),
+        "normalization": groups.counters(rows, records_with_metadata=c("normalization_applied").isNotNull(), normalization_applied=flag("normalization_applied"), normalization_applied_and_passed=flag("normalization_applied") & passed, strict_format_failures=~c("strict_format_pass")),
+        "generation": groups.counters(rows, done_reason_length_count=(c("design_done_reason") == "length") | (c("code_done_reason") == "length"), design_stop_count=c("design_done_reason") == "stop", code_stop_count=c("code_done_reason") == "stop"),
+        "data_quality": groups.counters(rows, legacy_record_count=flag("legacy_format"), missing_original_loc_count=c("original_loc").isNull(), missing_generated_loc_count=c("generated_loc").isNull()),
+        "validation": validate.violations(rows, "target_id", validate.record_rules()).unionByName(validate.duplicate_keys(rows, "target_id")),
+        "failures": rows.where(c("overall_pass") == F.lit(False)).select(*FAILURE_COLUMNS),
     }
 
 
-def write_reports(records: DataFrame, folder: str, svg: bool = True) -> list[dict]:
-    """Write the report set to a folder of the driver; its manifest is returned and written last."""
-    os.makedirs(folder, exist_ok=True)
-    records = records.persist()
-    made = tables(records)
+def summary(rows: DataFrame) -> dict:
+    """The summary document: small aggregates, a job each."""
+    made = {name: reports.rows_as_json(df) for name, df in tables(rows).items() if name != "failures"}
+    one = lambda name: made[name][0] if made[name] else {}
+    counted = lambda name: {r["key"]: r["n"] for r in sorted(made[name], key=lambda r: r["key"])}
+    metrics = {r["metric"]: {"n": r["n"], **{k: r[k] for k in ("pass_mean", "pass_median", "fail_mean", "fail_median")}, "point_biserial_r": r["point_biserial"], "spearman_rho": r["spearman"]} for r in made["quantitative"]}
+    test = one("inferential")
+    compared = {f"{SPAN}_vs_{MODULE}_fisher_two_sided_p": test["fisher_p"], f"{SPAN}_table": [test["a"], test["b"]], f"{MODULE}_table": [test["c"], test["d"]]} if test else {}
+    issues = [f"{r['target_id']}: {r['message']}" for r in sorted(made["validation"], key=lambda r: (r["rule_no"], r["target_id"] or ""))]
+    return {
+        "schema_version": "1.0", "generated_at_utc": reports.utc_now(), "overall": one("overall"), "group_statistics": made["group_statistics"], "stage_funnel": made["stage_funnel"],
+        "failure_stage_counts": counted("failure_stages"), "failure_category_counts": counted("failure_categories"), "normalization": one("normalization"), "generation": one("generation"),
+        "quantitative_analysis": {m: metrics[m] for m in METRICS if m in metrics}, "inferential_analysis": {"note": INFERENCE_NOTE, **compared},
+        "data_quality": {"validation_issue_count": len(issues), "validation_issues": issues, **one("data_quality")},
+    }
+
+
+def _grid(headers: list[str], lines: list[list]) -> str:
+    cell = lambda v: "—" if v is None or v == "" else str(v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join("| " + " | ".join(map(cell, line)) + " |" for line in [headers, ["---"] * len(headers), *lines])
+
+
+def print_tables(rows: DataFrame, made: dict) -> str:
+    """The tables for print, in Markdown. rows: in presentation order."""
+    share = lambda v: "—" if v is None else f"{v * 100:.1f}%"
+    listed = rows.select("no", "repository", "target_name", "granularity", "expected_direct_tests", "expected_full_tests", "result", "failure_stage", F.when(~F.coalesce("overall_pass", F.lit(False)), F.col("failure_category_ja")).alias("cause"))
+    of = lambda dimension: [[r["group"], r["total"], r["passed"], r["failed"], share(r["pass_rate"])] for r in made["group_statistics"] if r["dimension"] == dimension]
+    test = made["inferential_analysis"]
+    left, right = test.get(f"{SPAN}_table", [None, None]), test.get(f"{MODULE}_table", [None, None])
+    p = test.get(f"{SPAN}_vs_{MODULE}_fisher_two_sided_p")
+    causes = sorted(made["failure_category_counts"].items(), key=lambda x: (-x[1], x[0]))
+    grids = [
+        _grid(["No.", "Repository", "Target", "Granularity", "Direct tests", "Full tests", "Result", "Failure stage", "Failure cause"], [list(r) for r in listed.toLocalIterator()]),
+        _grid(["Repository", "N", "PASS", "FAIL", "Pass rate"], of("repository")),
+        _grid(["Granularity", "N", "PASS", "FAIL", "Pass rate"], of("granularity")),
+        _grid(["Comparison", "Group 1 PASS/FAIL", "Group 2 PASS/FAIL", "Fisher p (two-sided)"], [[f"{SPAN} vs {MODULE}", f"{left[0]}/{left[1]}", f"{right[0]}/{right[1]}", "—" if p is None else f"{p:.4f}"]]),
+        _grid(["Failure cause", "Count"], [[classify.LABELS.get(k, k), n] for k, n in causes]),
+    ]
+    return "\n\n".join([PRINT_TITLE, *(part for pair in zip(PRINT_TABLES, grids, strict=True) for part in pair)]) + "\n"
+
+
+def write_reports(rows: DataFrame, folder: str, svg: bool = True, root: str | None = None) -> list[dict]:
+    """Write the report set to a folder of the driver; its files are returned, and listed in the manifest, which is written last."""
+    os.makedirs(os.path.join(folder, "figures") if svg else folder, exist_ok=True)
+    ordered = records.presented(rows).persist()
+    plain = ordered.drop("no").orderBy(F.lower("repository"), F.lower("target_id"))
+    made = summary(ordered.drop("no"))
+    parts = tables(plain)
     at = lambda name: os.path.join(folder, name)
-    ordered = records.orderBy(F.lower("repository"), F.lower("target_id"))
-    reports.write_csv(ordered, at("main_results.csv"))
-    reports.write_json(reports.rows_as_json(ordered), at("main_results.json"))
+    files = ["main_results.csv", "main_results.json", "summary.json", "summary.md", "thesis_tables.md", "failure_analysis.csv", "group_statistics.csv", "stage_funnel.csv"]
+    reports.write_csv(plain, at("main_results.csv"))
+    reports.write_json({"records": reports.rows_as_json(plain)}, at("main_results.json"))
+    reports.write_json(made, at("summary.json"))
+    reports.write_csv(parts["failures"].orderBy(F.lower("repository"), F.lower("target_id")), at("failure_analysis.csv"))
     for name in ("group_statistics", "stage_funnel"):
-        reports.write_csv(made[name], at(f"{name}.csv"))
-    reports.write_csv(made["failures"].orderBy(F.lower("repository"), F.lower("target_id")), at("failure_analysis.csv"))
-    summary = {name: reports.rows_as_json(df) for name, df in made.items() if name != "failures"}
-    reports.write_json(summary, at("summary.json"))
-    text = "\n".join(f"## {name}\n\n{reports.markdown_table(made[name])}" for name in made if name != "failures")
-    with open(at("summary.md"), "w", encoding="utf-8", newline="\n") as out:
-        out.write("# Summary\n\n" + text)
-    files = ["main_results.csv", "main_results.json", "group_statistics.csv", "stage_funnel.csv", "failure_analysis.csv", "summary.json", "summary.md"]
+        reports.write_csv(parts[name], at(f"{name}.csv"))
+    sections = "\n".join(f"## {name}\n\n{reports.markdown_table(df)}" for name, df in parts.items() if name != "failures")
+    charts = {}
     if svg:
-        rates = [(r["group"], round(r["pass_rate"] * 100, 1)) for r in summary["group_statistics"] if r["dimension"] == "repository"]
-        charts = {"pass_rate.svg": ("Pass rate by repository", rates, "%"), "stage_funnel.svg": ("Stages reached", [(r["stage"], r["reached"]) for r in summary["stage_funnel"]], ""), "failures.svg": ("Failures by category", [(r["key"], r["n"]) for r in summary["failure_categories"]], "")}
-        for name, (title, bars, unit) in charts.items():
-            with open(at(name), "w", encoding="utf-8", newline="\n") as out:
-                out.write(reports.svg_bars(title, bars, unit))
-            files.append(name)
-    listed = reports.manifest(at(f) for f in files)
-    reports.write_json(listed, at("analysis_manifest.json"))
-    records.unpersist()
+        rates = [(r["group"], round(r["pass_rate"] * 100, 1)) for r in made["group_statistics"] if r["dimension"] == "repository"]
+        causes = sorted(made["failure_category_counts"].items(), key=lambda x: (-x[1], x[0]))
+        charts = {
+            "figures/overall_result.svg": ("Main-study results", [("PASS", made["overall"]["passed"]), ("FAIL", made["overall"]["failed"])], ""),
+            "figures/repository_pass_rate.svg": ("Pass rate by repository", rates, "%"),
+            "figures/failure_categories.svg": ("Failure categories", [(classify.LABELS.get(k, k), n) for k, n in causes], ""),
+        }
+    texts = {"summary.md": "# Summary\n\n" + sections, "thesis_tables.md": print_tables(ordered, made), **{name: reports.svg_bars(*chart) for name, chart in charts.items()}}
+    for name, words in texts.items():
+        with open(at(name), "w", encoding="utf-8", newline="\n") as out:
+            out.write(words)
+    listed = reports.manifest((at(f) for f in [*files, *charts]), root)
+    about = {"schema_version": "1.0", "project_root": root, "generated_at_utc": reports.utc_now(), "main_target_count": made["overall"]["total"], "output_files": listed, "read_only_analysis": True, "external_commands_executed": False, "llm_called": False, "docker_called": False, "tests_called": False}
+    reports.write_json(about, at("analysis_manifest.json"))
+    ordered.unpersist()
     return listed
 
 
-def exit_code(records: DataFrame, expected: tuple[int, int, int] | None = None) -> int:
-    """0, or 2 for a fatal violation: duplicate or unknown targets, or another summary than expected."""
-    fatal = validate.duplicate_keys(records, "target_id").select("message").unionByName(records.where("overall_pass is null").select(F.lit("unknown").alias("message")))
-    wrong = expected is not None and not validate.unexpected_summary(records, F.col("overall_pass"), expected).isEmpty()
-    return 2 if wrong or not fatal.isEmpty() else 0
+def fatal_issues(rows: DataFrame, expected: tuple[int, int, int] | None = None) -> list[str]:
+    """Violations that stop an analysis: duplicate or unknown targets, retries, another summary than expected."""
+    found = tables(rows)["validation"].where(F.col("message").isin(*FATAL)).orderBy("rule_no", "target_id")
+    issues = [f"{r['target_id']}: {r['message']}" for r in found.toLocalIterator()]
+    if expected is not None and (other := validate.unexpected_summary(rows, F.col("overall_pass"), expected).head()):
+        issues.append(f"unexpected summary: {tuple(other)}, expected {expected}")
+    return issues
+
+
+def exit_code(rows: DataFrame, expected: tuple[int, int, int] | None = None) -> int:
+    """0, or 2 for a fatal violation."""
+    return 2 if fatal_issues(rows, expected) else 0

@@ -186,17 +186,17 @@ def latest_run_per_key(t):
     return registry.latest(rows, "o_custkey", "seq").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT CAST(s_suppkey AS INTEGER), s_name FROM supplier WHERE CAST(s_suppkey AS INTEGER) NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 10)")
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT CAST(s_suppkey AS INTEGER), s_name FROM supplier WHERE CAST(s_suppkey AS INTEGER) NOT IN (SELECT n_nationkey FROM nation)")
 def insert_if_absent(t):
-    have = t.nation.where("n_nationkey < 10").select(c("n_nationkey").alias("key"), c("n_name").alias("name"))
+    have = t.nation.select(c("n_nationkey").alias("key"), c("n_name").alias("name"))
     return registry.insert_if_absent(have, t.supplier.select(c("s_suppkey").cast("int").alias("key"), c("s_name").alias("name")), "key")
 
 
-@query("""WITH u AS (SELECT o_custkey AS key, o_orderstatus AS status, o_orderkey AS seq FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT c_custkey AS key, c_mktsegment AS status, CAST(0 AS BIGINT) AS seq FROM customer)
+@query("""WITH u AS (SELECT o_custkey AS key, o_orderstatus AS status, o_orderkey AS seq FROM orders), b AS (SELECT c_custkey AS key, c_mktsegment AS status, CAST(0 AS BIGINT) AS seq FROM customer)
 SELECT * FROM b WHERE key NOT IN (SELECT key FROM u WHERE key IS NOT NULL) UNION ALL SELECT key, arg_max(status, seq), max(seq) FROM u GROUP BY key""")
 def registry_upsert(t):
     have = t.customer.select(c("c_custkey").alias("key"), c("c_mktsegment").alias("status"), F.lit(0).cast("bigint").alias("seq"))
-    new = t.orders.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("key"), c("o_orderstatus").alias("status"), c("o_orderkey").alias("seq"))
+    new = t.orders.select(c("o_custkey").alias("key"), c("o_orderstatus").alias("status"), c("o_orderkey").alias("seq"))
     return registry.upsert(have, new, "key", "seq")
 
 
@@ -218,7 +218,7 @@ def anti_excluded(t):
 
 
 UNIQUE = """WITH a AS (SELECT p_partkey AS id, regexp_replace(lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'x' END), '[^a-z0-9]', '', 'g') AS k FROM part),
-b AS (SELECT p_partkey AS v, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part WHERE p_partkey % 2 = 0),
+b AS (SELECT p_partkey AS v, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part),
 e AS (SELECT id, count(*) AS n, min(v) AS v FROM a JOIN b USING (k) GROUP BY id),
 w AS (SELECT id, count(*) AS n, min(v) AS v FROM a JOIN b ON (contains(a.k, b.k) OR contains(b.k, a.k)) WHERE id NOT IN (SELECT id FROM e WHERE n = 1) GROUP BY id)
 SELECT a.id, CASE WHEN e.n = 1 THEN e.v WHEN w.n = 1 THEN w.v END AS v FROM a LEFT JOIN e USING (id) LEFT JOIN w USING (id)"""
@@ -227,7 +227,7 @@ SELECT a.id, CASE WHEN e.n = 1 THEN e.v WHEN w.n = 1 THEN w.v END AS v FROM a LE
 @query(UNIQUE)
 def unique_match_join(t):
     left = t.part.select(c("p_partkey").alias("id"), F.concat("p_name", F.when(c("p_partkey") % 3 == 0, "").otherwise("x")).alias("name"))
-    right = t.part.where("p_partkey % 2 = 0").select(c("p_partkey").alias("v"), c("p_name").alias("other"))
+    right = t.part.select(c("p_partkey").alias("v"), c("p_name").alias("other"))
     return lookup.unique_match(left, right, text.squash("name"), text.squash("other"), "id", "v")
 
 
@@ -457,18 +457,34 @@ def similarity_pairs(t):
     return rows.select("doc_id", *(v.alias(k) for k, v in similarity.compare(c("text"), c("other")).items()))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_name ELSE chr(96) || chr(96) || chr(96) || 'cpp' || chr(10) || p_name END AS body FROM part")
+#: Wrapped texts, in Spark and in SQL: bare, fenced, fenced with blanks around, unclosed, without a line end before the closing fence, with another info string, with line ends of two letters, nested, empty, in another language.
+WRAPS = (("", ""), ("```cpp\n", "\n```"), ("\n```\n", "\n```\n"), ("```cpp\n", ""), ("```cpp\n", "```"), ("```c pp\n", "\n```"), ("```CPP \r\nint\r\n", "\r\n``` "), ("```cc\n```\n", "\n```\n```"), ("```\n \n```", ""), ("```java\n", "\n```"), ("x\n```cpp\n", "\n```"))
+
+
+def wrapped(t: Tables) -> DataFrame:
+    ends = [F.get(F.array(*(F.lit(w[i]) for w in WRAPS)), (c("p_partkey") % len(WRAPS)).cast("int")) for i in (0, 1)]
+    bare = F.when(c("p_partkey") % len(WRAPS) == 8, "").otherwise(c("p_name"))
+    return t.part.select("p_partkey", F.concat(ends[0], bare, ends[1]).alias("w"))
+
+
+def _sql_text(x: str) -> str:
+    return " || ".join(f"chr({ord(ch)})" if ch in "\n\r" else f"'{ch}'" for ch in x) or "''"
+
+
+WRAPPED = "SELECT p_partkey, CASE p_partkey % " + str(len(WRAPS)) + " " + " ".join(f"WHEN {i} THEN {_sql_text(a)} || {chr(39) * 2 if i == 8 else 'p_name'} || {_sql_text(b)}" for i, (a, b) in enumerate(WRAPS)) + " END AS w FROM part"
+
+
+@query(rf"""SELECT p_partkey, CASE WHEN regexp_full_match(w, '\s*```[A-Za-z0-9_+.-]*\s*\n(.*)\n```\s*', 's') THEN regexp_extract(w, '^\s*```[A-Za-z0-9_+.-]*\s*\n(.*)\n```\s*$', 1, 's') ELSE w END AS body FROM ({WRAPPED})""")
 def fence_strip(t):
-    k, n = c("p_partkey") % 4, c("p_name")
-    wrapped = F.when(k == 0, n).when(k == 1, F.concat(F.lit("```cpp\n"), n, F.lit("\n```"))).when(k == 2, F.concat(F.lit("\n```\n"), n, F.lit("```\n"))).otherwise(F.concat(F.lit("```cpp\n"), n))
-    return t.part.select("p_partkey", text.strip_fence(wrapped).alias("body"))
+    return wrapped(t).select("p_partkey", text.strip_fence("w").alias("body"))
 
 
-@query()
+@query(rf"""WITH o AS (SELECT *, regexp_full_match(w, '\s*```([A-Za-z0-9_+-]*)[ \t]*\r?\n(.*)\r?\n```[ \t]*\s*', 's') AS outer_, regexp_extract(w, '^\s*```([A-Za-z0-9_+-]*)[ \t]*\r?\n(.*)\r?\n```[ \t]*\s*$', 1, 's') AS lang, regexp_extract(w, '^\s*```([A-Za-z0-9_+-]*)[ \t]*\r?\n(.*)\r?\n```[ \t]*\s*$', 2, 's') AS body FROM ({WRAPPED})),
+e AS (SELECT *, CASE WHEN NOT outer_ AND regexp_matches(w, '(?m)^[ \t]*```[A-Za-z0-9_+-]*[ \t]*$') THEN 'unmatched_fence' WHEN outer_ AND lower(lang) NOT IN ('', 'cpp', 'c++', 'cc', 'cxx') THEN 'disallowed_language' WHEN outer_ AND NOT regexp_matches(body, '\S') THEN 'empty_body' WHEN outer_ AND regexp_matches(body, '(?m)^[ \t]*```[A-Za-z0-9_+-]*[ \t]*$') THEN 'nested_fence' END AS error FROM o),
+n AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN outer_ THEN body ELSE w END END AS normalized, outer_ AND error IS NULL AS applied FROM e)
+SELECT p_partkey, normalized, error, applied, CASE WHEN applied THEN 'outer_markdown_fence' ELSE 'none' END AS type, CASE WHEN applied THEN lower(lang) END AS language, NOT applied AND error IS NULL AS strict_format_pass, sha256(w) AS raw_sha256, sha256(normalized) AS normalized_sha256 FROM n""")
 def fence_normalize(t):
-    k, n = c("p_partkey") % 4, c("p_name")
-    wrapped = F.when(k == 0, n).when(k == 1, F.concat(F.lit("```cpp\n"), n, F.lit("\n```"))).when(k == 2, F.concat(F.lit("```java\n"), n, F.lit("\n```\n"))).otherwise(F.concat(F.lit("```cpp\n"), n))
-    return t.part.select("p_partkey", fence.normalize_udf(wrapped).alias("r")).select("p_partkey", "r.*")
+    return wrapped(t).select("p_partkey", fence.normalize("w").alias("r")).select("p_partkey", "r.*")
 
 
 @query("SELECT lang AS key, count(*) AS attempted, count(*) FILTER (WHERE quality = 1) AS build_succeeded, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS test_killed, count(*) FILTER (WHERE quality = 1) - count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS survived, round(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / CAST(nullif(count(*) FILTER (WHERE quality = 1), 0) AS DOUBLE), 9) AS detection_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -476,9 +492,9 @@ def mutation_rates(t):
     return rounded(groups.mutation_rates(labelled(t), "lang", c("quality") == 1, c("toxic") == 1), "detection_rate").withColumnRenamed("lang", "key")
 
 
-@query("WITH s AS (SELECT user_id, event_type, list(CAST(value > 50 AS VARCHAR) ORDER BY ts, event_id) AS seq FROM (SELECT * FROM events WHERE event_id % 20 = 0) GROUP BY ALL) SELECT user_id, count(*) AS runs, count(DISTINCT seq) = 1 AS repeatable FROM s GROUP BY user_id")
+@query("WITH s AS (SELECT user_id, event_type, list(CAST(value > 50 AS VARCHAR) ORDER BY ts, event_id) AS seq FROM events GROUP BY ALL) SELECT user_id, count(*) AS runs, count(DISTINCT seq) = 1 AS repeatable FROM s GROUP BY user_id")
 def repeatability(t):
-    rows = t.events.where("event_id % 20 = 0").select("user_id", "event_type", F.struct("ts", "event_id").alias("seq"), (c("value") > 50).alias("v"))
+    rows = t.events.select("user_id", "event_type", F.struct("ts", "event_id").alias("seq"), (c("value") > 50).alias("v"))
     return groups.repeatable(rows, "user_id", "event_type", "seq", "v")
 
 
@@ -567,6 +583,6 @@ def presentation_order(t):
     return records.presented(t.nation.withColumn("id", F.lpad(c("n_nationkey").cast("string"), 5, "0")), "n_name", "id").select("no", "n_name")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN (SELECT max(p_partkey) FROM part) ELSE p_partkey END AS path FROM part WHERE false UNION ALL SELECT user_id, min(event_id) FROM events WHERE value > 50 GROUP BY user_id")
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events WHERE value > 50 GROUP BY user_id")
 def candidate_priority(t):
-    return lookup.by_priority(t.events, "user_id", "event_id", "event_id", c("value") > 50).select(c("user_id").alias("p_partkey"), c("event_id").alias("path"))
+    return lookup.by_priority(t.events, "user_id", "event_id", "event_type", c("value") > 50)

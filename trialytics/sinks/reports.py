@@ -10,6 +10,7 @@ import csv
 import hashlib
 import json
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -65,28 +66,46 @@ def escape(text: str) -> str:
     return "".join(ENTITIES.get(c, c) for c in text)
 
 
-def svg_bars(title: str, bars: Iterable[tuple[str, float]], unit: str = "", width: int = 960, row: int = 52, bar: int = 28) -> str:
+# The chart's width, margins (left, right, top, below), rows and bars, in pixels.
+CHART = {"width": 960, "left": 240, "right": 80, "top": 90, "below": 70, "row": 52, "bar": 28}
+
+
+def svg_bars(title: str, bars: Iterable[tuple[str, float]], unit: str = "") -> str:
     """Horizontal bars, scaled to the largest value (1 if none is positive)."""
     bars = list(bars)
-    most = max((v for _, v in bars), default=0)
-    scale = most if most > 0 else 1
-    left, room = 300, width - 300 - 120
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{80 + row * len(bars)}" role="img">', f'<text x="20" y="40" font-size="22">{escape(title)}</text>']
-    for i, (label, value) in enumerate(bars):
-        y = 70 + i * row
-        size = max(0.0, value) / scale * room
-        parts += [f'<text x="20" y="{y + 19}" font-size="15">{escape(label)}</text>', f'<rect x="{left}" y="{y}" width="{size:.1f}" height="{bar}" fill="#4477aa"/>', f'<text x="{left + size + 8:.1f}" y="{y + 19}" font-size="15">{value:g}{escape(unit)}</text>']
-    return "\n".join([*parts, "</svg>"]) + "\n"
-
-
-def manifest(paths: Iterable[str]) -> list[dict]:
-    """name, bytes and SHA-256 of outputs on the driver."""
+    most = max((v for _, v in bars), default=1.0)
+    room = CHART["width"] - CHART["left"] - CHART["right"]
+    height = CHART["top"] + CHART["row"] * len(bars) + CHART["below"]
+
+    def label(x: float, y: float, words: str, size: int = 16, **more: str) -> str:
+        extra = "".join(f' {k.replace("_", "-")}="{v}"' for k, v in more.items())
+        return f'<text x="{x}" y="{y}" font-family="sans-serif" font-size="{size}"{extra}>{escape(words)}</text>'
+
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{CHART["width"]}" height="{height}" viewBox="0 0 {CHART["width"]} {height}">', '<rect width="100%" height="100%" fill="white"/>']
+    out.append(label(CHART["width"] / 2, 42, title, 24, text_anchor="middle", font_weight="bold"))
+    for place, (name, value) in enumerate(bars):
+        top = CHART["top"] + place * CHART["row"]
+        line, length = top + CHART["bar"] - 6, room * value / (most if most > 0 else 1.0)
+        out.append(label(CHART["left"] - 12, line, name, text_anchor="end"))
+        out.append(f'<rect x="{CHART["left"]}" y="{top}" width="{length:.2f}" height="{CHART["bar"]}" fill="#4c78a8"/>')
+        out.append(label(round(CHART["left"] + length + 8, 2), line, f"{value:g}{unit}"))
+    return "\n".join([*out, "</svg>"]) + "\n"
+
+
+def manifest(paths: Iterable[str], root: str | None = None) -> list[dict]:
+    """path (relative to root where it lies below it), bytes and SHA-256 of outputs on the driver."""
     out = []
     for path in map(Path, paths):
         data = path.read_bytes()
-        out.append({"file": path.name, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+        named = path.relative_to(root) if root and path.is_relative_to(root) else path
+        out.append({"path": named.as_posix(), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
     return out
 
 
+def utc_now() -> str:
+    """The present time in ISO 8601, in UTC with its offset."""
+    return datetime.now(UTC).isoformat()
+
+
 def or_absent(value: object) -> str:
     return ABSENT if value in (None, "") else str(value)

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 #: What hides braces: comments, strings and characters; then braces themselves.
 LEXEME = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|[{}]""", re.S)
-CALLABLE = re.compile(r"\)\s*(?:const\b\s*)?(?:noexcept\b\s*)?(?:override\b\s*)?(?:final\b\s*)?\Z")
+# What stands before a function's body, and before a control statement's; how far back is looked.
+CALLABLE = re.compile(r"\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:final\s*)?\Z")
+CONTROL = re.compile(r"\b(?:if|for|while|switch|catch)\s*\([^)]*\)\s*\Z")
+LOOK_BACK = 240
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("error", T.StringType())])
-CONTROL = re.compile(r"\b(?:if|for|while|switch|catch)\s*\Z")
 
 
 def matching_brace(text: str, opening: int) -> int | None:
@@ -38,28 +40,24 @@ def class_span(text: str, symbol: str) -> tuple[int | None, int | None, str | No
     return found[0].start(), (semicolon if semicolon >= 0 else closing) + 1, None
 
 
-def _controls(head: str) -> bool:
-    """Whether the parenthesis that ends head belongs to a control statement."""
-    depth = 0
-    for at in range(head.rindex(")"), -1, -1):
-        depth += {")": 1, "(": -1}.get(head[at], 0)
-        if depth == 0:
-            return bool(CONTROL.search(head[:at]))
-    return False
-
+def without_bodies(text: str) -> str | None:
+    """The text with function bodies replaced by semicolons; None if a body has no end.
 
-def without_bodies(text: str) -> str:
-    """The text with the bodies of functions replaced by semicolons."""
+    A lexical rule: any opening brace counts, in comments and strings too, behind whose
+    look-back a parameter list ends that isn't a control statement's. What stands before the
+    brace stays as it is, blanks included.
+    """
     out, done = [], 0
-    for token in LEXEME.finditer(text):
-        if token[0] != "{" or token.start() < done:
+    for brace in re.finditer("{", text):
+        at = brace.start()
+        if at < done:
             continue
-        head = text[max(done, token.start() - 240) : token.start()]
-        if CALLABLE.search(head) and not _controls(head):
-            closing = matching_brace(text, token.start())
-            if closing is not None:
-                out += [text[done : token.start()].rstrip(), ";"]
-                done = closing + 1
+        head = text[max(0, at - LOOK_BACK) : at].rstrip()
+        if CALLABLE.search(head) and not CONTROL.search(head):
+            if (closing := matching_brace(text, at)) is None:
+                return None
+            out += [text[done:at], ";"]
+            done = closing + 1
     return "".join(out) + text[done:]
 
 

@@ -1,48 +1,38 @@
-"""Strict handling of one outer code fence, with what was done and why not."""
+"""Strict handling of one outer code fence, with what was done and why not. Columns only."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Languages that a fence may name.
-LANGUAGES = ("", "c", "c++", "cpp", "cc", "cxx", "h", "hpp", "json")
-FENCE = re.compile(r"^[ \t]*```")
-FLAGS = ("applied", "strict_format_pass")
-NAMES = ("normalized", "error", "applied", "type", "language", "strict_format_pass", "raw_sha256", "normalized_sha256")
-SCHEMA = T.StructType([T.StructField(n, T.BooleanType() if n in FLAGS else T.StringType()) for n in NAMES])
-
-
-def normalize(raw: str, languages: tuple[str, ...] = LANGUAGES) -> dict:
-    """The body of the only outer fence, or the text if it has none. Errors: unmatched_fence, disallowed_language, nested_fence, empty_body."""
-    text = raw.strip().replace("\r\n", "\n")
-    lines = text.split("\n")
-    marks = [i for i, line in enumerate(lines) if FENCE.match(line)]
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    out = {"normalized": raw, "error": None, "applied": False, "type": "none", "language": None, "strict_format_pass": not marks, "raw_sha256": digest(raw)}
-    if marks:
-        language = lines[marks[0]].strip()[3:].strip().lower()
-        body = "\n".join(lines[1:-1])
-        if len(marks) == 1 or marks[0] != 0 or marks[-1] != len(lines) - 1:
-            out["error"] = "unmatched_fence"
-        elif len(marks) > 2:
-            out["error"] = "nested_fence"
-        elif language not in languages:
-            out["error"] = "disallowed_language"
-        elif not body.strip():
-            out["error"] = "empty_body"
-        else:
-            out |= {"normalized": body + "\n", "applied": True, "type": "outer_markdown_fence", "language": language or None}
-        if out["error"]:
-            out["normalized"] = None
-    out["normalized_sha256"] = None if out["normalized"] is None else digest(out["normalized"])
-    return out
-
 
-@F.pandas_udf(SCHEMA)
-def normalize_udf(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([dict.fromkeys(NAMES) if t is None else normalize(t) for t in text], columns=list(NAMES))
+# Languages that a fence may name, for replies in code and replies in files; what an outer and a bare fence look like.
+CODE_LANGUAGES = ("", "cpp", "c++", "cc", "cxx")
+FILE_LANGUAGES = ("", "json")
+OUTER = r"(?s)\A\s*```([A-Za-z0-9_+\-]*)[ \t]*\r?\n(.*)\r?\n```[ \t]*\s*\z"
+BARE = r"(?md)^[ \t]*```[A-Za-z0-9_+\-]*[ \t]*$"
+
+
+def normalize(raw: Column | str, languages: tuple[str, ...] = CODE_LANGUAGES) -> Column:
+    """struct(normalized, error, applied, type, language, strict_format_pass, raw_sha256, normalized_sha256).
+
+    The body of the only outer fence, verbatim, or the text if it has none. Errors, in this
+    order: unmatched_fence, disallowed_language, empty_body, nested_fence; then normalized is
+    null. A null text gives nulls.
+    """
+    x = F.col(raw) if isinstance(raw, str) else raw
+    outer, bare = x.rlike(OUTER), lambda t: t.rlike(BARE)
+    language, body = F.lower(F.regexp_extract(x, OUTER, 1)), F.regexp_extract(x, OUTER, 2)
+    error = (
+        F.when(~outer & bare(x), "unmatched_fence")
+        .when(outer & ~language.isin(*languages), "disallowed_language")
+        .when(outer & ~body.rlike(r"\S"), "empty_body")
+        .when(outer & bare(body), "nested_fence")
+    )
+    normalized = F.when(error.isNull(), F.when(outer, body).otherwise(x))
+    applied = outer & error.isNull()
+    digest = lambda t: F.sha2(t.cast("binary"), 256)
+    made = F.struct(
+        normalized.alias("normalized"), error.alias("error"), applied.alias("applied"), F.when(applied, "outer_markdown_fence").otherwise("none").alias("type"), F.when(applied, language).alias("language"),
+        (~applied & error.isNull()).alias("strict_format_pass"), digest(x).alias("raw_sha256"), digest(normalized).alias("normalized_sha256"),
+    )
+    return F.when(x.isNotNull(), made)

@@ -39,16 +39,17 @@ def pretty(text: pd.Series) -> pd.Series:
 
 
 def find_entry(value, wanted: str, keys: tuple[str, ...] = ("target_id", "id", "target")):
-    """The first object, outside in, whose id is wanted."""
+    """The first object, outside in, whose id - the first of its keys that isn't null, '' or [] - is wanted."""
     waiting = [value]
     while waiting:
-        here = waiting.pop(0)
+        here = waiting.pop()
         if isinstance(here, dict):
-            if any(here.get(k) == wanted for k in keys):
+            named = [here[k] for k in keys if here.get(k) not in (None, "", [])]
+            if named and named[0] == wanted:
                 return here
-            waiting = list(here.values()) + waiting
+            waiting += reversed(here.values())
         elif isinstance(here, list):
-            waiting = here + waiting
+            waiting += reversed(here)
     return None
 
 
@@ -66,5 +67,17 @@ def find_entry_udf(text: pd.Series, wanted: pd.Series) -> pd.Series:
 
 def output_schema(paths: list[str]) -> dict:
     """JSON Schema of a reply that holds exactly the given files."""
-    item = {"type": "object", "properties": {"path": {"type": "string", "enum": paths}, "content": {"type": "string"}}, "required": ["path", "content"], "additionalProperties": False}
-    return {"type": "object", "properties": {"files": {"type": "array", "items": item, "minItems": len(paths), "maxItems": len(paths)}}, "required": ["files"], "additionalProperties": False}
+    # Fixed value: the schema that is sent with a request.
+    return {
+        "type": "object",
+        "properties": {
+            "files": {
+                "type": "array",
+                "items": {"type": "object", "properties": {"path": {"type": "string", "enum": paths}, "content": {"type": "string"}}, "required": ["path", "content"], "additionalProperties": False},
+                "minItems": len(paths),
+                "maxItems": len(paths),
+            }
+        },
+        "required": ["files"],
+        "additionalProperties": False,
+    }
