@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pytest
 from conftest import DATA
 from oracle import connect, differences
 
+from trialytics.plans import rule_queries  # noqa: F401  registers its queries
 from trialytics.plans.queries import ORACLES, QUERIES
 
 FOLDER = f"{DATA}/sf0.001"
@@ -50,3 +54,95 @@ def test_similarity_pairs_compares_all_neighbours(spark, tmp_path):
         bare = [None if v is None else re.sub(r"\s+", "", v) for v in (x, y)]
         want.append((i, None, None, None) if x is None or y is None else (i, x == y, bare[0] == bare[1], SequenceMatcher(None, x, y).ratio()))
     assert sorted(map(tuple, QUERIES["similarity_pairs"](spark, str(tmp_path)).collect())) == want
+
+
+def rows_of(spark, name, key):
+    return {r[key]: r for r in QUERIES[name](spark, FOLDER).collect()}
+
+
+def plain_closing(text, opening):
+    """Place of the matching brace, letter by letter."""
+    depth, state, at = 0, "", opening
+    while at < len(text):
+        two, one = text[at : at + 2], text[at]
+        if state == "":
+            if two in ("//", "/*"):
+                state, at = two, at + 1
+            elif one in "\"'":
+                state = one
+            else:
+                depth += (one == "{") - (one == "}")
+                if one == "}" and depth == 0:
+                    return at
+        elif state == "//":
+            state = "" if one == "\n" else state
+        elif state == "/*":
+            if two == "*/":
+                state, at = "", at + 1
+        elif one == "\\":
+            at += 1
+        elif one == state:
+            state = ""
+        at += 1
+    return None
+
+
+def test_brace_match(spark, con):
+    got = rows_of(spark, "brace_match", "page_id")
+    for page, html in con.sql("SELECT page_id, html FROM pages").fetchall():
+        at = html.find("{")
+        assert got[page].opening == at and got[page].closing == (plain_closing(html, at) if at >= 0 else None)
+
+
+def test_strip_bodies(spark, con):
+    import hashlib
+
+    got = rows_of(spark, "strip_bodies", "page_id")
+    for page, html in con.sql("SELECT page_id, html FROM pages").fetchall():
+        text, out, done, at = "int f() const { return 1; } if (x) { y(); }\n" + html, "", 0, 0
+        while out is not None and (at := text.find("{", at)) >= 0:
+            head = text[max(0, at - 240) : at].rstrip()
+            called = re.search(r"\)\s*(const\s*)?(noexcept\s*)?(override\s*)?(final\s*)?$", head) and not re.search(r"\b(if|for|while|switch|catch)\s*\([^)]*\)\s*$", head)
+            end = plain_closing(text, at) if called else at
+            if called:
+                out = None if end is None else out + text[done:at] + ";"
+                done = 0 if end is None else end + 1
+            at = (end or at) + 1
+        want = None if out is None else hashlib.sha256((out + text[done:]).encode()).hexdigest()
+        assert got[page].digest == want
+
+
+def test_class_spans(spark, con):
+    got = rows_of(spark, "class_spans", "p_partkey")
+    for key, name in con.sql("SELECT p_partkey, p_name FROM part").fetchall():
+        source = "struct P { int a; };\nclass X : P { void f() { if (a) { a = '}'; } } };\n" + name
+        start = source.index("class X") if key % 2 == 0 else None
+        end = None if start is None else source.index(";", plain_closing(source, source.index("{", start))) + 1
+        assert (got[key].start, got[key].end, got[key].error) == (start, end, None if key % 2 == 0 else "0 declarations")
+
+
+def test_source_paths(spark, con):
+    got = rows_of(spark, "source_paths", "page_id")
+    letter = "[A-Za-z0-9_.-]"
+    for page, url, html in con.sql("SELECT page_id, url, html FROM pages").fetchall():
+        found = re.findall(rf"(?<!{letter})({letter}+(?:/{letter}+)+\.(?:cpp|cxx|hpp|hxx|cc|hh|c|h))(?!{letter})", url + " src/a/b.cpp, include/x.hpp " + html)
+        assert got[page].paths == list(dict.fromkeys(found)) and len(found) >= 2
+
+
+def test_backref_counts(spark, con):
+    got = rows_of(spark, "backref_counts", "o_orderkey")
+    for (key,) in con.sql("SELECT o_orderkey FROM orders").fetchall():
+        found = re.search(r"CTest[^\n]*?(\d+)\s*/\s*\1", f"CTest {key % 60}/63, then {key % 60}/{key % 60}")
+        assert got[key].n == int(found[1])
+
+
+def test_json_errors(spark, con):
+    got = rows_of(spark, "json_errors", "event_id")
+    for key, props in con.sql("SELECT event_id, props FROM events").fetchall():
+        text = props if key % 2 == 0 else props[:6]
+        try:
+            json.loads(text)
+            want = (None, None, None)
+        except json.JSONDecodeError as e:
+            want = (e.lineno, e.colno, e.msg)
+        assert (got[key].line, got[key].column, got[key].message) == want

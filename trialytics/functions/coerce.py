@@ -145,3 +145,41 @@ def name_of(target_id: Column | str, prefixes: Sequence[str]) -> Column:
     for prefix in reversed(prefixes):
         out = F.when(_c(target_id).startswith(prefix), F.substring(_c(target_id), len(prefix) + 1, 1 << 30)).otherwise(out)
     return F.replace(out, F.lit("-"), F.lit("_"))
+
+
+def response_text(doc: Column | str) -> Column:
+    """The reply's text at the first of the places that exists; null unless it is a string that isn't blank."""
+    paths = ("response", "content", "message.content", "choices['0'].message.content", "choices['0'].text")  # fixed values
+    found = variant_path(doc, *paths, kind="variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.try_variant_get(found, "$", "string"), F.lit(""))).try_cast("string")
+
+
+# What is told of a model, and of its options.
+MODEL_FIELDS = ("name", "local_id", "architecture", "parameters", "quantization", "ollama_version")
+OPTION_FIELDS = ("temperature", "seed", "num_ctx", "num_predict", "top_k", "top_p", "repeat_penalty")
+
+
+def model_of(run: Column | str) -> Column:
+    """struct of the fourteen strings that a run's configuration tells of its model; nulls for what it doesn't."""
+    at = lambda path: F.try_variant_get(_c(run), path, "string")
+    return F.struct(at("$.provider").alias("provider"), *(at(f"$.model.{n}").alias(n) for n in MODEL_FIELDS), *(at(f"$.generation.options.{n}").alias(n) for n in OPTION_FIELDS))
+
+
+def exchange(request: Column | str, response: Column | str) -> Column:
+    """struct(model, stream, system_chars, prompt_chars, response_chars) of a request and its response; lengths of strings only."""
+
+    def string(doc: Column | str, name: str) -> Column:
+        value = F.try_variant_get(_c(doc), f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+    sizes = [F.length(string(d, n)).cast("bigint").alias(f"{n}_chars") for d, n in ((request, "system"), (request, "prompt"), (response, "response"))]
+    return F.struct(first_nonempty(string(request, "model"), string(response, "model")).alias("model"), F.try_variant_get(_c(request), "$.stream", "boolean").alias("stream"), *sizes)
+
+
+def file_map(text: Column | str, schema: str) -> Column:
+    """path -> content of a reply's files, the last of a path; null where it isn't such an object."""
+    parsed = F.from_json(_c(text), schema)["files"]
+    usable = F.size(parsed) == F.size(F.filter(parsed, lambda f: f["path"].isNotNull() & f["content"].isNotNull()))
+    paths = F.array_distinct(F.transform(parsed, lambda f: f["path"]))
+    last = F.transform(paths, lambda p: F.struct(p.alias("k"), F.try_element_at(F.filter(parsed, lambda f: f["path"] == p), F.lit(-1))["content"].alias("v")))
+    return F.when(usable, F.map_from_entries(last))

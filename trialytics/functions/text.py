@@ -62,6 +62,7 @@ def last_match(x: Column | str, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+# Fixed values below: what test tools print.
 def gtest_counts(x: Column | str) -> Column:
     """struct(ran, passed, failed) by the last summary lines; failed is 0 where nothing failed."""
     number = lambda p: last_match(x, p).try_cast("bigint")
@@ -103,8 +104,8 @@ def normalized_text(x: Column | str) -> Column:
 
 
 def include_lines(x: Column | str) -> Column:
-    kept = F.filter(F.split(unify_newlines(x), "\n"), lambda s: F.ltrim(s).startswith("#include"))
-    return F.transform(kept, lambda s: F.rtrim(s))
+    kept = F.filter(F.split(unify_newlines(x), "\n"), lambda s: s.rlike(r"^\s*#include"))
+    return F.transform(kept, lambda s: F.regexp_replace(s, r"\s+\z", ""))
 
 
 def indent(x: Column | str, blank: str) -> Column:
@@ -146,15 +147,22 @@ def is_separator(cells: Column | str) -> Column:
 
 def bullets(x: Column | str) -> Column:
     """array of struct(name, status) of '- **name — status**' lines."""
-    pattern = r"(?md)^\s*[-*]\s+\*\*(.+?)\s+[—-]\s+(.+?)\*\*"
+    pattern = r"(?md)^\s*-\s+\*\*(.+?)\s+[—-]\s+([^*]+)\*\*"  # fixed value
     names, states = (F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(g)) for g in (1, 2))
     return F.transform(F.arrays_zip(names.alias("name"), states.alias("status")), lambda p: F.struct(strip_marks(p["name"]).alias("name"), F.trim(p["status"]).alias("status")))
 
 
+def judgments(x: Column | str) -> Column:
+    """array of struct(name, status, notes) of table rows that judge a target."""
+    pattern = r"(?md)^\|\s*([A-Za-z][A-Za-z0-9_-]*)\s*\|\s*(条件付き採用|採用|除外)\s*\|\s*(.*?)\s*\|$"  # fixed value
+    names, states, notes = (F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(g)) for g in (1, 2, 3))
+    return F.arrays_zip(names.alias("name"), states.alias("status"), notes.alias("notes"))
+
+
 def overall_from_markdown(x: Column | str) -> Column:
-    """True or false by an 'overall ... : pass|fail' line."""
-    word = F.lower(F.regexp_extract(_c(x), r"(?i)overall[^:\n]*:\s*\**\s*(pass|fail)", 1))
-    return F.when(word == "pass", True).when(word == "fail", False)
+    """True where the text tells an overall pass, false where it tells only an overall failure."""
+    told = lambda word: _c(x).rlike(rf"(?i)\boverall\s*(?:result|status)?\s*[:|]\s*{word}\b")  # noqa: E731  fixed value
+    return F.when(told("pass"), True).when(told("fail"), False)
 
 
 def called_methods(x: Column | str, variable: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialytics.functions.stats import fisher_exact, pearson
+from trialytics.session import cut
 
 
 def _same(a: str, b: str, names: Sequence[str]) -> Column:
@@ -23,7 +24,8 @@ def value_ranks(df: DataFrame, value: str, *groups: str) -> DataFrame:
     few the groups are. Only the ranges' totals, a row for each range and group, meet by group.
     """
     counted = df.groupBy(*groups, value).agg(F.count("*").alias("n"))
-    ranged = counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()).persist()
+    ranged = counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged, "ranges")
     inside = Window.partitionBy("_range", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range", *groups).agg(F.sum("n").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))

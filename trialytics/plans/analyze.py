@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialytics.operators import classify, funnel, groups, quant, records, validate
 from trialytics.schemas import METRICS, STAGES, stage_dimension
+from trialytics.session import cut
 from trialytics.sinks import reports
 
 # Columns of the failure report, and titles of the tables for print.
@@ -91,7 +92,7 @@ def print_tables(rows: DataFrame, made: dict) -> str:
 def write_reports(rows: DataFrame, folder: str, svg: bool = True, root: str | None = None) -> list[dict]:
     """Write the report set to a folder of the driver; its files are returned, and listed in the manifest, which is written last."""
     os.makedirs(os.path.join(folder, "figures") if svg else folder, exist_ok=True)
-    ordered = records.presented(rows).persist()
+    ordered = cut(records.presented(rows), "presented").orderBy("no")
     plain = ordered.drop("no").orderBy(F.lower("repository"), F.lower("target_id"))
     made = summary(ordered.drop("no"))
     parts = tables(plain)
@@ -120,7 +121,6 @@ def write_reports(rows: DataFrame, folder: str, svg: bool = True, root: str | No
     listed = reports.manifest((at(f) for f in [*files, *charts]), root)
     about = {"schema_version": "1.0", "project_root": root, "generated_at_utc": reports.utc_now(), "main_target_count": made["overall"]["total"], "output_files": listed, "read_only_analysis": True, "external_commands_executed": False, "llm_called": False, "docker_called": False, "tests_called": False}
     reports.write_json(about, at("analysis_manifest.json"))
-    ordered.unpersist()
     return listed
 
 

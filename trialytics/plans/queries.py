@@ -513,8 +513,7 @@ def json_files_map(t):
     k, s = c("o_orderkey") % 3, c("o_orderstatus")
     two = F.concat(F.lit('{"files": [{"path": "a.h", "content": "old"}, {"path": "b.cc", "content": "x"}, {"path": "a.h", "content": "'), s, F.lit('"}]}'))
     one = F.concat(F.lit('{"files": [{"path": "a.h", "content": "'), s, F.lit('"}]}'))
-    parsed = F.from_json(F.when(k == 0, "{nope").when(k == 1, two).otherwise(one), MODULE_FILES)["files"]
-    last = F.map_from_entries(F.array_compact(F.transform(F.array_distinct(F.transform(parsed, lambda f: f["path"])), lambda p: F.struct(p.alias("k"), F.try_element_at(F.filter(parsed, lambda f: f["path"] == p), F.lit(-1))["content"].alias("v")))))
+    last = coerce.file_map(F.when(k == 0, "{nope").when(k == 1, two).otherwise(one), MODULE_FILES)
     rows = t.orders.select("o_orderkey", last.alias("m"))
     names = F.array_sort(F.map_keys("m"))
     return rows.select("o_orderkey", F.array_join(names, "~").alias("paths"), F.try_element_at(c("m"), F.lit("a.h")).alias("content"), F.coalesce(names == F.array(F.lit("a.h"), F.lit("b.cc")), F.lit(False)).alias("expected"))

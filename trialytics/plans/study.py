@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from trialytics.functions import coerce, text
 from trialytics.functions.fmt import ratio
 from trialytics.operators import classify, lookup
+from trialytics.operators.records import union_records
 from trialytics.schemas import STAGE_ATTRIBUTES, STAGES
-from trialytics.session import prepare
+from trialytics.session import cut, prepare
 from trialytics.sources import files
 
 # Where a study keeps its files, relative to its root or to a target's folder, in order of preference.
@@ -45,6 +46,7 @@ RECORD = (
     "design_done_reason", "design_prompt_eval_count", "design_eval_count", "code_done_reason", "code_prompt_eval_count", "code_eval_count", "normalization_applied", "normalization_type", "strict_format_pass", "retry_performed", "automatic_repair_performed",
     "overall_pass", "result", "failure_stage", "failure_category", "failure_category_ja", "failure_detail", "original_loc", "original_chars", "original_measurement_scope", "generated_loc", "generated_chars", "generated_original_loc_ratio", "restored", "repository_clean", "total_recorded_elapsed_seconds", "data_quality_notes",
 )
+STAGE_KINDS = {"exit_code": "bigint", "timed_out": "boolean", "elapsed_seconds": "double", "tests_ran": "bigint", "tests_passed": "bigint", "tests_failed": "bigint"}
 COLUMNS = (*RECORD, *(f"{s}_{a}" for s in STAGES for a in STAGE_ATTRIBUTES))
 
 # Notes on a record.
@@ -207,23 +209,22 @@ def files_base(name: str) -> str:
     return name.rsplit("/", 1)[-1]
 
 
+def _told(stage: str) -> dict[str, Column]:
+    """What the evaluation tells of a stage, as text."""
+    at = lambda *keys: coerce.first_nonempty(*(_get("evaluation_doc", f"stages.{stage}.{k}") for k in keys))
+    places = {
+        "skipped": ("skipped",), "passed": ("passed",), "word": ("status", "result"), "exit_code": ("exit_code",), "timed_out": ("timed_out", "timeout"), "elapsed_seconds": ("elapsed_seconds", "duration_seconds"),
+        "tests_ran": ("tests_ran", "ran", "total"), "tests_passed": ("tests_passed", "passed_count"), "tests_failed": ("tests_failed", "failed_count"), "stdout_log": ("stdout_log",), "stderr_log": ("stderr_log",),
+    }
+    return {f"told_{stage}_{n}": at(*keys) for n, keys in places.items()} | {f"told_{stage}_present": _is_object(F.try_variant_get("evaluation_doc", f"$.stages.{stage}", "variant"))}
+
+
 def _stage_columns(stage: str) -> dict[str, Column]:
-    """The columns of one evaluated stage, and its logs."""
-    at = lambda *keys, kind="string": _get("evaluation_doc", *(f"stages.{stage}.{k}" for k in keys), kind=kind)
-    either = lambda *keys: coerce.first_nonempty(*(at(k) for k in keys))
-    present = _is_object(F.try_variant_get("evaluation_doc", f"$.stages.{stage}", "variant"))
-    status = coerce.stage_status(coerce.coerce_bool(at("skipped")), coerce.coerce_bool(at("passed")), either("status", "result"), present)
-    return {
-        f"{stage}_status": status,
-        f"{stage}_exit_code": coerce.coerce_int(at("exit_code")),
-        f"{stage}_timed_out": coerce.coerce_bool(either("timed_out", "timeout")),
-        f"{stage}_elapsed_seconds": coerce.coerce_float(either("elapsed_seconds", "duration_seconds")),
-        f"{stage}_tests_ran": coerce.coerce_int(either("tests_ran", "ran", "total")),
-        f"{stage}_tests_passed": coerce.coerce_int(either("tests_passed", "passed_count")),
-        f"{stage}_tests_failed": coerce.coerce_int(either("tests_failed", "failed_count")),
-        f"{stage}_stdout_log": at("stdout_log"),
-        f"{stage}_stderr_log": at("stderr_log"),
-    }
+    """The columns of one evaluated stage, of what was told of it, and its logs."""
+    told = lambda n: F.col(f"told_{stage}_{n}")
+    kinds = {"exit_code": coerce.coerce_int, "timed_out": coerce.coerce_bool, "elapsed_seconds": coerce.coerce_float, "tests_ran": coerce.coerce_int, "tests_passed": coerce.coerce_int, "tests_failed": coerce.coerce_int}
+    status = coerce.stage_status(coerce.coerce_bool(told("skipped")), coerce.coerce_bool(told("passed")), told("word"), told("present"))
+    return {f"{stage}_status": status} | {f"{stage}_{n}": kind(told(n)) for n, kind in kinds.items()} | {f"{stage}_{n}": told(n) for n in ("stdout_log", "stderr_log")}
 
 
 def _targets(docs: DataFrame) -> DataFrame:
@@ -251,8 +252,7 @@ def _original_size(granularity: Column) -> Column:
 
 def _generated_size() -> Column:
     """struct(loc, chars) of the generated code: saved files, saved sources, or the reply, unless that was cut short."""
-    reply = F.nullif(_get("response_doc", "response", "content", "message.content"), F.lit(""))
-    body = F.when(reply.rlike(r"\S"), text.strip_fence(text.unify_newlines(reply)))
+    body = F.when(F.col("reply").rlike(r"\S"), text.strip_fence("reply"))
     of_reply = F.when(body.isNotNull() & ~F.coalesce(F.col("code_done_reason") == "length", F.lit(False)), F.struct(text.line_count(body).alias("loc"), F.length(body).cast("bigint").alias("chars")))
     return F.when(F.col("tree_generated.loc").isNotNull(), F.col("tree_generated")).when(F.col("sources_generated.loc").isNotNull(), F.col("sources_generated")).otherwise(of_reply)
 
@@ -280,7 +280,6 @@ def standard_records(docs: DataFrame, prefixes: Sequence[tuple[str, str]] = (),
     run_rows = manifest_rows(docs, RUNS_CSV).select("no", F.col("row").alias("run_row"), *(F.try_element_at("row", F.lit(k)).alias(f"run_key_{k}") for k in ("run_id", "id", "run")))
     rows = targets.join(dirs, "target_id").withColumn("run_id", coerce.first_nonempty(F.try_variant_get("config", "$.run_id", "string"), F.concat("target_id", F.lit("-unknown-run"))))
     held = holdings(dirs, below, docs)
-    blank = F.lit(None).cast("string")
     rows = lookup.first_match(rows.join(held, "target_id", "left"), target_rows.withColumnsRenamed({"target_id": "key_target_id", "id": "key_id", "target": "key_target"}), "target_id", ["key_target_id", "key_id", "key_target"], "no", ["target_row"])
     rows = lookup.first_match(rows, run_rows, "run_id", ["run_key_run_id", "run_key_id", "run_key_run"], "no", ["run_row"])
     rows = rows.join(batch_entries(docs).select(F.col("id").alias("target_id"), "entry"), "target_id", "left")
@@ -289,69 +288,75 @@ def standard_records(docs: DataFrame, prefixes: Sequence[tuple[str, str]] = (),
     rows = rows.withColumns({"evaluation_doc": _object("evaluation.value"), "failure_doc": _object("failure_text"), "batch_doc": F.try_parse_json("entry"), "response_doc": _object("response")})
     rows = rows.withColumns({"design_doc": _object("design_metadata"), "code_doc": _object("code_metadata"), "own_normalization": F.try_variant_get("evaluation_doc", "$.code_regeneration_normalization", "variant")})
     rows = rows.withColumn("normalization_doc", F.when(_is_object(F.col("own_normalization")), F.col("own_normalization")).otherwise(_object("normalization")))
-    rows = rows.drop("own_normalization", "normalization", "design_metadata", "code_metadata", "response", "entry").persist()  # parsed once; a small row a target
+    rows = cut(rows.drop("own_normalization", "normalization", "design_metadata", "code_metadata", "response", "entry"), "documents")  # parsed once; a small row a target
 
+    # first texts, then values of them: each step is written, a small row a target, so that no plan repeats the steps before it
     listed = lambda *paths: F.coalesce(_get("config", *paths, kind="array<string>"), F.array().cast("array<string>"))
-    number = lambda doc, path: coerce.coerce_int(_get(doc, path))
-    truth = lambda doc, path: coerce.coerce_bool(_get(doc, path))
-    expected = lambda n: coerce.coerce_int(coerce.first_nonempty(_get("config", f"evaluation.{n}"), _of_row("target_row", n)))
-    repository = coerce.first_nonempty(_get("config", "repository", "repository_name", "project.repository"), _of_row("target_row", "repository", "repository_name", "project"), coerce.repository_of("target_id", prefixes))
-    name = coerce.first_nonempty(_get("config", "target_name", "name", "symbol"), _of_row("target_row", "target_name", "name", "symbol"), coerce.name_of("target_id", [p for p, _ in prefixes]))
-    rows = rows.withColumns(
-        {
-            "repository": repository, "target_name": name, "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(False), "result_source": F.coalesce("evaluation.path", F.lit("batch/manifests fallback")),
-            "granularity": coerce.first_nonempty(_get("config", "granularity"), _of_row("target_row", "granularity")), "source_list": listed("source_files", "design_input.source_files"), "test_list": listed("test_files", "evaluation.test_files"),
-            "expected_direct_tests": expected("expected_direct_tests"), "expected_full_tests": expected("expected_full_tests"), "num_ctx": number("config", "model.num_ctx"), "num_predict": number("config", "model.num_predict"),
-            **{f"{k}_done_reason": _get(f"{k}_doc", "done_reason") for k in ("design", "code")}, **{f"{k}_{n}": number(f"{k}_doc", n) for k in ("design", "code") for n in ("prompt_eval_count", "eval_count")},
-            **{n: truth("normalization_doc", n) for n in ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed")}, "normalization_type": _get("normalization_doc", "normalization_type"),
-            "restored": truth("evaluation_doc", "restoration.restored"), "repository_clean": truth("evaluation_doc", "restoration.repository_clean"),
-        }
-    ).withColumns({"source_files": F.array_join("source_list", "; "), "test_files": F.array_join("test_list", "; ")})
+    first, reasons = coerce.first_nonempty, ("error", "message", "reason", "detail")
+    told = {
+        "config_repository": first(_get("config", "repository", "repository_name", "project.repository"), _of_row("target_row", "repository", "repository_name", "project")),
+        "config_name": first(_get("config", "target_name", "name", "symbol"), _of_row("target_row", "target_name", "name", "symbol")),
+        "granularity": first(_get("config", "granularity"), _of_row("target_row", "granularity")),
+        "source_list": listed("source_files", "design_input.source_files"), "test_list": listed("test_files", "evaluation.test_files"),
+        **{n: first(_get("config", f"evaluation.{n}"), _of_row("target_row", n)) for n in ("expected_direct_tests", "expected_full_tests")},
+        **{n: _get("config", f"model.{n}") for n in ("num_ctx", "num_predict")},
+        **{f"{k}_{n}": _get(f"{k}_doc", n) for k in ("design", "code") for n in ("done_reason", "prompt_eval_count", "eval_count")},
+        **{f"{k}_present": F.col(f"{k}_doc").isNotNull() for k in ("design", "code", "evaluation", "failure")},
+        **{f"{k}_error": first(_get(f"{k}_doc", "error"), _get(f"{k}_doc", "error_message")) for k in ("design", "code")},
+        **{n: _get("normalization_doc", n) for n in ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "normalization_type")},
+        **{n: _get("evaluation_doc", f"restoration.{n}") for n in ("restored", "repository_clean")},
+        "evaluated": _get("evaluation_doc", "overall_pass"),
+        "otherwise": first(_get("batch_doc", "overall_pass", "passed"), _get("batch_doc", "status", "result"), _of_row("run_row", "overall_pass", "passed", "status", "result")),
+        "pipeline_stage": _get("failure_doc", "stage", "failure_stage"), "pipeline_reason": _get("failure_doc", *reasons),
+        "other_stage": first(_get("batch_doc", "failure_stage", "stage"), _of_row("run_row", "failure_stage", "stage")), "other_reason": first(_get("batch_doc", *reasons), _of_row("run_row", *reasons)),
+        "reply": coerce.response_text("response_doc"), **{k: v for s in STAGES[2:] for k, v in _told(s).items()},
+    }
+    documents = ("config", "evaluation_doc", "design_doc", "code_doc", "normalization_doc", "batch_doc", "response_doc", "failure_doc", "target_row", "run_row")
+    rows = cut(rows.withColumns(told).drop(*documents), "told")
+    numbers = ("expected_direct_tests", "expected_full_tests", "num_ctx", "num_predict", *(f"{k}_{n}" for k in ("design", "code") for n in ("prompt_eval_count", "eval_count")))
+    truths = ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean", "evaluated", "otherwise")
+    values = {
+        "repository": first("config_repository", coerce.repository_of("target_id", prefixes)), "target_name": first("config_name", coerce.name_of("target_id", [p for p, _ in prefixes])), "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(False), "result_source": F.coalesce("evaluation.path", F.lit("batch/manifests fallback")),
+        "source_files": F.array_join("source_list", "; "), "test_files": F.array_join("test_list", "; "), **{n: coerce.coerce_int(n) for n in numbers}, **{n: coerce.coerce_bool(n) for n in truths},
+        "told_stage": first("pipeline_stage", "other_stage"), "told_detail": first("pipeline_reason", "other_reason"),
+    }
     for kind, stage in (("design", STAGES[0]), ("code", STAGES[1])):
-        error = coerce.first_nonempty(_get(f"{kind}_doc", "error"), _get(f"{kind}_doc", "error_message"))
-        status = coerce.generation_status(F.col(f"{kind}_doc").isNotNull(), F.coalesce(f"{kind}_done_reason", F.lit("")), error)
-        empty = {"exit_code": "bigint", "timed_out": "boolean", "elapsed_seconds": "double", "tests_ran": "bigint", "tests_passed": "bigint", "tests_failed": "bigint"}
-        rows = rows.withColumns({f"{stage}_status": status, **{f"{stage}_{a}": F.lit(None).cast(t) for a, t in empty.items()}})
+        values[f"{stage}_status"] = coerce.generation_status(F.col(f"{kind}_present"), F.coalesce(f"{kind}_done_reason", F.lit("")), F.col(f"{kind}_error"))
+        values |= {f"{stage}_{a}": F.lit(None).cast(t) for a, t in STAGE_KINDS.items()}
     for stage in STAGES[2:]:
-        rows = rows.withColumns(_stage_columns(stage))
+        values |= _stage_columns(stage)
+    rows = cut(rows.withColumns(values).drop(*(n for n in told if n.startswith("told_") and n not in values)), "values")
 
     any_failed = F.greatest(*(F.coalesce(F.col(f"{s}_status") == "failed", F.lit(False)) for s in STAGES))
-    fallback = coerce.coerce_bool(coerce.first_nonempty(_get("batch_doc", "overall_pass", "passed"), _get("batch_doc", "status", "result"), _of_row("run_row", "overall_pass", "passed", "status", "result")))
-    verdict = coerce.overall_ladder(truth("evaluation_doc", "overall_pass"), fallback, F.lit(None).cast("boolean"), F.col("full_test_status"), F.col("failure_doc").isNotNull() | any_failed)
-    told = ("error", "message", "reason", "detail")
-    rows = rows.withColumns(
-        {
-            "overall_pass": verdict,
-            "told_stage": coerce.first_nonempty(_get("failure_doc", "stage", "failure_stage"), _get("batch_doc", "failure_stage", "stage"), _of_row("run_row", "failure_stage", "stage")),
-            "told_detail": coerce.first_nonempty(_get("failure_doc", *told), _get("batch_doc", *told), _of_row("run_row", *told)),
-            "original": _original_size(F.col("granularity")), "generated": _generated_size(),
-        }
-    )
-    rows = rows.drop("config", "design_doc", "code_doc", "normalization_doc", "batch_doc", "response_doc", "target_row", "run_row").persist()  # three lookups start from it
+    verdict = coerce.overall_ladder(F.col("evaluated"), F.col("otherwise"), F.lit(None).cast("boolean"), F.col("full_test_status"), F.col("failure_present") | any_failed)
+    rows = rows.withColumns({"overall_pass": verdict, "original": _original_size(F.col("granularity")), "generated": _generated_size()})
+    rows = cut(rows, "verdicts")
     configured = files.configured_sizes(
         rows.select("target_id", F.transform("source_list", lambda f: F.concat(F.lit("repos/"), F.col("repository"), F.lit("/"), f)).alias("at")), docs.select("path", "value"), "target_id", "at"
     ).select("target_id", F.col("loc").alias("configured_loc"), F.col("chars").alias("configured_chars"))
     rows = rows.join(configured, "target_id", "left").join(_stage_log(rows, docs), "target_id", "left")
-    found = lambda c: F.coalesce(c, F.lit(False))
     unsaved = F.col("original.loc").isNull() & F.col("configured_loc").isNotNull()
     rows = rows.withColumns({
         "original_loc": F.coalesce("original.loc", "configured_loc"), "original_chars": F.coalesce("original.chars", "configured_chars"),
         "original_measurement_scope": F.when(unsaved, "whole_source_files_repository_fallback").otherwise(F.col("original.scope")), "generated_loc": F.col("generated.loc"), "generated_chars": F.col("generated.chars"),
-        "data_quality_notes": F.concat_ws(" | ", F.when(unsaved, NO_SPAN), F.when(F.col("evaluation_doc").isNull(), NO_EVALUATION), F.when(F.col("failure_path").isNotNull(), F.concat(F.lit("Pipeline failure file: "), "failure_path")), F.when(F.col("overall_pass").isNull(), NO_RESULT)),
+        "data_quality_notes": F.concat_ws(" | ", F.when(unsaved, NO_SPAN), F.when(~F.col("evaluation_present"), NO_EVALUATION), F.when(F.col("failure_path").isNotNull(), F.concat(F.lit("Pipeline failure file: "), "failure_path")), F.when(F.col("overall_pass").isNull(), NO_RESULT)),
     })
 
-    rows = rows.persist()
-    row = {"overall_pass": F.col("overall_pass"), "design_reason": F.col("design_done_reason"), "code_reason": F.col("code_done_reason"), "failure_present": F.col("failure_doc").isNotNull(), "failure_stage": _get("failure_doc", "stage", "failure_stage"), "detail": F.col("told_detail"), "told_stage": F.col("told_stage"), "direct_test_elapsed": F.col("direct_test_elapsed_seconds")}
-    row["failure_message"] = coerce.first_nonempty(_get("failure_doc", *told), F.left(F.col("failure_text"), F.lit(500)))
+    return _finished(_blamed(cut(rows, "sized"), stopped or {}))
+
+
+def _blamed(rows: DataFrame, stopped: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """rows with the stage, category and detail of their failure."""
+    blank = F.lit(None).cast("string")
+    row = {"overall_pass": F.col("overall_pass"), "design_reason": F.col("design_done_reason"), "code_reason": F.col("code_done_reason"), "failure_present": F.col("failure_present"), "failure_stage": F.col("pipeline_stage"), "detail": F.col("told_detail"), "told_stage": F.col("told_stage"), "direct_test_elapsed": F.col("direct_test_elapsed_seconds")}
+    row["failure_message"] = coerce.first_nonempty("pipeline_reason", F.left(F.col("failure_text"), F.lit(500)))
     for s in STAGES:
         row |= {f"{s}_status": F.col(f"{s}_status"), f"{s}_timed_out": F.col(f"{s}_timed_out"), f"{s}_exit": F.col(f"{s}_exit_code"), f"{s}_ran": F.coalesce(f"{s}_tests_ran", f"{s}_tests_passed", f"{s}_tests_failed")}
-    kinds = stopped or {}
-    category = F.coalesce(*(F.when(F.col("target_id") == k, F.lit(v[0])) for k, v in kinds.items()), blank)
+    category = F.coalesce(*(F.when(F.col("target_id") == k, F.lit(v[0])) for k, v in stopped.items()), blank)
     filled = lambda words: F.replace(F.replace(F.lit(words), F.lit("{exit_code}"), F.col("direct_test_exit_code").cast("string")), F.lit("{elapsed_seconds}"), F.col("direct_test_elapsed_seconds").cast("string"))
-    words = F.coalesce(*(F.when(F.col("target_id") == k, filled(v[1])) for k, v in kinds.items()), blank)
+    words = F.coalesce(*(F.when(F.col("target_id") == k, filled(v[1])) for k, v in stopped.items()), blank)
     rows = rows.withColumn("blame", classify.classify(row, STAGES, F.col("log"), category, words))
-    rows = rows.withColumns({"failure_stage": F.col("blame.stage"), "failure_category": F.col("blame.category"), "failure_detail": F.coalesce(F.nullif(F.col("blame.detail"), F.lit("")), "told_detail")})
-    return _finished(rows)
+    return rows.withColumns({"failure_stage": F.col("blame.stage"), "failure_category": F.col("blame.category"), "failure_detail": F.coalesce(F.nullif(F.col("blame.detail"), F.lit("")), "told_detail")})
 
 
 def _finished(rows: DataFrame) -> DataFrame:
@@ -382,15 +387,40 @@ def legacy_record(docs: DataFrame, legacy: Legacy) -> DataFrame:
         **{f"original_{n}": side(body, "legacy_original", "legacy_backup_tree", n) for n in ("loc", "chars")}, **{f"generated_{n}": side(made, "legacy_generated", "legacy_generated_tree", n) for n in ("loc", "chars")},
         "data_quality_notes": F.concat_ws(" | ", F.when(~F.col("known"), NO_STANDARD), F.when(~body, NO_BODY), F.when(~made, NO_GENERATED)),
     }
-    kinds = {"exit_code": "bigint", "timed_out": "boolean", "elapsed_seconds": "double", "tests_ran": "bigint", "tests_passed": "bigint", "tests_failed": "bigint"}
     for stage in STAGES:
         status = F.when(ok, "passed").otherwise("not_recorded") if stage in STAGES[2:] else F.lit("not_recorded")
-        values |= {f"{stage}_status": status, **{f"{stage}_{a}": none(t) for a, t in kinds.items()}}
+        values |= {f"{stage}_status": status, **{f"{stage}_{a}": none(t) for a, t in STAGE_KINDS.items()}}
     return _finished(rows.withColumns(values))
 
 
-def records(spark: SparkSession, root: str, prefixes: Sequence[tuple[str, str]] = (), stopped: Mapping[str, tuple[str, str]] | None = None, legacy: Legacy | None = None) -> DataFrame:
+def pilot_records(docs: DataFrame) -> DataFrame:
+    """Records of the pilots that failed: a folder each, judged by their evaluation and pipeline failure alone."""
+    root = f"{EXPERIMENTS}/{PILOTS}"
+    below = folders(docs).where(F.col("dir").rlike(f"^{root}/[^/]+$"))
+    name = F.substring_index("exp_dir", "/", -1)
+    dirs = below.select(F.col("dir").alias("exp_dir")).distinct().select(F.concat(F.lit("pilot::"), name).alias("target_id"), "exp_dir")
+    failure = docs.select(F.col("path").alias("failure_path"), F.col("value").alias("failure_text"))
+    rows = dirs.join(holdings(dirs, below, docs), "target_id").join(failure, "failure_path", "left").withColumns({"evaluation_doc": _object("evaluation.value"), "failure_doc": _object("failure_text")})
+    rows = rows.withColumns({"failure_present": F.col("failure_doc").isNotNull(), "pipeline_stage": _get("failure_doc", "stage", "failure_stage"), "pipeline_reason": _get("failure_doc", "error", "message", "reason", "detail"), "evaluated": _get("evaluation_doc", "overall_pass")}).drop("failure_doc")
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = ("config_path", "granularity", "design_done_reason", "code_done_reason", "normalization_type", "original_measurement_scope", "told_stage", "told_detail", "log")
+    numbers = ("expected_direct_tests", "expected_full_tests", "num_ctx", "num_predict", "design_prompt_eval_count", "design_eval_count", "code_prompt_eval_count", "code_eval_count", "original_loc", "original_chars", "generated_loc", "generated_chars")
+    truths = ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean")
+    values = {
+        "run_id": F.col("target_id"), "repository": F.lit(PILOTS), "target_name": name, "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(True), "result_source": F.coalesce("evaluation.path", F.lit("pilot failure")), "source_files": F.lit(""), "test_files": F.lit(""), "data_quality_notes": F.lit(""),
+        "overall_pass": F.coalesce(coerce.coerce_bool("evaluated"), F.lit(False)), **{n: none("string") for n in texts}, **{n: none("bigint") for n in numbers}, **{n: none("boolean") for n in truths},
+    }
+    for stage in STAGES:
+        values |= {f"{stage}_status": F.lit("not_recorded"), **{f"{stage}_{a}": none(t) for a, t in STAGE_KINDS.items()}}
+    return _finished(_blamed(rows.withColumns(values), {}))
+
+
+def records(spark: SparkSession, root: str, prefixes: Sequence[tuple[str, str]] = (), stopped: Mapping[str, tuple[str, str]] | None = None, legacy: Legacy | None = None, pilots: bool = False) -> DataFrame:
     """All records of the study below root, in no order (see operators.records.presented)."""
-    docs = artefacts(prepare(spark), root).persist()  # read by every lookup; lost blocks are read again
-    out = standard_records(docs, prefixes, stopped)
-    return out if legacy is None else out.unionByName(legacy_record(docs, legacy))
+    docs = cut(artefacts(prepare(spark), root), "artefacts")  # read by every lookup
+    parts = [standard_records(docs, prefixes, stopped)]
+    if legacy is not None:
+        parts.append(legacy_record(docs, legacy))
+    if pilots:
+        parts.append(pilot_records(docs))
+    return union_records(*parts)

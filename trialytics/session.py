@@ -1,11 +1,14 @@
-"""Session settings and worker set-up that the whole library shares."""
+"""Session settings, worker set-up, the shared folder and lineage cuts, for the whole library."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -43,3 +46,39 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master; on a cluster an error."""
+    prepare(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trialytics-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session may be gone; the folder is temporary then
+        pass
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
