@@ -1,55 +1,18 @@
-"""What the operators of this subpackage share: shared folder, lineage cuts, words and hashes."""
+"""What the operators of this subpackage share: hashes, and the shared folder and lineage cuts of the session."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
-from trialytics.session import prepare
+from trialytics.session import cut, shared_folder, shared_root
+
+__all__ = ["cut", "mix64", "shared_folder", "shared_root"]
 
 #: 64-bit odd multipliers of a finaliser (fixed values).
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) a temporary one."""
-    prepare(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trialytics-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder is temporary then
-        pass
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser over a uint64 array."""
     x = (x ^ (x >> np.uint64(30))) * MIX_A

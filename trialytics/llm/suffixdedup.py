@@ -187,8 +187,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
     parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     settled = pieces.where("shard is not null").repartition(int(parts), "shard").sortWithinPartitions("shard").mapInArrow(settle, ranges)
     windows = pieces.where("shard is null")
-    often = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
-    counted_windows = windows.where("open").join(often, "data", "left_semi").select("id", "key", "first", "last")
+    often = cut(windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data"), "often")
+    counted_windows = cut(windows.where("open").join(often.hint("merge"), "data", "left_semi").select("id", "key", "first", "last"), "counted-windows")
     return equal.unionByName(copied).unionByName(settled).unionByName(counted_windows)
 
 
