@@ -179,6 +179,20 @@ def test_packing_choice():
     assert sum((10 - (b - a)) * ((b - a) & (b - a - 1) != 0) + penalties[places.tolist().index(b)] for a, b in zip(cuts, cuts[1:], strict=False)) == best[0]
 
 
+def test_packing_costs_the_optimum():
+    """Padding and penalties of the chosen cuts, against all ways to cut small places."""
+    rng = random.Random(12)
+    for _ in range(200):
+        seq_len = rng.choice([6, 10, 13])
+        places = [0]
+        while len(places) < rng.randint(3, 11):
+            places.append(places[-1] + rng.randint(1, seq_len))
+        penalties = [0, *(rng.choice([0, 3, 7]) for _ in places[1:])]
+        cost = lambda cuts: sum((0 if (n := b - a) & (n - 1) == 0 else seq_len - n) + penalties[places.index(b)] + 2 for a, b in zip(cuts, cuts[1:], strict=False))
+        made = np.array(places)[packing.choose_cuts(np.array(places), np.array(penalties), seq_len, 2)].tolist()
+        assert cost(made) == min(map(cost, _all_cuts(places, seq_len)))
+
+
 def _all_cuts(places, most):
     if len(places) == 1:
         return [places]

@@ -58,29 +58,40 @@ def test_suffix_dedup(spark, docs):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
-def test_packing(spark, docs):
+def check_pieces(rows, docs):
+    """The contract of packing: each id in one piece, pieces gapless in documents and sequences, and little padding. docs may repeat a row."""
     from tokenizers import Tokenizer
 
     encode = Tokenizer.from_file(tokenizer("word_bpe_49k.json")).encode
+    times = Counter(d for d, _ in docs)
     ids = {d: np.array([*encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for d, t in docs}
     pieces: dict = {}
     sequences: dict = {}
-    for r in rows_of(spark, "op2_packing"):
+    for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         pieces.setdefault(r.doc_id, []).append((r.start, r.length))
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts, whole in [*((sorted(p), len(ids[d])) for d, p in pieces.items()), *((sorted(p), None) for p in sequences.values())]:
-        at = 0
+    for d, parts in pieces.items():
+        covered = np.zeros(len(ids[d]), dtype=int)
         for start, length in parts:
+            covered[start : start + length] += 1
+        assert (covered == times[d]).all()
+    for parts in sequences.values():
+        at = 0
+        for start, length in sorted(parts):
             assert start == at and length > 0
             at += length
-        assert at == whole if whole else at <= 2048
+        assert at <= 2048
     assert set(pieces) == set(ids)
     filled = [sum(x[1] for x in p) for p in sequences.values()]
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in filled)
     assert padding / sum(filled) < 0.03
 
 
+def test_packing(spark, docs):
+    check_pieces(rows_of(spark, "op2_packing"), docs)
+
+
 def test_fingerprints(spark, docs):
     def shingles(text):
         data = text.encode()
@@ -137,31 +148,76 @@ def test_toxicity(spark, con, tmp_path):
     assert np.mean([got[d].predicted == t for d, t in truth.items() if got[d].held_out]) > 0.9
 
 
-def test_pipeline(spark, con):
-    """Each stage against a plain version of it on its own input."""
+def plain_groups(docs, words):
+    """doc_id -> smallest id of its group, by comparing all pairs of word shingle sets at 0.8."""
+    sets = {d: {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if (w := (t or "").lower().split()) else set() for d, t in docs}
+    group = {d: d for d in sets}
+
+    def root(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {d: root(d) for d in ids}
+
+
+def draw(doc_id):
+    return int(hashlib.md5(str(doc_id).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version of it, on what its predecessor kept."""
     import corpus_pipeline
+    from test_llm_cases import plain_toxicity
+
+    from trialytics.llm import toxicity
+    from trialytics.llm.oracles import ORACLES
 
     frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "MinHash near-dedup", "mixing sources to target weights", "packing"]
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, frame, FOLDER)
-        rows, before = out.collect(), frame.collect()
+        folder = str(tmp_path / str(number))
+        frame.write.parquet(f"{folder}/documents.parquet")
+        frame = spark.read.parquet(f"{folder}/documents.parquet")
+        out, before = stage(spark, frame, FOLDER), frame.collect()
+        rows = out.collect()
+        assert rows
         if number < 4:
             assert out.columns == frame.columns and {r.doc_id for r in rows} <= {r.doc_id for r in before}
-        if name == "MinHash near-dedup":
-            sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r.text or "").lower().split()) else set() for r in before}
-            group = {d: d for d in sets}
-
-            def root(d):
-                while group[d] != d:
-                    d = group[d]
-                return d
-
-            ids = sorted(sets)
-            for i, a in enumerate(ids):
-                for b in ids[i + 1 :]:
-                    if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                        x, y = sorted((root(a), root(b)))
-                        group[y] = x
-            assert {r.doc_id for r in rows} == {d for d in ids if root(d) == d}
-        frame = spark.createDataFrame(rows, out.schema)
-    assert {r.doc_id for r in rows} == {r.doc_id for r in before}
+        db = connect(FOLDER)
+        db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        if name == "toxicity":
+            model = toxicity.train(frame, spark.read.parquet(f"{FOLDER}/labels.parquet"), ~toxicity.held_out())
+            assert sorted(map(tuple, rows)) == sorted(tuple(r) for r in before if plain_toxicity(model, r.text or "") < 0.5)
+        elif name == "line dedup":
+            kept = {d: (n, digest) for d, _, n, digest in db.sql(f"SELECT doc_id, n_lines, n_removed, kept_sha256 FROM ({ORACLES['op7_line_dedup']})").fetchall()}
+            assert {r.doc_id: None if r.text is None else hashlib.sha256(r.text.encode()).hexdigest() for r in rows} == {d: x for d, (_, x) in kept.items()}
+            chars = {r.doc_id: r.n_chars for r in before}
+            assert all(r.n_chars == (len(r.text) if kept[r.doc_id][0] else chars[r.doc_id]) for r in rows)
+        elif name == "MinHash near-dedup":
+            group = plain_groups([(r.doc_id, r.text) for r in before], 5)
+            assert sorted(map(tuple, rows)) == sorted(tuple(r) for r in before if group[r.doc_id] == r.doc_id)
+        elif name == "mixing sources to target weights":
+            want = Counter()
+            for d, p, w in db.sql(f"SELECT doc_id, probability, weight FROM ({ORACLES['op10_mixing']})").fetchall():
+                want[d] += int(p * w) + (draw(d) < p * w - int(p * w))
+            texts = {r.doc_id: tuple(r) for r in before}
+            assert Counter(r.doc_id for r in rows) == +want and all(tuple(r) == texts[r.doc_id] for r in rows)
+        else:
+            check_pieces(rows, [(r.doc_id, r.text) for r in before])
+        frame = out
+
+
+def test_near_groups_at_five_words(spark):
+    """All groups at 0.8 on five words, against comparing all pairs."""
+    from trialytics.llm.neardedup import near_groups
+
+    frame = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in near_groups(frame).collect()}
+    assert got == plain_groups([(r.doc_id, r.text) for r in frame.collect()], 5)
