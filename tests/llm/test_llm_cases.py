@@ -340,8 +340,20 @@ def test_mixing_tells_targets_that_cannot_be_met(spark):
         assert mixing.calibrated(frame, targets, 0.5).count() == 40
     with pytest.raises(ValueError, match="missed by"):
         mixing.calibrated(frame, targets, 0.5, tolerance=0.01)
-    with pytest.raises(ValueError, match="max_cells"):
-        mixing.calibrated(frame, targets, 0.5, max_cells=1)
+    with pytest.raises(ValueError, match="missed by"):
+        mixing.calibrated(frame, targets, 0.5, driver_cells=1, tolerance=0.01)
+
+
+@pytest.mark.parametrize("fraction", [0.3, 0.9, 1.0])
+def test_mixing_of_more_cells_than_the_driver_takes(spark, fraction):
+    rng = random.Random(13)
+    rows = [(i, prose(rng.randint(1, 40), i) + rng.choice(["", " 7", " a@b"]), rng.choice(["en", "en", "en", "de", None]), f"s{rng.randint(0, 4) ** 2}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": 0.5, "lang": {"en": 0.4, "de": 0.5, "xx": 0.1}, "topic": {"prose": 0.5}}
+    one, two = ({r.doc_id: r for r in mixing.calibrated(frame, targets, fraction, driver_cells=n, rounds=6).collect()} for n in (1, 1000))
+    assert set(one) == set(two)
+    for i, r in one.items():
+        assert r._probability == pytest.approx(two[i]._probability, abs=1e-9) and r._weight == pytest.approx(two[i]._weight, abs=1e-9) and r._tokens == two[i]._tokens
 
 
 def test_automaton():

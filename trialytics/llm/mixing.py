@@ -14,10 +14,11 @@ After `rounds` rounds the largest distance of a side's share from its target is
 Targets can contradict each other (a source that has one language only); then the residual
 stays, a warning tells it, and with `tolerance` a residual above that is an error.
 
-Everything but the raking is DataFrame work. The driver rakes the table of cells: a row for
-each combination that occurs, whose number is that of sources x languages x topics, not of
-documents. Up to BROADCAST_CELLS rows it is broadcast to the documents; a larger one is joined
-by a shuffle. Beyond `max_cells` the operator stops with an error rather than leave cells out.
+The table of cells has a row for each combination that occurs: their number is that of sources
+x languages x topics, not of documents. Up to `driver_cells` rows it is raked on the driver, in
+arrays; a larger one stays a table and is raked by DataFrame operations, with the same results
+to the precision of the sums. Up to BROADCAST_CELLS rows it is broadcast to the documents; a
+larger one is joined by a shuffle.
 
 Nulls and edge cases: null source, language or topic is a value of its own, '(none)'; a null
 text has no word, and every document counts one token besides its words. A null id draws as the
@@ -37,6 +38,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialytics.llm.common import cut
+
 Targets = Mapping[str, Mapping[str, float] | float]
 OWN = ("_source", "_lang", "_topic", "_tokens", "_probability", "_weight", "_draw", "_kept")
 #: Rows of the table of cells that is broadcast: a few MB.
@@ -110,32 +113,83 @@ def probabilities(tokens: np.ndarray, multiplier: np.ndarray, fraction: float) -
     return np.minimum(1.0, multiplier * scale[fits[0]]) if len(fits) else (multiplier > 0).astype(float)
 
 
-def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, max_cells: int = 1_000_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
+def _wanted(cells: DataFrame, side: str, target: Mapping[str, float] | float) -> DataFrame:
+    """side, _wanted: the target share of each value of a side (see shares)."""
+    counts = cells.groupBy(side).agg(F.sum("tokens").alias("_n"))
+    if isinstance(target, Mapping):
+        listed = F.create_map(*(F.lit(x) for pair in target.items() for x in (pair[0], float(pair[1])))) if target else F.lit(None).cast("map<string,double>")
+        counts = cut(counts.withColumn("_given", F.try_element_at(listed, F.col(side))), "side")
+        given, left = counts.agg(F.sum("_given"), F.sum(F.when(F.col("_given").isNull(), F.col("_n")))).head()
+        spare = max(0.0, 1.0 - (given or 0.0)) if left else 0.0
+        raw = counts.withColumn("_raw", F.coalesce("_given", F.lit(spare) * F.col("_n") / F.lit(left or 1.0)))
+    else:
+        raw = cut(counts.withColumn("_raw", F.pow("_n", F.lit(float(target)))), "side")
+    total = raw.agg(F.sum("_raw")).head()[0] or 1.0
+    return cut(raw.select(side, (F.col("_raw") / total).alias("_wanted")), "wanted")
+
+
+def _rake_table(cells: DataFrame, sides: Sequence[str], targets: Sequence[Mapping[str, float] | float], fraction: float, rounds: int) -> tuple[DataFrame, float]:
+    """sides, _chance, _factor of a table of cells (sides, tokens), and the residual: what rake and probabilities do, as DataFrame operations."""
+    cells = cut(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells")
+    total = cells.agg(F.sum("tokens")).head()[0]
+    wanted = [_wanted(cells, side, target) for side, target in zip(sides, targets, strict=True)]
+    weights = cells.withColumn("_w", F.col("tokens") / total)
+    for _ in range(rounds):
+        for side, share in zip(sides, wanted, strict=True):
+            now = weights.groupBy(side).agg(F.sum("_w").alias("_now")).join(share, side)
+            weights = weights.join(now, side).withColumn("_w", F.when(F.col("_now") > 0, F.col("_w") * F.col("_wanted") / F.col("_now")).otherwise(0.0)).select(*sides, "tokens", "_w")
+        weights = cut(weights, "raked")
+    residual = max(weights.groupBy(s).agg(F.sum("_w").alias("_now")).join(w, s).agg(F.max(F.abs(F.col("_now") - F.col("_wanted")))).head()[0] or 0.0 for s, w in zip(sides, wanted, strict=True))
+    rows = cut(weights.withColumn("_m", F.col("_w") / (F.col("tokens") / total)), "multipliers")
+    # the scale at which `fraction` of the tokens is expected: halved in, then worked out from the cells that stay below 1
+    low, high = 0.0, 1.0
+    expected = lambda s: rows.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_m") * F.lit(s)))).head()[0] or 0.0
+    most = rows.agg(F.sum(F.when(F.col("_m") > 0, F.col("tokens")))).head()[0] or 0.0
+    if most <= fraction * total:
+        chance = F.when(F.col("_m") > 0, 1.0).otherwise(0.0)
+    else:
+        while expected(high) < fraction * total:
+            low, high = high, high * 2
+        for _ in range(40):
+            middle = (low + high) / 2
+            low, high = (middle, high) if expected(middle) < fraction * total else (low, middle)
+        below = F.col("_m") * F.lit(high) < 1
+        sure, rest = rows.agg(F.sum(F.when(~below, F.col("tokens"))), F.sum(F.when(below, F.col("tokens") * F.col("_m")))).head()
+        scale = (fraction * total - (sure or 0.0)) / rest if rest else high
+        chance = F.least(F.lit(1.0), F.col("_m") * F.lit(scale))
+    out = rows.withColumn("_chance", chance)
+    return out.select(*sides, "_chance", F.when(F.col("_chance") > 0, F.lit(fraction) * F.col("_m") / F.col("_chance")).otherwise(0.0).alias("_factor")), residual
+
+
+def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, driver_cells: int = 200_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
     own = own_names(docs)
     sides = [own[n] for n in OWN[:3]]
     side = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     columns = dict(zip(sides, (side(F.col(source_col)), side(F.col(lang_col)), side(default_topic(text_col) if topic is None else topic)), strict=True))
     named = docs.withColumns(columns | {own["_tokens"]: token_count(text_col)})
-    table = named.groupBy(*sides).agg(F.sum(own["_tokens"]).alias("tokens")).limit(max_cells + 1).collect()
-    if len(table) > max_cells:
-        raise ValueError(f"more than max_cells={max_cells} cells of source, language and topic")
-    table.sort(key=lambda r: tuple(r[:3]))
-    rows = []
-    if table:
-        tokens = np.array([float(r["tokens"]) for r in table])
-        labels = [[r[i] for r in table] for i in range(3)]
-        wanted = [shares(tokens, names, targets[k]) for names, k in zip(labels, ("source", "lang", "topic"), strict=True)]
-        raked, residual = rake(tokens, labels, wanted, rounds)
-        if tolerance is not None and residual > tolerance:
-            raise ValueError(f"the targets are missed by {residual:.4f} after {rounds} rounds")
-        if residual > 1e-3:
-            warnings.warn(f"the targets are missed by {residual:.4f} after {rounds} rounds", stacklevel=3)
-        multiplier = raked / (tokens / tokens.sum())
-        chance = probabilities(tokens, multiplier, fraction)
-        weight = np.divide(fraction * multiplier, chance, out=np.zeros_like(chance), where=chance > 0)
-        rows = list(zip(*labels, chance.tolist(), weight.tolist(), strict=True))
-    fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` string" for n in sides) + f", `{own['_probability']}` double, `{own['_weight']}` double")
-    fitted = F.broadcast(fitted) if len(rows) <= BROADCAST_CELLS else fitted.hint("merge")
+    cells = named.groupBy(*sides).agg(F.sum(own["_tokens"]).alias("tokens"))
+    table = cells.limit(driver_cells + 1).collect()
+    wanted = [targets[k] for k in ("source", "lang", "topic")]
+    residual, rows = 0.0, []
+    if len(table) > driver_cells:
+        fitted, residual = _rake_table(cells, sides, wanted, fraction, rounds)
+        fitted = fitted.withColumnsRenamed({"_chance": own["_probability"], "_factor": own["_weight"]})
+    else:
+        table.sort(key=lambda r: tuple(r[:3]))
+        if table:
+            tokens = np.array([float(r["tokens"]) for r in table])
+            labels = [[r[i] for r in table] for i in range(3)]
+            raked, residual = rake(tokens, labels, [shares(tokens, names, target) for names, target in zip(labels, wanted, strict=True)], rounds)
+            multiplier = raked / (tokens / tokens.sum())
+            chance = probabilities(tokens, multiplier, fraction)
+            weight = np.divide(fraction * multiplier, chance, out=np.zeros_like(chance), where=chance > 0)
+            rows = list(zip(*labels, chance.tolist(), weight.tolist(), strict=True))
+        fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` string" for n in sides) + f", `{own['_probability']}` double, `{own['_weight']}` double")
+    if tolerance is not None and residual > tolerance:
+        raise ValueError(f"the targets are missed by {residual:.4f} after {rounds} rounds")
+    if residual > 1e-3:
+        warnings.warn(f"the targets are missed by {residual:.4f} after {rounds} rounds", stacklevel=3)
+    fitted = F.broadcast(fitted) if len(table) <= min(driver_cells, BROADCAST_CELLS) else fitted.hint("merge")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     drawn = named.join(fitted, sides).withColumn(own["_draw"], draw)
     return drawn.withColumn(own["_kept"], F.col(own["_draw"]) < F.col(own["_probability"])), own
@@ -145,7 +199,7 @@ def calibrated(docs: DataFrame, targets: Targets, fraction: float, **options) ->
     """All columns of docs with those of OWN.
 
     targets: for source, lang and topic a share of each value, or a temperature. options:
-    source_col, lang_col, topic (a column), text_col, id_col, rounds, max_cells, tolerance.
+    source_col, lang_col, topic (a column), text_col, id_col, rounds, driver_cells, tolerance.
     """
     mixed, own = _calibrate(docs, targets, fraction, **options)
     return mixed.select(*docs.columns, *own.values())
