@@ -127,3 +127,32 @@ def test_catalogue(spark, root, tmp_path):
 def test_plan(spark, root, tmp_path):
     assert cli.main(["plan", "--project-root", str(root), "--output-dir", str(tmp_path)], spark) == 0
     assert json.load(open(tmp_path / "batch_plan.json", encoding="utf-8")) == json.load(open(os.path.join(STUDY, "reports", "batch", "batch_plan.json"), encoding="utf-8"))
+
+
+def test_overview(spark, root, tmp_path):
+    """The figures of the published overview, file by file and stage by stage."""
+    import difflib
+    import hashlib
+
+    name = "ini-writer-minimal"
+    assert cli.main(["overview", "--project-root", str(root), "--experiment", name, "--output-dir", str(tmp_path)], spark) == 0
+    got = json.load(open(tmp_path / "experiment_overview.json", encoding="utf-8"))
+    here = root / "experiments" / name
+    load = lambda p: json.loads((here / p).read_text(encoding="utf-8-sig"))
+    full, design, ask = load("evaluation/full_test_result.json"), load("raw_output/design_generation_metadata.json"), load("raw_output/design_generation_request.json")
+    assert got["overall_pass"] is True and (got["stage_passed"], got["stage_total"], len(got["stages"])) == (9, 9, 9)
+    assert got["full_tests"] == {"ran": full["gtest"]["tests_ran"], "passed": full["gtest"]["tests_passed"], "failed": full["gtest"]["tests_failed"], "expected": full["expected_tests"]}
+    assert got["stages"][0]["detail"] == f"入力{design['prompt_eval_count']} tokens，出力{design['eval_count']} tokens" and got["stages"][0]["elapsed_seconds"] == design["elapsed_seconds"]
+    assert got["llm_input_output"][0]["prompt_chars"] == len(ask["prompt"]) and got["model"]["name"] == load("configs/run_config.json")["model"]["name"]
+    for file in [*got["inputs"], *got["outputs"]]:
+        path = root / file["path"]
+        assert file["exists"] == path.exists()
+        if path.exists():
+            data = path.read_bytes()
+            assert (file["size_bytes"], file["sha256"], file["line_count"]) == (len(data), hashlib.sha256(data).hexdigest(), len(data.decode("utf-8").splitlines()))
+    one, two = ((here / p).read_text(encoding="utf-8").replace("\r\n", "\n").strip() for p in ("backup/original_write_body.cpp", "generated/regenerated_write_body.cpp"))
+    assert got["code_comparison"]["similarity_ratio"] == pytest.approx(difflib.SequenceMatcher(None, one, two).ratio()) and got["code_comparison"]["exact_match"] == (one == two)
+    assert got["source_replacement"] == load("evaluation/source_replacement.json")
+    words = (tmp_path / "experiment_overview.md").read_text(encoding="utf-8")
+    assert all(title in words for title in ("\n## 1. Result\n", "\n## 7. Stages\n", "\n## 14. Contents\n")) and "9/9" in words
+    assert cli.main(["overview", "--project-root", str(root), "--experiment", "none", "--output-dir", str(tmp_path)], spark) == 1

@@ -1,4 +1,4 @@
-"""Command line: analyse a study, build its catalogue, plan its batch.
+"""Command line: analyse a study, build its catalogue, show an experiment, plan its batch.
 
 A study's settings are a JSON file: prefixes ([[beginning of a target id, repository], ...]),
 stopped ({target id: [category, text]}), legacy (fields of study.Legacy), expected ([total,
@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from trialytics.operators import catalog
-from trialytics.plans import analyze, batch, study
+from trialytics.plans import analyze, batch, overview, study
 from trialytics.session import build, cut
 from trialytics.sinks import reports
 from trialytics.sources import files
@@ -83,6 +83,27 @@ def run_bootstrap(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0 if len(rows) == expected else 2
 
 
+def run_overview(spark: SparkSession, args: argparse.Namespace) -> int:
+    docs = cut(study.artefacts(spark, args.project_root).where(F.col("path").startswith(f"{study.EXPERIMENTS}/{args.experiment}/")), "artefacts")
+    rows = reports.rows_as_json(overview.overviews(docs).where(F.col("experiment") == args.experiment))
+    if not rows:
+        raise FileNotFoundError(f"no experiment {args.experiment}")
+    (row,) = rows
+    shown = [] if args.no_content else [f["path"] for f in [*row["inputs"], *row["outputs"]] if f["exists"] and not f["path"].endswith(".json")]
+    contents = {r["path"]: r["value"] for r in docs.where(F.col("path").isin(*shown)).select("path", "value").orderBy("path").toLocalIterator()} if shown else {}
+    folder = os.path.join(args.output_dir or os.path.join(args.project_root, study.EXPERIMENTS, args.experiment, "report"))
+    os.makedirs(folder, exist_ok=True)
+    row["source_replacement"] = row["source_replacement"] or "{}"
+    made = overview.report(row, contents)
+    row.pop("experiment")
+    row["source_replacement"] = json.loads(row["source_replacement"])
+    reports.write_json({"schema_version": "1.0", "generated_at_utc": reports.utc_now(), **row}, os.path.join(folder, "experiment_overview.json"))
+    with open(os.path.join(folder, "experiment_overview.md"), "w", encoding="utf-8", newline="\n") as out:
+        out.write(made)
+    print(folder)
+    return 0
+
+
 def run_plan(spark: SparkSession, args: argparse.Namespace) -> int:
     docs = study.artefacts(spark, args.project_root)
     found = docs.where(F.col("path").rlike(f"^{study.CONFIGS}/[^/]+\\.json$") & ~F.col("path").endswith(".draft.json"))
@@ -100,7 +121,7 @@ def run_plan(spark: SparkSession, args: argparse.Namespace) -> int:
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="trialytics", description="Analyses of staged trials.")
     commands = out.add_subparsers(dest="command", required=True)
-    for name, run, words in (("analyze", run_analyze, "records, statistics and reports of a study"), ("bootstrap", run_bootstrap, "catalogue and drafts from reports"), ("plan", run_plan, "which targets are ready")):
+    for name, run, words in (("analyze", run_analyze, "records, statistics and reports of a study"), ("bootstrap", run_bootstrap, "catalogue and drafts from reports"), ("overview", run_overview, "one experiment in one report"), ("plan", run_plan, "which targets are ready")):
         one = commands.add_parser(name, help=words)
         one.add_argument("--project-root", default=os.getcwd())
         one.add_argument("--output-dir")
@@ -110,6 +131,9 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--allow-unexpected-summary", action="store_true")
             one.add_argument("--include-pilot-failures", action="store_true")
             one.add_argument("--no-svg", action="store_true")
+        if name == "overview":
+            one.add_argument("--experiment", required=True, help="folder below experiments/")
+            one.add_argument("--no-content", action="store_true")
         if name == "plan":
             one.add_argument("--targets", help="a CSV, relative to the root, with a target_id column")
     return out

@@ -74,12 +74,12 @@ class Legacy:
 
 
 def artefacts(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), value (text, newlines unified, undecodable bytes replaced), bytes of all files below root."""
+    """path (relative to root), value (text, newlines unified, undecodable bytes replaced), bytes, sha256 of all files below root."""
     root = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.expr("substring(path, instr(path, root) + length(root) + 1)")
     value = text.unify_newlines(F.make_valid_utf8(F.col("content").cast("string")))
-    return read.withColumn("root", F.lit(root)).select(below.alias("path"), value.alias("value"), F.col("length").alias("bytes"))
+    return read.withColumn("root", F.lit(root)).select(below.alias("path"), value.alias("value"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def _get(doc: str, *paths: str, kind: str = "string") -> Column:
