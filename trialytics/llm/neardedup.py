@@ -188,7 +188,7 @@ def _by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition(parallel, *cell).sortWithinPartitions(*cell, "streams", "id")
 
 
-def compare_blocks(open_rows: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int, most: int, id_col: str, text_col: str, block: int = 64, stretch: int = 512) -> DataFrame:
+def compare_blocks(open_rows: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int, most: int, id_col: str, text_col: str, block: int = 64, stretch: int = 256) -> DataFrame:
     """Links (a, b) between members of different components of a bucket. open_rows: bucket, id, component."""
     sizes = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mains = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main")), "mains")
