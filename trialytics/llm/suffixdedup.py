@@ -91,7 +91,7 @@ def _digest(data: memoryview | bytes, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
-def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes: int = 4 << 20, room: int = 1 << 20, crowd: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes: int = 2 << 20, room: int = 1 << 19, crowd: int = 4096) -> DataFrame:
     """id, key, first, last: ranges of window starts whose windows occur more than once. docs: id, key, text (no nulls in text)."""
     spark = prepare(docs.sparkSession)
     kind = docs.schema["id"].dataType
