@@ -31,13 +31,15 @@ operator's own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialytics.llm.common import cut
 
-#: White space that is trimmed from lines (fixed value).
-BLANK = r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$"
+#: White space inside lines: it is trimmed, and separates words (fixed values).
+BLANK = " \t\x0b\f\r"
 WORDS = r"[^ \t\x0B\f\r]+"
 
 
@@ -48,8 +50,11 @@ def split_lines(text: Column) -> Column:
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_w_id, _w_text (a hash that keeps apart rows of one id), _w_line (place), _w_hash, _w_key, _w_n (words) of all lines with words."""
     rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("_w_id"), F.xxhash64(text_col).alias("_w_text"), F.posexplode(split_lines(F.col(text_col))).alias("_w_line", "line"))
-    line = rows.withColumn("line", F.regexp_replace("line", BLANK, "")).where(F.length("line") > 0)
-    return line.select("_w_id", "_w_text", "_w_line", F.xxhash64("line").alias("_w_hash"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("_w_key"), F.regexp_count("line", F.lit(WORDS)).cast("long").alias("_w_n"))
+    line = rows.withColumn("line", F.btrim("line", F.lit(BLANK))).where(F.length("line") > 0)
+    # single spaces are counted without a pattern, which most lines need no more than
+    odd = reduce(Column.__or__, (F.col("line").contains(x) for x in ("  ", *BLANK[1:])))
+    words = F.when(odd, F.regexp_count("line", F.lit(WORDS))).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return line.select("_w_id", "_w_text", "_w_line", F.xxhash64("line").alias("_w_hash"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("_w_key"), words.cast("long").alias("_w_n"))
 
 
 def windows(lines: DataFrame, min_words: int, with_content: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialytics.functions.stats import fisher_exact, pearson
+from trialytics.functions.stats import fisher_exact
 from trialytics.session import cut
 
 
@@ -17,13 +17,13 @@ def _same(a: str, b: str, names: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
 
 
-def value_ranks(df: DataFrame, value: str, *groups: str) -> DataFrame:
-    """groups, value, n (rows of the value), below (rows of lower values in the group).
+def value_ranks(df: DataFrame, value: str, *groups: str, weight: str | None = None) -> DataFrame:
+    """groups, value, n (rows of the value), below (rows of lower values in the group). weight: a column that says for how many rows a row stands.
 
     Prefix counts over ranges of the distinct values: no task holds more than a range, however
     few the groups are. Only the ranges' totals, a row for each range and group, meet by group.
     """
-    counted = df.groupBy(*groups, value).agg(F.count("*").alias("n"))
+    counted = df.groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     ranged = counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id())
     ranged = cut(ranged, "ranges")
     inside = Window.partitionBy("_range", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -57,26 +57,32 @@ def _median_of(ranks: DataFrame, value: str, *groups: str) -> DataFrame:
 def metrics_by_outcome(df: DataFrame, metrics: Sequence[str], passed: Column) -> DataFrame:
     """One row a metric: n, means and medians by outcome, point-biserial r and Spearman rho.
 
-    The metrics are unpivoted, so that one scan serves all; ranks and medians come from counts
-    of distinct values (value_ranks), so that no task holds a metric's rows or values.
+    The metrics are unpivoted and counted by value and outcome in one scan; all else comes from
+    those counts, ranks and medians by prefix counts (value_ranks), so that no task holds a
+    metric's rows or values.
     """
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
     long = df.select(F.explode(pairs).alias("p"), passed.cast("double").alias("outcome")).select("p.metric", "p.value", "outcome").where("value is not null and outcome is not null")
-    outcome = lambda x: F.when(F.col("outcome") == x, F.col("value"))
-    plain = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg(outcome(1)).alias("pass_mean"), F.avg(outcome(0)).alias("fail_mean"), pearson("value", "outcome").alias("point_biserial"))
-    medians = _median_of(value_ranks(long, "value", "metric", "outcome"), "value", "metric", "outcome")
-    medians = medians.groupBy("metric").agg(F.max(F.when(F.col("outcome") == 1, F.col("median"))).alias("pass_median"), F.max(F.when(F.col("outcome") == 0, F.col("median"))).alias("fail_median"))
-    # Pearson of ranks and outcomes; the ranks of outcomes are a linear function of them
-    ranked = spearman(long, "value", "outcome", "metric").select("metric", "spearman")
+    cells = cut(long.groupBy("metric", "outcome", "value").agg(F.count("*").alias("w")), "cells")
+    w, v, o = F.col("w"), F.col("value"), F.col("outcome")
+    n = F.sum("w").cast("double")
+    mean = lambda x: F.sum(x * w) / n
+    of = lambda x: F.sum(F.when(o == x, v * w)) / F.sum(F.when(o == x, w))
+    spread = lambda x: mean(x * x) - mean(x) * mean(x)
+    r = F.when((n >= 3) & (F.min("value") < F.max("value")) & (F.min("outcome") < F.max("outcome")), (mean(v * o) - mean(v) * mean(o)) / F.sqrt(spread(v) * spread(o)))
+    plain = cells.groupBy("metric").agg(F.sum("w").alias("n"), of(1).alias("pass_mean"), of(0).alias("fail_mean"), r.alias("point_biserial"))
+    medians = _median_of(value_ranks(cells, "value", "metric", "outcome", weight="w"), "value", "metric", "outcome")
+    medians = medians.groupBy("metric").agg(F.max(F.when(o == 1, F.col("median"))).alias("pass_median"), F.max(F.when(o == 0, F.col("median"))).alias("fail_median"))
+    ranked = spearman(cells, "value", "outcome", "metric", weight="w").select("metric", "spearman")
     return plain.join(medians, "metric").join(ranked, "metric").select("metric", "n", "pass_mean", "pass_median", "fail_mean", "fail_median", "point_biserial", "spearman")
 
 
-def spearman(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, *groups: str, weight: str | None = None) -> DataFrame:
     """Pearson of average ranks by group; null for fewer than 3 rows. From the counts of distinct (x, y) and the ranks of distinct values."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = both.groupBy(*groups, x, y).agg(F.count("*").alias("_w"))
+    cells = both.groupBy(*groups, x, y).agg((F.sum(weight) if weight else F.count("*")).alias("_w"))
     for side, name in ((x, "_rx"), (y, "_ry")):
-        places = value_ranks(both, side, *groups).withColumn(name, _mean_place())
+        places = value_ranks(both, side, *groups, weight=weight).withColumn(name, _mean_place())
         cells = cells.alias("c").join(places.alias("p"), _same("c", "p", [*groups, side])).select("c.*", f"p.{name}")
     n = F.sum("_w").cast("double")
     mean = (n + 1) / 2  # of ranks, on both sides
