@@ -437,6 +437,20 @@ def test_mixing_stage_meets_targets(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, corpus_pipeline.mix_sources(spark, frame.repartition(7), "").collect()))
 
 
+def test_one_of_each_keeps_columns_that_clash(spark):
+    from trialytics.llm.neardedup import near_groups, one_of_each
+
+    text = prose(60, 3)
+    rows = [(i, prose(60, 100 + i), i) for i in range(40)] + [(100 + i, text, -i) for i in range(30)] + [(100, text, 7), (5, "", 1), (5, None, 2), (None, text, 3), (None, text, 4), (None, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _near_id int").repartition(5)
+    assert one_of_each(frame, near_groups(frame)).columns == frame.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.text is None) for r in one_of_each(frame, near_groups(frame)).collect())
+    want = sorted([(i, prose(60, 100 + i), False) for i in range(40)] + [(100, text, False), (5, "", False), (5, "", True), (-1, text, False), (-1, "", True)])
+    assert got == want
+    empty = frame.limit(0)
+    assert one_of_each(empty, near_groups(empty)).count() == 0
+
+
 def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
 

@@ -141,16 +141,46 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _filter_words(ids: DataFrame) -> DataFrame:
+    """word, bits: the bitmap of FILTER_BITS hashed ids (id), for _likely. FILTER_BITS / 64 rows at most, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    return ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+
+
 def fetch_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text of the rows of docs whose id is in ids (id, no nulls), written to the shared folder."""
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").withColumn("place", place)
-    # FILTER_BITS / 64 rows at most, whatever the number of ids
-    likely = named.join(F.broadcast(words), F.shiftright("place", 6) == F.col("word")).where(F.expr("bit_get(bits, cast(place & 63 as int)) = 1")).select("id", "text")
+    likely = named.join(F.broadcast(_filter_words(ids)), F.shiftright("place", 6) == F.col("word")).where(F.expr("bit_get(bits, cast(place & 63 as int)) = 1")).select("id", "text")
     return cut(likely.join(ids.hint("merge"), "id", "left_semi"), "texts")
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_groups(docs) keeps, with the columns of docs.
+
+    Of rows with one id and one text one stays, and so of rows without an id; rows of one id
+    with different texts all stay or go with their id. Only rows whose id may be of a group that
+    loses it, or may occur twice, are shuffled: the bitmap of such ids, broadcast, lets all
+    others through in the scan, and an exact join decides about the rest.
+    """
+    mark = "_near_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    key, digest, stays, place, word, bits = (f"{mark}{n}" for n in ("id", "digest", "stays", "place", "word", "bits"))
+    known = groups.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    unsure = cut(known.where("not stays or n > 1").select("id", "stays"), "unsure")
+    words = F.broadcast(_filter_words(unsure.select("id")).select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    placed = docs.where(F.col(id_col).isNotNull()).withColumn(place, F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)))
+    flagged = placed.join(words, F.shiftright(place, 6) == F.col(word), "left")
+    likely = F.coalesce(F.expr(f"bit_get(`{bits}`, cast(`{place}` & 63 as int)) = 1"), F.lit(False))
+    marked = flagged.where(likely).withColumn(digest, F.sha2(F.col(text_col), 256))
+    told = unsure.select(F.col("id").alias(key), F.col("stays").alias(stays)).hint("merge")
+    decided = marked.join(told, F.col(id_col) == F.col(key), "left").where(F.coalesce(F.col(stays), F.lit(True))).dropDuplicates([id_col, digest])
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(digest, F.sha2(F.col(text_col), 256)).dropDuplicates([digest])
+    parts = [flagged.where(~likely), decided, nameless]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Texts join by id; pairs of one a come in a row, and its set is made once. Merge joins, so that Spark can split the many pairs of one a over tasks."""
     left, right = (texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}")).hint("merge") for n in "ab")
