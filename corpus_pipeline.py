@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trialytics.llm.common import cut
 from trialytics.llm.linededup import dedup_lines
 from trialytics.llm.mixing import sample
-from trialytics.llm.neardedup import near_groups
+from trialytics.llm.neardedup import near_groups, one_of_each
 from trialytics.llm.packing import pack_sequences
 from trialytics.llm.queries import MIX_TARGETS, tokenizer
 from trialytics.llm.toxicity import held_out, score, train
@@ -35,11 +35,7 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): that with the smallest id. Of rows with one id and one text one stays, and so of rows without an id; rows of one id with different texts all stay with their id."""
-    kept = near_groups(docs, words=5, percent=80).where("kept").select("doc_id").dropDuplicates()
-    marked = docs.withColumn("_digest", F.sha2("text", 256))
-    found = marked.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "_digest"])
-    rest = marked.where("doc_id is null").dropDuplicates(["_digest"])
-    return found.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return one_of_each(docs, near_groups(docs, words=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
