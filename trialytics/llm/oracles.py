@@ -95,4 +95,17 @@ SELECT doc_id, t AS topic, tokens, round(p, 9) AS probability, round(f / p, 9) A
 FROM d JOIN p USING (s, l, t)"""
 
 
-ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op5_minhash_dedup": NEAR, "op7_line_dedup": LINES, "op9_warc": WARC, "op10_mixing": mixing(MIX_TARGETS, 0.5)}
+QUALITY = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '-') AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, h, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+three AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS i FROM three WHERE n > 1) GROUP BY doc_id),
+lines AS MATERIALIZED (SELECT doc_id, h, regexp_replace(array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' '), '[0-9]+', '0', 'g') AS l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, h, unnest(ls) AS l FROM w)),
+common AS (SELECT h, l FROM (SELECT h, l, count(DISTINCT doc_id) AS n FROM lines GROUP BY h, l) JOIN (SELECT h, count(*) AS docs FROM w GROUP BY h) USING (h) WHERE n > 5 AND 100 * n > 10 * docs),
+lost AS (SELECT doc_id, sum(n) AS n FROM lines SEMI JOIN common USING (h, l) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_common_words FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, base_failed = false AND 2 * n_common_words <= n_words AS kept FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op5_minhash_dedup": NEAR, "op7_line_dedup": LINES, "op9_warc": WARC, "op10_mixing": mixing(MIX_TARGETS, 0.5), "op11_quality_rules": QUALITY}

@@ -87,10 +87,22 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 9).alias("probability"), F.round("_weight", 9).alias("weight"), F.col("_kept").alias("kept"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from trialytics.llm.quality import verdicts
+
+    return verdicts(read(spark, folder, "documents"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from trialytics.llm.alignment import align
+
+    return align(read(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_fingerprints, op4_exact_topk, op5_minhash_dedup, op6_token_counts, op7_line_dedup, op8_toxicity, op9_warc, op10_mixing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_fingerprints, op4_exact_topk, op5_minhash_dedup, op6_token_counts, op7_line_dedup, op8_toxicity, op9_warc, op10_mixing, op11_quality_rules, op12_alignment, pipeline)}
