@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,13 @@ def propagate_skips(df: DataFrame, key: str, order: str, failed: Column) -> Data
     return df.withColumn("skipped", F.coalesce(F.max(failed.cast("int")).over(before), F.lit(0)) == 1)
 
 
+def skip_after_first(df: DataFrame, keys: Sequence[str], order: str, failed: Column) -> DataFrame:
+    """skipped: whether an earlier row of the keys failed, as propagate_skips says it, for keys with very many rows: the first failures are aggregated and joined, in a join that Spark can split. Null keys are keys."""
+    first = df.where(failed).groupBy(*keys).agg(F.min(order).alias("_first"))
+    same = reduce(Column.__and__, (F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys))
+    return df.alias("d").join(first.alias("f"), same, "left").select("d.*", F.coalesce(F.col(f"d.{order}") > F.col("f._first"), F.lit(False)).alias("skipped"))
+
+
 def first_failure(df: DataFrame, key: str, order: str, stage: str, failed: Column) -> DataFrame:
     """key, first_stage: the first failed stage of each key that has one. Partial aggregation, no sort."""
     return df.where(failed).groupBy(key).agg(F.min_by(stage, order).alias("first_stage"))
