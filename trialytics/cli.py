@@ -107,7 +107,7 @@ def run_overview(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_plan(spark: SparkSession, args: argparse.Namespace) -> int:
     docs = study.artefacts(spark, args.project_root)
     found = docs.where(F.col("path").rlike(f"^{study.CONFIGS}/[^/]+\\.json$") & ~F.col("path").endswith(".draft.json"))
-    rows = batch.plan(files.json_objects_strict(found.withColumn("value", F.regexp_replace("value", "^" + files.BOM, ""))))
+    rows = batch.plan(files.json_objects_strict(found.withColumn("value", F.regexp_replace(study.read_text(), "^" + files.BOM, ""))))
     if args.targets:
         wanted = study.manifest_rows(docs, args.targets).select(F.try_element_at("row", F.lit("target_id")).alias("target_id"))
         rows = rows.join(wanted.distinct(), "target_id", "left_semi").orderBy("config")

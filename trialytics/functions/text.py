@@ -43,7 +43,7 @@ def strip_marks(x: Column | str) -> Column:
 
 def source_paths(x: Column | str) -> Column:
     """Distinct relative source paths, in order."""
-    letter = "[A-Za-z0-9_.-]"
+    letter = "[A-Za-z0-9_.-]"  # fixed values: what such a path looks like
     pattern = rf"(?<!{letter}){letter}+(?:/{letter}+)+\.(?:{'|'.join(SOURCE_SUFFIXES)})(?!{letter})"
     return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(0)))
 
@@ -77,9 +77,19 @@ def ctest_counts(x: Column | str) -> Column:
 
 
 def first_error_line(x: Column | str, patterns: Sequence[str], size: int = 500) -> Column:
-    """The first line that matches the first pattern that matches at all; blanks collapsed, cut to size."""
-    found = F.coalesce(*(F.nullif(F.regexp_extract(_c(x), f"(?imd)^.*(?:{p}).*$", 0), F.lit("")) for p in patterns))
-    return F.left(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(size))
+    """The first line that matches the first pattern that matches at all; blanks collapsed, cut to size.
+
+    Patterns match within lines ('.' matches no line end). Each is looked for once, from the
+    text's start; the line is cut out around the place where it is found.
+    """
+    text = _c(x)
+
+    def line(pattern: str) -> Column:
+        at = F.regexp_instr(text, F.lit(f"(?id)(?:{pattern})"))
+        around = F.concat(F.substring_index(F.left(text, at - 1), "\n", -1), F.substring_index(F.substring(text, at, F.length(text)), "\n", 1))
+        return F.when(at > 0, around)
+
+    return F.left(F.trim(F.regexp_replace(F.coalesce(*map(line, patterns)), r"\s+", " ")), F.lit(size))
 
 
 def strip_fence(x: Column | str) -> Column:

@@ -19,6 +19,7 @@ BUILD_RULES = (
 )
 ERROR_LINES = (r"fatal error|error:|undefined reference|Assertion.*failed|FAILED|Traceback", r"timed out|timeout|hung|killed|terminated")
 # Failure categories and what reports call them.
+ENDED_SHORT = {"design_generation": "design generation ended with done_reason=length", "code_regeneration": "code regeneration ended with done_reason=length"}
 LABELS = {
     "none": "成功",
     "output_truncation": "生成出力の打ち切り",
@@ -82,8 +83,8 @@ def classify(row: Mapping[str, Column], order: tuple[str, ...], log: Column, sto
         return (
             F.when(row["overall_pass"], result(none, "none", none))
             .when(timed.isNotNull(), result(timed, "timeout_or_hang", F.coalesce(error, F.concat(timed, F.lit(" timed out")))))
-            .when(row["design_reason"] == "length", result("design_generation", "output_truncation", "design generation ended with done_reason=length"))
-            .when(row["code_reason"] == "length", result("code_regeneration", "output_truncation", "code regeneration ended with done_reason=length"))
+            .when(row["design_reason"] == "length", result("design_generation", "output_truncation", ENDED_SHORT["design_generation"]))
+            .when(row["code_reason"] == "length", result("code_regeneration", "output_truncation", ENDED_SHORT["code_regeneration"]))
             .when(row["failure_present"], result(F.coalesce(row["failure_stage"], F.lit("pipeline")), F.when(truncated, "output_truncation").otherwise("output_format_or_pipeline"), F.left(message, F.lit(500))))
             .when(failed("configure"), result("configure", "configure_failure", error))
             .when(failed("build"), result("build", build_category(text), error))

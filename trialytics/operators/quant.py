@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialytics.functions.stats import fisher_exact
-from trialytics.session import cut
+from trialytics.functions.stats import fisher_exact, pearson
 
 
 def _same(a: str, b: str, names: Sequence[str]) -> Column:
@@ -17,21 +16,32 @@ def _same(a: str, b: str, names: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
 
 
+#: Values that part a column into ranges: the steps of a search among them, the largest first.
+STEPS = tuple(1 << i for i in reversed(range(10)))
+
+
+def _with_range(counted: DataFrame, value: str, *groups: str) -> DataFrame:
+    """counted with _range, the number of the value's range, rising with the value. The bounds are the values of those cells whose hashes are least: a sample that is the same in any order of rows and tasks."""
+    chosen = counted.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.xxhash64(*groups, value).alias("h")).orderBy("h", "v").limit(2 * STEPS[0] - 1)
+    bounded = counted.withColumn("_bounds", chosen.agg(F.array_sort(F.collect_list("v"))).scalar())
+    further = lambda at, step: F.when(F.coalesce(F.get("_bounds", at + step - 1) < F.col(value), F.lit(False)), at + step).otherwise(at)
+    return bounded.withColumn("_range", F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), further)).drop("_bounds")
+
+
 def value_ranks(df: DataFrame, value: str, *groups: str, weight: str | None = None) -> DataFrame:
-    """groups, value, n (rows of the value), below (rows of lower values in the group). weight: a column that says for how many rows a row stands.
+    """groups, value, n (rows of the value), below (rows of lower values in the group), of (rows of the group). weight: a column that says for how many rows a row stands.
 
     Prefix counts over ranges of the distinct values: no task holds more than a range, however
     few the groups are. Only the ranges' totals, a row for each range and group, meet by group.
     """
     counted = df.groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    ranged = counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id())
-    ranged = cut(ranged, "ranges")
-    inside = Window.partitionBy("_range", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _with_range(counted, value, *groups)
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range", *groups).agg(F.sum("n").alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    totals = ranged.groupBy(*groups, "_range").agg(F.sum("n").alias("_sum")).withColumns({"_ahead": F.coalesce(F.sum("_sum").over(ahead), F.lit(0)), "_of": F.sum("_sum").over(Window.partitionBy(*groups))})
     local = ranged.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     joined = local.alias("l").join(totals.alias("t"), _same("l", "t", ["_range", *groups]))
-    return joined.select(*(F.col(f"l.{g}") for g in groups), F.col(f"l.{value}"), "l.n", (F.col("_ahead") + F.col("_inside")).alias("below"))
+    return joined.select(*(F.col(f"l.{g}") for g in groups), F.col(f"l.{value}"), "l.n", (F.col("_ahead") + F.col("_inside")).alias("below"), F.col("_of").alias("of"))
 
 
 def _mean_place() -> Column:
@@ -47,30 +57,23 @@ def average_rank(df: DataFrame, value: str, *groups: str, name: str = "avg_rank"
 
 def _median_of(ranks: DataFrame, value: str, *groups: str) -> DataFrame:
     """groups, median: from the counts below each distinct value."""
-    totals = ranks.groupBy(*groups).agg(F.sum("n").alias("_all"))
-    held = ranks.alias("r").join(totals.alias("t"), _same("r", "t", groups)).select(*(F.col(f"r.{g}") for g in groups), F.col(f"r.{value}").alias("_v"), "r.n", "r.below", "t._all")
     covers = lambda place: (F.col("below") < place) & (place <= F.col("below") + F.col("n"))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    return held.groupBy(*groups).agg(((F.max(F.when(covers(low), F.col("_v"))) + F.max(F.when(covers(high), F.col("_v")))) / 2).alias("median"))
+    low, high = F.floor((F.col("of") + 1) / 2), F.floor(F.col("of") / 2) + 1
+    return ranks.groupBy(*groups).agg(((F.max(F.when(covers(low), F.col(value))) + F.max(F.when(covers(high), F.col(value)))) / 2).alias("median"))
 
 
 def metrics_by_outcome(df: DataFrame, metrics: Sequence[str], passed: Column) -> DataFrame:
     """One row a metric: n, means and medians by outcome, point-biserial r and Spearman rho.
 
-    The metrics are unpivoted and counted by value and outcome in one scan; all else comes from
-    those counts, ranks and medians by prefix counts (value_ranks), so that no task holds a
-    metric's rows or values.
+    The metrics are unpivoted. Means and r come from centred moments, which Spark merges over
+    tasks; ranks and medians from the counts by value and outcome, by prefix counts
+    (value_ranks), so that no task holds a metric's rows or values.
     """
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
     long = df.select(F.explode(pairs).alias("p"), passed.cast("double").alias("outcome")).select("p.metric", "p.value", "outcome").where("value is not null and outcome is not null")
-    cells = cut(long.groupBy("metric", "outcome", "value").agg(F.count("*").alias("w")), "cells")
-    w, v, o = F.col("w"), F.col("value"), F.col("outcome")
-    n = F.sum("w").cast("double")
-    mean = lambda x: F.sum(x * w) / n
-    of = lambda x: F.sum(F.when(o == x, v * w)) / F.sum(F.when(o == x, w))
-    spread = lambda x: mean(x * x) - mean(x) * mean(x)
-    r = F.when((n >= 3) & (F.min("value") < F.max("value")) & (F.min("outcome") < F.max("outcome")), (mean(v * o) - mean(v) * mean(o)) / F.sqrt(spread(v) * spread(o)))
-    plain = cells.groupBy("metric").agg(F.sum("w").alias("n"), of(1).alias("pass_mean"), of(0).alias("fail_mean"), r.alias("point_biserial"))
+    o, v = F.col("outcome"), F.col("value")
+    plain = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg(F.when(o == 1, v)).alias("pass_mean"), F.avg(F.when(o == 0, v)).alias("fail_mean"), pearson("value", "outcome").alias("point_biserial"))
+    cells = long.groupBy("metric", "outcome", "value").agg(F.count("*").alias("w"))
     medians = _median_of(value_ranks(cells, "value", "metric", "outcome", weight="w"), "value", "metric", "outcome")
     medians = medians.groupBy("metric").agg(F.max(F.when(o == 1, F.col("median"))).alias("pass_median"), F.max(F.when(o == 0, F.col("median"))).alias("fail_median"))
     ranked = spearman(cells, "value", "outcome", "metric", weight="w").select("metric", "spearman")
@@ -78,17 +81,16 @@ def metrics_by_outcome(df: DataFrame, metrics: Sequence[str], passed: Column) ->
 
 
 def spearman(df: DataFrame, x: str, y: str, *groups: str, weight: str | None = None) -> DataFrame:
-    """Pearson of average ranks by group; null for fewer than 3 rows. From the counts of distinct (x, y) and the ranks of distinct values."""
+    """Pearson of average ranks by group; null for fewer than 3 rows. From the counts of distinct (x, y) and the ranks of distinct values, which are centred by their known mean."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     cells = both.groupBy(*groups, x, y).agg((F.sum(weight) if weight else F.count("*")).alias("_w"))
     for side, name in ((x, "_rx"), (y, "_ry")):
-        places = value_ranks(both, side, *groups, weight=weight).withColumn(name, _mean_place())
+        # a rank less its mean, (of + 1) / 2
+        places = value_ranks(both, side, *groups, weight=weight).withColumn(name, _mean_place() - (F.col("of") + 1) / F.lit(2.0))
         cells = cells.alias("c").join(places.alias("p"), _same("c", "p", [*groups, side])).select("c.*", f"p.{name}")
-    n = F.sum("_w").cast("double")
-    mean = (n + 1) / 2  # of ranks, on both sides
-    cross = F.sum(F.col("_rx") * F.col("_ry") * F.col("_w")) / n - mean * mean
-    spread = lambda r: F.sum(F.col(r) * F.col(r) * F.col("_w")) / n - mean * mean
-    rho = F.when((n >= 3) & (spread("_rx") > 0) & (spread("_ry") > 0), cross / F.sqrt(spread("_rx") * spread("_ry")))
+    of = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_w"))
+    spread = of("_rx", "_rx") * of("_ry", "_ry")
+    rho = F.when((F.sum("_w") >= 3) & (spread > 0), of("_rx", "_ry") / F.sqrt(of("_rx", "_rx")) / F.sqrt(of("_ry", "_ry")))
     return cells.groupBy(*groups).agg(F.sum("_w").alias("n"), rho.alias("spearman"))
 
 

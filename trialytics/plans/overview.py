@@ -45,7 +45,7 @@ def overviews(docs: DataFrame) -> DataFrame:
     """A row for each experiment (docs: path, value, bytes, sha256). Missing and unreadable documents count as empty."""
     below = folders(docs.select("path")).where(F.col("dir").rlike(f"^{EXPERIMENTS}/[^/]+$")).withColumn("experiment", F.substring_index("dir", "/", -1))
     held = below.join(docs, "path")
-    text_of = lambda rel: F.max(F.when(F.col("rel") == rel, F.col("value")))
+    text_of = lambda rel: F.max(F.when((F.col("rel") == rel) & (F.col("readable") | ~F.col("rel").endswith(".json")), F.col("value")))
     gathered = held.groupBy("experiment").agg(*(text_of(rel).alias(f"_{n}") for n, rel in DOCUMENTS.items()), text_of(ORIGINAL).alias("_original"), text_of(REGENERATED).alias("_regenerated"), *(F.max(F.when(F.col("rel") == rel, F.col("sha256"))).alias(n) for n, rel in (("_original_sha256", ORIGINAL), ("_regenerated_sha256", REGENERATED))))
 
     def document(name: str) -> Column:

@@ -74,12 +74,17 @@ class Legacy:
 
 
 def artefacts(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), value (text, newlines unified, undecodable bytes replaced), bytes, sha256 of all files below root."""
+    """path (relative to root), value (text, newlines unified, undecodable bytes replaced), bytes, sha256 of all files below root; readable: whether the bytes are UTF-8, which documents and manifests must be."""
     root = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.expr("substring(path, instr(path, root) + length(root) + 1)")
     value = text.unify_newlines(F.make_valid_utf8(F.col("content").cast("string")))
-    return read.withColumn("root", F.lit(root)).select(below.alias("path"), value.alias("value"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return read.withColumn("root", F.lit(root)).select(below.alias("path"), value.alias("value"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("readable"))
+
+
+def read_text(value: str = "value") -> Column:
+    """The text of a file that is read as a document: null where its bytes aren't UTF-8."""
+    return F.when(F.col("readable"), F.col(value))
 
 
 def _get(doc: str, *paths: str, kind: str = "string") -> Column:
@@ -111,7 +116,7 @@ def manifest_rows(docs: DataFrame, path: str) -> DataFrame:
                 rows = [{k: v for k, v in r.items() if k is not None} for r in csv.DictReader(io.StringIO(value.removeprefix(files.BOM)))]
                 yield pd.DataFrame({"no": range(len(rows)), "row": rows})
 
-    return docs.where(F.col("path") == path).select("value").mapInPandas(parse, "no long, row map<string,string>")
+    return docs.where((F.col("path") == path) & F.col("readable")).select("value").mapInPandas(parse, "no long, row map<string,string>")
 
 
 def batch_entries(docs: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def batch_entries(docs: DataFrame) -> DataFrame:
                         waiting += reversed(here)
                 yield pd.DataFrame(found, columns=["report", "no", "id", "entry"])
 
-    rows = docs.where(F.col("path").isin(*BATCH)).select("path", "value").mapInPandas(walk, "report long, no long, id string, entry string")
+    rows = docs.where(F.col("path").isin(*BATCH) & F.col("readable")).select("path", "value").mapInPandas(walk, "report long, no long, id string, entry string")
     return rows.groupBy("id").agg(F.min_by("entry", F.struct("report", "no")).alias("entry"))
 
 
@@ -165,7 +170,7 @@ def experiment_folders(targets: DataFrame, below: DataFrame) -> DataFrame:
 def holdings(dirs: DataFrame, below: DataFrame, docs: DataFrame) -> DataFrame:
     """What each target's folder holds: paths and texts of its documents, sizes of its sources. One aggregation by target."""
     held = dirs.join(below.withColumnRenamed("dir", "exp_dir"), "exp_dir").join(docs, "path")
-    held = held.withColumn("parts", F.split("path", "/")).withColumn("doc", F.when(F.col("rel").endswith(".json"), _object("value")))
+    held = held.withColumn("parts", F.split("path", "/")).withColumn("doc", F.when(F.col("rel").endswith(".json"), _object(read_text())))
     held = held.withColumn("lines", text.line_count("value")).withColumn("chars", F.length("value").cast("bigint"))
     rel, there = F.col("rel"), F.col("doc").isNotNull()
     nothing = F.array().cast("array<string>")
@@ -230,7 +235,7 @@ def _stage_columns(stage: str) -> dict[str, Column]:
 def _targets(docs: DataFrame) -> DataFrame:
     """The configurations: config_path, config (variant), target_id, configured folder."""
     inside = docs.where(F.col("path").rlike(f"^{CONFIGS}/[^/]+\\.json$") & ~F.col("path").endswith(".draft.json"))
-    read = files.json_objects_strict(inside.withColumn("value", F.regexp_replace("value", "^" + files.BOM, "")))
+    read = files.json_objects_strict(inside.withColumn("value", F.regexp_replace(read_text(), "^" + files.BOM, "")))
     stem = F.regexp_replace(files.base_name("path"), r"\.json$", "")
     named = read.select(F.col("path").alias("config_path"), F.col("doc").alias("config"), coerce.first_nonempty(F.try_variant_get("doc", "$.target_id", "string"), stem).alias("target_id"))
     folder = coerce.first_nonempty(_get("config", "experiment_directory", "paths.experiment_directory"), _get("config", "experiment_dir", "paths.experiment_dir"))
@@ -283,7 +288,7 @@ def standard_records(docs: DataFrame, prefixes: Sequence[tuple[str, str]] = (),
     rows = lookup.first_match(rows.join(held, "target_id", "left"), target_rows.withColumnsRenamed({"target_id": "key_target_id", "id": "key_id", "target": "key_target"}), "target_id", ["key_target_id", "key_id", "key_target"], "no", ["target_row"])
     rows = lookup.first_match(rows, run_rows, "run_id", ["run_key_run_id", "run_key_id", "run_key_run"], "no", ["run_row"])
     rows = rows.join(batch_entries(docs).select(F.col("id").alias("target_id"), "entry"), "target_id", "left")
-    failure_docs = docs.select(F.col("path").alias("failure_path"), F.col("value").alias("failure_text"))
+    failure_docs = docs.select(F.col("path").alias("failure_path"), read_text().alias("failure_text"))
     rows = rows.join(failure_docs, "failure_path", "left")
     rows = rows.withColumns({"evaluation_doc": _object("evaluation.value"), "failure_doc": _object("failure_text"), "batch_doc": F.try_parse_json("entry"), "response_doc": _object("response")})
     rows = rows.withColumns({"design_doc": _object("design_metadata"), "code_doc": _object("code_metadata"), "own_normalization": F.try_variant_get("evaluation_doc", "$.code_regeneration_normalization", "variant")})
@@ -399,7 +404,7 @@ def pilot_records(docs: DataFrame) -> DataFrame:
     below = folders(docs).where(F.col("dir").rlike(f"^{root}/[^/]+$"))
     name = F.substring_index("exp_dir", "/", -1)
     dirs = below.select(F.col("dir").alias("exp_dir")).distinct().select(F.concat(F.lit("pilot::"), name).alias("target_id"), "exp_dir")
-    failure = docs.select(F.col("path").alias("failure_path"), F.col("value").alias("failure_text"))
+    failure = docs.select(F.col("path").alias("failure_path"), read_text().alias("failure_text"))
     rows = dirs.join(holdings(dirs, below, docs), "target_id").join(failure, "failure_path", "left").withColumns({"evaluation_doc": _object("evaluation.value"), "failure_doc": _object("failure_text")})
     rows = rows.withColumns({"failure_present": F.col("failure_doc").isNotNull(), "pipeline_stage": _get("failure_doc", "stage", "failure_stage"), "pipeline_reason": _get("failure_doc", "error", "message", "reason", "detail"), "evaluated": _get("evaluation_doc", "overall_pass")}).drop("failure_doc")
     none = lambda kind: F.lit(None).cast(kind)

@@ -1,47 +1,114 @@
-"""Sequence similarity of texts."""
+"""Sequence similarity of texts: the ratio of the standard library's matcher, by other means."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from difflib import Match, SequenceMatcher
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Runs up to which a rectangle is searched without arrays.
+FEW = 24
+#: Equal pairs of letters of two texts beyond which they would take too much memory as arrays (about 0.7 GB).
+MANY_PAIRS = 20_000_000
 
-class Matcher(SequenceMatcher):
-    """The standard library's matcher over two texts, with the same matches: where a letter of a isn't indexed in b (most letters of long texts are too frequent), no match ends, so only the other places are visited."""
-
-    def set_seqs(self, a, b):
-        super().set_seqs(a, b)
-        self.places = [i for i, x in enumerate(a) if x in self.b2j]
-
-    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
-        a, b, b2j = self.a, self.b, self.b2j
-        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
-        besti, bestj, bestsize = alo, blo, 0
-        places, lengths, before = self.places, {}, -2
-        for at in range(bisect_left(places, alo), bisect_left(places, ahi)):
-            i = places[at]
-            get = lengths.get if i == before + 1 else {}.get
-            lengths, before = {}, i
-            spots = b2j[a[i]]
-            for j in spots[bisect_left(spots, blo) : bisect_left(spots, bhi)]:
-                k = lengths[j] = get(j - 1, 0) + 1
-                if k > bestsize:
-                    besti, bestj, bestsize = i - k + 1, j - k + 1, k
-        while besti > alo and bestj > blo and a[besti - 1] == b[bestj - 1]:
-            besti, bestj, bestsize = besti - 1, bestj - 1, bestsize + 1
-        while besti + bestsize < ahi and bestj + bestsize < bhi and a[besti + bestsize] == b[bestj + bestsize]:
-            bestsize += 1
-        return Match(besti, bestj, bestsize)
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def equal_runs(a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(start in a, start in b, length) of all maximal equal runs of letters that aren't too frequent in b; None for MANY_PAIRS."""
+    x, y = _codes(a), _codes(b)
+    letters, which, count = np.unique(y, return_inverse=True, return_counts=True)
+    rare = count <= len(y) // 100 + 1 if len(y) >= 200 else np.ones(len(letters), dtype=bool)
+    place = np.searchsorted(letters, x)
+    place[place == len(letters)] = 0
+    ahead = np.flatnonzero((letters[place] == x) & rare[place]) if len(letters) else np.zeros(0, dtype=np.int64)
+    letter = place[ahead]
+    times = count[letter]
+    if times.sum() > MANY_PAIRS:
+        return None
+    spots = np.argsort(which, kind="stable")
+    first = np.cumsum(count) - count
+    i = np.repeat(ahead, times)
+    j = spots[np.repeat(first[letter] - (np.cumsum(times) - times), times) + np.arange(len(i))]
+    # pairs of one diagonal lie together, in order of i; neighbours differ by one
+    width = len(x) + 1
+    key = np.sort((j - i + len(x)) * width + i)
+    begins = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+    i = key[begins] % width
+    return i, key[begins] // width - len(x) + i, np.diff(np.append(begins, len(key)))
+
+
+def matched(a: str, b: str) -> int | None:
+    """Letters in the matching blocks: the longest run of a rectangle (the first in a, then in b), extended by whatever letters are equal, then the rectangles before and behind it. None for MANY_PAIRS."""
+    runs = equal_runs(a, b)
+    if runs is None:
+        return None
+    total, wait = 0, [(0, len(a), 0, len(b), runs)]
+    while wait:
+        alo, ahi, blo, bhi, runs = wait.pop()
+        i, j, size = alo, blo, 0
+        if isinstance(runs, list):
+            held = []
+            for p, q, n in runs:
+                skip = max(0, alo - p, blo - q)
+                n = min(n, ahi - p, bhi - q) - skip
+                if n > 0:
+                    held.append((p + skip, q + skip, n))
+            if held:
+                i, j, size = max(held, key=lambda r: (r[2], -r[0], -r[1]))
+        else:
+            p, q, n = runs
+            skip = np.maximum(0, np.maximum(alo - p, blo - q))
+            n = np.minimum(n, np.minimum(ahi - p, bhi - q)) - skip
+            some = n > 0
+            p, q, n = (p + skip)[some], (q + skip)[some], n[some]
+            if len(n):
+                size = int(n.max())
+                longest = np.flatnonzero(n == size)
+                at = longest[np.argmin(p[longest] * (len(b) + 1) + q[longest])]
+                i, j = int(p[at]), int(q[at])
+            held = p, q, n
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if not size:
+            continue
+        total += size
+        if alo < i and blo < j:
+            wait.append((alo, i, blo, j, _within(held, lambda p, q, n, i=i, j=j: (p < i) & (q < j))))
+        if i + size < ahi and j + size < bhi:
+            wait.append((i + size, ahi, j + size, bhi, _within(held, lambda p, q, n, i=i + size, j=j + size: (p + n > i) & (q + n > j))))
+    return total
+
+
+def _within(held, test):
+    """The runs that meet a rectangle; a few as a list."""
+    if isinstance(held, list):
+        return [r for r in held if test(*r)]
+    chosen = test(*held)
+    p, q, n = (x[chosen] for x in held)
+    return list(zip(p.tolist(), q.tolist(), n.tolist(), strict=True)) if len(n) <= FEW else (p, q, n)
+
+
+def ratio(a: str, b: str) -> float:
+    if not a and not b:
+        return 1.0
+    if a == b:
+        return 1.0
+    found = matched(a, b)
+    return SequenceMatcher(None, a, b).ratio() if found is None else 2.0 * found / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of the standard library's matcher; null for a null."""
-    return pd.Series([None if x is None or y is None else Matcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def compare(a, b) -> dict:
