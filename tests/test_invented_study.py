@@ -92,7 +92,7 @@ def test_records(made):
     }
     assert rows["a-build"]["failure_detail"] == "x.cpp:3:1: error: expected ';' before '}'�"
     assert rows["b-broken"]["failure_detail"] == "given up" and rows["b-broken"]["result_source"] == "batch/manifests fallback"
-    assert told("original_loc", "original_chars", "original_measurement_scope", "generated_loc")["a-pass"] == ("3", "27", "class_span_backup", "4")
+    assert told("original_loc", "original_chars", "original_measurement_scope", "generated_loc")["a-pass"] == ("3", "26", "class_span_backup", "4")
     assert told("original_loc", "original_chars", "original_measurement_scope")["a-build"] == ("2", "14", "module_files_backup")
     assert told("build_status", "build_exit_code", "direct_test_status", "total_recorded_elapsed_seconds")["a-build"] == ("failed", "2", "skipped", "3.75")
     assert "No evaluation_manifest.json was found" in rows["b-broken"]["data_quality_notes"]
