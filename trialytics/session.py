@@ -7,6 +7,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +62,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The folders made inside a call of written(); None outside.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
+    """A new path under the shared folder, removed when the driver ends, or with what it was made for (written, free)."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -81,4 +89,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Delete what cut() wrote for these frames. Nothing that is still to be read may come from them; other frames are left alone."""
+    for frame in frames:
+        if path := getattr(frame, "_cut_path", None):
+            _remove(frame.sparkSession, path)
+
+
+def written(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut(make(), name), after which the folders that making it took are deleted."""
+    mine: list[str] = []
+    token = _made.set(mine)
+    try:
+        out = cut(make(), name)
+    finally:
+        _made.reset(token)
+    for path in mine:
+        if path != out._cut_path:
+            _remove(spark, path)
+    if (outer := _made.get()) is not None:
+        outer.append(out._cut_path)
+    return out
