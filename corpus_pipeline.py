@@ -1,8 +1,9 @@
 """The corpus pipeline: STAGES, applied in order by run().
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. Between stages the rows are written as Parquet and read again. A stage
-works on all that its predecessor kept.
+columns of documents. Between stages the rows are written as Parquet and read again; what a
+stage wrote on its way, and its predecessor's rows, are then deleted. A stage works on all that
+its predecessor kept.
 
 Nulls and edge cases are those of the operators; a stage over an empty table gives an empty one.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialytics.llm.common import cut
+from trialytics.llm import linededup, toxicity
+from trialytics.llm.common import free, own_names, written
 from trialytics.llm.linededup import dedup_lines
 from trialytics.llm.mixing import sample
 from trialytics.llm.neardedup import near_groups, one_of_each
@@ -24,13 +26,13 @@ from trialytics.llm.toxicity import held_out, score, train
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, learnt from the labels, scores below 0.5."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
-    return score(docs, model).where("_t_predicted = 0").select(*docs.columns)
+    return score(docs, model).where(F.col(own_names(docs, toxicity.OWN)["_t_predicted"]) == 0).select(*docs.columns)
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later occurrences of runs of lines of 50 words or more; n_chars follows the text."""
     done = dedup_lines(docs, 50)
-    return done.withColumn("n_chars", F.when(F.col("_w_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return done.withColumn("n_chars", F.when(F.col(own_names(docs, linededup.OWN)["_w_removed"]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; the last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        free(before)
     return docs

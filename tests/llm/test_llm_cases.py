@@ -408,7 +408,8 @@ def test_toxicity_sample_is_bounded_and_columns_stay(spark):
     model = toxicity.train(frame, labels, F.lit(True))
     assert model.weights and toxicity.train(frame, labels, F.lit(True), most_chars=1).weights == {}
     out = toxicity.score(frame, model)
-    assert out.columns == ["doc_id", "text", "label", "score", "_t_score", "_t_predicted", "_t_offending"]
+    assert out.columns == ["doc_id", "text", "label", "score", "_t_score", "__t_score", "_t_predicted", "_t_offending"]
+    assert {r._t_score for r in out.where("doc_id is not null").collect()} == {7}
     assert {r.score for r in out.where("doc_id is not null").collect()} == {0.25} and out.count() == len(rows)
 
 
@@ -461,3 +462,47 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     key = lambda r: (r[0] or 0, r[1] or "")
     assert got.columns == frame.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, one), (3, two), (3, other), (None, two), (None, None), (4, None)], key=key)
+
+
+def test_line_dedup_keeps_columns_that_clash(spark):
+    repeated = "\n".join(prose(20, 900 + i) for i in range(3))
+    rows = [(1, repeated, "a", 5, 6), (2, prose(5, 1) + "\n" + repeated, "b", 5, 6), (3, None, "c", 5, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _w_text string, _w_removed int, _W_gone int")
+    out = linededup.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "_w_lines", "__w_removed", "_w_runs"]
+    got = sorted(out.collect())
+    assert [tuple(r) for r in got] == [(1, repeated, "a", 5, 6, 3, 0, 0), (2, prose(5, 1), "b", 5, 6, 4, 3, 1), (3, None, "c", 5, 6, 0, 0, 0)]
+
+
+def test_topk_refuses_what_it_cannot_hold(spark):
+    with pytest.raises(OverflowError):
+        bitsliced.quantise(np.array([1e18]), 1024.0)
+    assert bitsliced.quantise(np.array([-0.5, 1e15]), 1024.0).tolist() == [-512, 1024 * 10**15]
+    frame = spark.createDataFrame([(0, [1e14, 1e14]), (1, [1e14, 1e14])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit into a long"):
+        bitsliced.top_k(frame, F.col("vec_id") == 0, 1).collect()
+
+
+def test_near_groups_leave_one_generation_behind(spark):
+    import os
+
+    from trialytics.session import shared_root, written
+
+    root = shared_root(spark).removeprefix("file:")
+    text = prose(60, 3)
+    frame = spark.createDataFrame([(i, text.replace("a", "b", i % 5)) for i in range(60)], "doc_id long, text string")
+    kinds = lambda: sorted(n.rsplit("-", 1)[0] for n in os.listdir(root))
+    before = kinds()
+    done = neardedup.near_groups(frame)
+    left = list(kinds())
+    for name in before:
+        left.remove(name)
+    assert left == ["classes", "labels", "sketches"]
+    kept = written(spark, lambda: done, "kept")
+    want = sorted(map(tuple, done.collect()))
+    assert sorted(map(tuple, kept.collect())) == want
+    again = written(spark, lambda: neardedup.near_groups(frame), "again")
+    left = list(kinds())
+    for name in [*before, "classes", "labels", "sketches", "kept"]:
+        left.remove(name)
+    assert left == ["again"] and sorted(map(tuple, again.collect())) == want

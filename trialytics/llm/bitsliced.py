@@ -18,8 +18,8 @@ anything, and each meeting of blocks yields at most k rows a query.
 Nulls and edge cases: rows whose id is null, and vectors that are null or hold null or
 non-finite components, take no part; vectors of different length have no product and are not
 compared. A row is never a candidate of a query of its own id; repeated query rows are
-answered each. Quantised components are held within +-2**62 and scores within a long. Empty
-tables give no rows; further columns are ignored.
+answered each. A quantised component of 2**62 or more, or a score beyond a long, is an error.
+Empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,16 @@ FOUND = "query_id long, query_no long, vec_id long, score long"
 
 
 def quantise(values: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(scale * values.astype(np.float64)), -(2.0**62), 2.0**62).astype(np.int64)
+    scaled = np.floor(scale * values.astype(np.float64))
+    if scaled.size and not np.abs(scaled).max() < 2.0**62:
+        raise OverflowError("a component of a vector is too large to be quantised: 2**62 or more after scaling")
+    return scaled.astype(np.int64)
+
+
+def _long(score: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError("a score does not fit into a long")
+    return score
 
 
 def _vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -200,7 +209,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
             allowed = np.zeros(slices.shape[2] * 8, dtype=np.uint8)
             allowed[: len(packed)] = packed
             offset, sums = scores(slices, vector)
-            out += [(query, number, i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in top_rows(sums, allowed.view(np.uint64), ids, offset, k)]
+            out += [(query, number, i, _long(s)) for s, i in top_rows(sums, allowed.view(np.uint64), ids, offset, k)]
         found = list(zip(*out, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "query_no", "vec_id", "score"])
 

@@ -25,8 +25,9 @@ shared folder once, as hashes; texts are shuffled once, to be cut.
 Nulls and edge cases: null and empty texts have no lines and stay as they are. Rows with a
 null id take no part and stay. Rows that share an id are kept apart by their text and count as
 documents in text order; rows equal in both are one document more than once and come out alike.
-An empty table gives no rows. Further columns are kept; names that begin with `_w_` are the
-operator's own.
+An empty table gives no rows. Further columns are kept. The operator's own columns are called
+as in OWN; where docs has a column of such a name, the operator's gets one more underscore in
+front (own_names), and the input's column stays.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialytics.llm.common import cut
+from trialytics.llm.common import cut, own_names
+
+OWN = ("_w_lines", "_w_removed", "_w_runs")
 
 #: White space inside lines: it is trimmed, and separates words (fixed values).
 BLANK = " \t\x0b\f\r"
@@ -111,17 +114,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col rid of repeated runs, and _w_lines (lines before), _w_removed (lines deleted), _w_runs (runs deleted).
+    """docs with text_col rid of repeated runs, and the columns of OWN: _w_lines (lines before), _w_removed (lines deleted), _w_runs (runs deleted).
 
     Blank lines inside a deleted run go with it.
     """
+    own = own_names(docs, OWN)
+    key, gone, lines = own_names(docs, ("_w_text", "_w_gone", "_w_all")).values()
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    gone = runs.groupBy(F.col("_w_id").alias(id_col), F.col("_w_text")).agg(F.flatten(F.collect_list(F.sequence("_w_from", "_w_to"))).alias("_w_gone"), F.count("*").alias("_w_runs"))
-    marked = docs.withColumn("_w_text", F.xxhash64(text_col))
-    joined = marked.join(gone, [id_col, "_w_text"], "left").withColumn("_w_all", split_lines(F.col(text_col)))
-    size = F.size("_w_all")
-    stay = F.array_except(F.sequence(F.lit(0), size - 1), F.col("_w_gone"))
-    text = F.when(F.col("_w_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_w_all")[i]), "\n"))
+    deleted = runs.groupBy(F.col("_w_id").alias(id_col), F.col("_w_text").alias(key)).agg(F.flatten(F.collect_list(F.sequence("_w_from", "_w_to"))).alias(gone), F.count("*").alias(own["_w_runs"]))
+    joined = docs.withColumn(key, F.xxhash64(text_col)).join(deleted, [id_col, key], "left").withColumn(lines, split_lines(F.col(text_col)))
+    size = F.size(lines)
+    stay = F.array_except(F.sequence(F.lit(0), size - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.col(lines)[i]), "\n"))
     out = {c: F.col(c) for c in docs.columns}
     out[text_col] = text.alias(text_col)
-    return joined.select(*out.values(), F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("_w_lines"), F.coalesce(F.size(F.array_distinct("_w_gone")), F.lit(0)).cast("long").alias("_w_removed"), F.coalesce("_w_runs", F.lit(0)).alias("_w_runs"))
+    counts = {"_w_lines": F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long"), "_w_removed": F.coalesce(F.size(F.array_distinct(gone)), F.lit(0)).cast("long"), "_w_runs": F.coalesce(own["_w_runs"], F.lit(0))}
+    return joined.select(*out.values(), *(value.alias(own[name]) for name, value in counts.items()))

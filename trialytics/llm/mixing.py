@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialytics.llm.common import cut
+from trialytics.llm.common import cut, own_names
 
 Targets = Mapping[str, Mapping[str, float] | float]
 OWN = ("_source", "_lang", "_topic", "_tokens", "_probability", "_weight", "_draw", "_kept")
@@ -46,19 +46,6 @@ OWN = ("_source", "_lang", "_topic", "_tokens", "_probability", "_weight", "_dra
 BROADCAST_CELLS = 20_000
 
 
-def own_names(docs: DataFrame) -> dict[str, str]:
-    """The names that the columns of OWN have beside those of docs."""
-    taken = {c.lower() for c in docs.columns}
-    out = {}
-    for name in OWN:
-        free = name
-        while free.lower() in taken:
-            free = f"_{free}"
-        taken.add(free.lower())
-        out[name] = free
-    return out
-
-
 def default_topic(text: str = "text") -> Column:
     """legal, contact, numeric or prose."""
     value = F.coalesce(F.col(text), F.lit(""))
@@ -162,7 +149,7 @@ def _rake_table(cells: DataFrame, sides: Sequence[str], targets: Sequence[Mappin
 
 
 def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, driver_cells: int = 200_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
-    own = own_names(docs)
+    own = own_names(docs, OWN)
     sides = [own[n] for n in OWN[:3]]
     side = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     columns = dict(zip(sides, (side(F.col(source_col)), side(F.col(lang_col)), side(default_topic(text_col) if topic is None else topic)), strict=True))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialytics.llm.common import cut, mix64
+from trialytics.llm.common import cut, free, mix64, written
 from trialytics.session import prepare
 
 SKETCH_BITS = 512
@@ -284,16 +284,18 @@ def compare_blocks(open_rows: DataFrame, sketched: DataFrame, docs: DataFrame, w
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of all ids in links (a, b)."""
+    """id, component (the smallest id reachable) of all ids in links (a, b). Of the labels only the last generation is left behind."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
-        stepped = cut(lower.join(jump, "new").select("id", F.least("new", "far").alias("new"), (F.least("new", "far") < F.col("component")).alias("changed")), "labels")
-        labels = stepped.select("id", F.col("new").alias("component"))
+        stepped = cut(lower.join(jump, "new").select("id", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("changed")), "labels")
+        free(labels)
+        labels = stepped
         if stepped.where("changed").isEmpty():
+            free(both)
             return labels
 
 
@@ -319,6 +321,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     links = shared.join(twice, "b", "left_semi").select("a", "b").distinct()
     tried = None
     labels = None
+    spark, paired = docs.sparkSession, []
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs (a < b), each once, not tried yet, that the odd sketches allow."""
@@ -330,7 +333,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     def open_buckets() -> DataFrame:
         """Buckets whose members are in several components, with their components."""
-        known = buckets if labels is None else buckets.join(labels, "id", "left")
+        known = buckets if labels is None else buckets.join(labels.select("id", "component"), "id", "left")
         if labels is None:
             return known.withColumn("component", F.col("id"))
         known = known.withColumn("component", F.coalesce("component", "id"))
@@ -338,7 +341,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         return known.join(cut(several, "several").hint("merge"), "bucket", "left_semi")
 
     for number in range(rounds):
-        rows_now = cut(open_buckets(), "open-buckets") if number else open_buckets()
+        rows_now = written(spark, open_buckets, "open-buckets") if number else open_buckets()
         place = F.struct((F.col("id") if number == 0 else F.xxhash64(F.col("id"), F.lit(number))).alias("order"), F.col("id").alias("id"), F.col("component").alias("component"))
         hubs = cut(rows_now.groupBy("bucket").agg(F.min(place).alias("hub")), "hubs")
         met = rows_now.join(hubs.hint("merge"), "bucket").where("component <> hub.component")
@@ -346,16 +349,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         if number == 0:  # at first each document meets only the likeliest of its hubs
             pairs = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
         pairs = cut(pairs.select("a", "b"), "pairs")
+        paired.append(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = fetch_texts(docs, both, id_col, text_col)
-        links = cut(links.unionByName(confirm(pairs, texts, words, percent)), "links")
-        labels = components(links)
-    left = cut(open_buckets().select("bucket", "id", "component"), "open-buckets")
-    links = cut(links.unionByName(compare_blocks(left, sketched, docs, words, percent, most, id_col, text_col).distinct()), "links")
-    labels = components(links)
-
-    grouped = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+        confirmed = written(spark, lambda pairs=pairs, both=both, links=links: links.unionByName(confirm(pairs, fetch_texts(docs, both, id_col, text_col), words, percent)), "links")
+        old = (links, labels, hubs, rows_now)
+        links, labels = confirmed, components(confirmed)
+        free(*old)
+    left = written(spark, lambda: open_buckets().select("bucket", "id", "component"), "open-buckets")
+    found = written(spark, lambda: links.unionByName(compare_blocks(left, sketched, docs, words, percent, most, id_col, text_col).distinct()), "links")
+    old, labels = labels, components(found)
+    free(old, links, found, left, full, buckets, sketched, *paired)
+
+    grouped = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     placed = sketches.select("id", "n_shingles", "digest").join(grouped, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -15,8 +15,9 @@ Nulls and edge cases: a null or empty text has no sentence and scores 0. Labels
 don't count; of several labels of one id the highest counts, and of several texts of one id the
 shortest is learnt from. Without a document of both classes no weight is learnt and
 the score is the share of toxic labels (0 without labels). Repeated rows get the same score
-each; an empty table gives no rows. The operator's own columns begin with `_t_`; input columns
-of such names are left out, all others are kept.
+each; an empty table gives no rows. Further columns are kept. The operator's own columns are
+called as in OWN; where docs has a column of such a name, the operator's gets one more
+underscore in front (own_names), and the input's column stays.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialytics.llm.common import own_names
 from trialytics.session import prepare
 
+OWN = ("_t_score", "_t_predicted", "_t_offending")
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -184,11 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
 
 
 def score(docs: DataFrame, model: BagModel, text_col: str = "text", threshold: float = 0.5, sentence_from: float = 0.25) -> DataFrame:
-    """The columns of docs with _t_score, _t_predicted and _t_offending: spans (code points) and scores of the offending sentences, highest first."""
+    """The columns of docs with those of OWN: _t_score, _t_predicted and _t_offending, spans (code points) and scores of the offending sentences, highest first."""
     prepare(docs.sparkSession)
-    names = [n for n in docs.columns if not n.startswith("_t_")]
+    names, own = docs.columns, list(own_names(docs, OWN).values())
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("_t_score", T.DoubleType()), T.StructField("_t_predicted", T.IntegerType()), T.StructField("_t_offending", T.ArrayType(span))])
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, t) for n, t in zip(own, (T.DoubleType(), T.IntegerType(), T.ArrayType(span)), strict=True)])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
