@@ -5,8 +5,9 @@ None broadcasts a side by hand; Spark broadcasts sides below its own size thresh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,35 +28,64 @@ def by_priority(candidates: DataFrame, key: str, priority: str, value: str, usab
 def resolve_directory(ids: DataFrame, directories: DataFrame, id_col: str = "target_id", configured: str = "configured", path: str = "path", excluded: str = "pilot-failures") -> DataFrame:
     """id, path: the configured directory, else '<id>-roundtrip', else the first in order that contains the id and isn't excluded.
 
-    The two exact cases are equi-joins. Containment is looked for only for ids they leave, by
-    the pieces of the directory's name between hyphens, which a contained id must share.
+    The two exact cases are equi-joins. Containment is looked for only for ids they leave.
     """
     base = F.substring_index(path, "/", -1)
     exact = ids.select(id_col, F.explode(F.array_compact(F.array(F.struct(F.lit(1).alias("p"), F.substring_index(configured, "/", -1).alias("base")), F.struct(F.lit(2).alias("p"), F.concat(id_col, F.lit("-roundtrip")).alias("base"))))).alias("c")).select(id_col, "c.p", "c.base")
     named = directories.select(F.col(path), base.alias("base"))
     found = exact.join(named, "base").groupBy(id_col).agg(F.min_by(path, F.struct("p", path)).alias(path))
-    rest = ids.select(id_col).join(found, id_col, "left_anti").withColumn("piece", F.element_at(F.split(F.col(id_col), "-"), 1))
-    open_dirs = named.where(~F.col(path).contains(excluded)).withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.split("base", "-"), lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.length(s))))))))
-    within = rest.join(open_dirs, "piece").where(F.col("base").contains(F.col(id_col))).groupBy(id_col).agg(F.min(path).alias(path))
+    rest = ids.select(id_col).join(found, id_col, "left_anti")
+    open_dirs = named.where(~F.col(path).contains(excluded))
+    held = containing(rest.select(F.col(id_col).alias("key")), open_dirs.select(F.col("base").alias("key")))
+    within = held.join(open_dirs, F.col("large") == F.col("base")).groupBy(F.col("small").alias(id_col)).agg(F.min(path).alias(path))
     return found.unionByName(within)
 
 
-#: Letters of the pieces by which contained keys are looked for.
-PIECE = 4
+#: Keys of an automaton, and keys that pass it, in a cell at most, about.
+AUTOMATON_KEYS, CELL_KEYS = 200_000, 1_000_000
 
 
-def _pieces(key: str) -> Column:
-    """All pieces of a key: runs of PIECE letters, and the shorter runs, which shorter keys equal."""
-    x, size = F.col(key), F.length(key)
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-    return F.array_distinct(F.concat(*(runs(n) for n in range(1, PIECE + 1))))
+def containing(small: DataFrame, large: DataFrame) -> DataFrame:
+    """small, large: the pairs of different keys (column key of both sides) of which the large one contains the small one.
 
-
-def _containing(small: DataFrame, small_key: str, large: DataFrame, large_key: str) -> DataFrame:
-    """Pairs of rows of which the large key contains the small one, found through the small key's first piece."""
-    heads = small.withColumn("_piece", F.left(small_key, F.lit(PIECE)))
-    pieces = large.withColumn("_piece", F.explode(_pieces(large_key)))
-    return heads.join(pieces, "_piece").where(F.col(large_key).contains(F.col(small_key))).drop("_piece")
+    An automaton finds all small keys in one pass over a large one, so that the work follows the
+    letters and the rows the matches, whatever the keys share. The small keys are dealt into
+    automata of a bounded size and the large keys into stretches; each automaton meets each
+    stretch in a cell, in which its keys come first. Null keys don't match; an empty one is
+    contained in an empty one.
+    """
+    sides = [df.where("key is not null").select("key").distinct() for df in (small, large)]
+    blocks, stretches = (df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("long").alias("n")).scalar() for df, most in zip(sides, (AUTOMATON_KEYS, CELL_KEYS), strict=True))
+    hashed = F.xxhash64("key")
+    one = sides[0].withColumns({"blocks": blocks, "stretches": stretches}).select(F.pmod(hashed, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("stretches") - 1)).alias("stretch"), F.lit(False).alias("passes"), "key")
+    two = sides[1].withColumns({"blocks": blocks, "stretches": stretches}).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(hashed, "stretches").alias("stretch"), F.lit(True).alias("passes"), "key")
+    cells = one.unionByName(two).repartition("block", "stretch").sortWithinPartitions("block", "stretch", "passes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        cell, automaton, ready = None, None, False
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for block, stretch, passes, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != (block, stretch):
+                    cell, automaton, ready = (block, stretch), ahocorasick.Automaton(), False
+                    empty = False
+                if not passes:
+                    empty = empty or not key
+                    if key:
+                        automaton.add_word(key, key)
+                    continue
+                if not ready:
+                    ready = automaton.make_automaton() is None
+                if not key:
+                    found += [("", "")] * empty
+                elif len(automaton):
+                    found += [(word, key) for word in {word for _, word in automaton.iter(key)}]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], names=["small", "large"])
+
+    return cells.mapInArrow(run, "small string, large string")
 
 
 def unique_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, id_col: str, value: str, contained_after_many: bool = True) -> DataFrame:
@@ -63,14 +93,16 @@ def unique_match(left: DataFrame, right: DataFrame, left_key: Column, right_key:
 
     contained_after_many: whether several equal keys fall through to containment too. Both
     sides are reduced to their distinct keys before they meet, so that the work follows the
-    number of different keys; equality is a hash join, containment is looked for through pieces.
+    number of different keys; equality is a hash join, containment is found by automata.
     """
     a = left.select(id_col, left_key.alias("_a"))
     keys = right.select(F.col(value).alias("_v"), right_key.alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     asked = a.select("_a").distinct().join(keys.select(F.col("_b").alias("_a"), "_n", F.col("_least").alias("_equal")), "_a", "left")
     settled = F.coalesce(F.col("_n") == 1 if contained_after_many else F.col("_n") >= 1, F.lit(False))
     rest, others = asked.where(~settled & F.col("_a").isNotNull()).select("_a"), keys.where("_b is not null").select("_b", "_least", "_most")
-    both = _containing(rest, "_a", others, "_b").unionByName(_containing(others, "_b", rest, "_a"))
+    one, two = rest.select(F.col("_a").alias("key")), others.select(F.col("_b").alias("key"))
+    pairs = containing(one, two).toDF("_a", "_b").unionByName(containing(two, one).toDF("_b", "_a"))
+    both = pairs.join(others, "_b")
     within = both.groupBy("_a").agg(F.min("_least").alias("_low"), F.max("_most").alias("_high")).where("_low = _high").select("_a", F.col("_low").alias("_within"))
     answer = asked.join(within, "_a", "left").select("_a", F.when(F.col("_n") == 1, F.col("_equal")).when(~settled, F.col("_within")).alias(value))
     return a.join(answer, "_a", "left").select(id_col, value)

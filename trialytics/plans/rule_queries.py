@@ -245,3 +245,68 @@ def design_parts(t):
     source = F.concat(F.lit("#include <"), (k % 2).cast("string"), F.lit(">\nint f() { return 1; }\n\n"))
     rows = t.nation.select(c("n_regionkey").alias("key"), k.alias("no"), F.concat("n_name", F.lit(".hpp")).alias("name"), source.alias("text"))
     return bundle.parts_of(rows, "key", "no", "name", "text")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+SELECT doc_id, CAST(i AS INTEGER) AS i, array_to_string(list_transform(string_split(line, ', '), lambda x: trim(x)), '~') AS cells FROM l WHERE contains(line, ', ') AND NOT contains(line, '|')""")
+def md_cells_of_lines(t):
+    """Table rows made of the lines that list something, and split again."""
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(c("line").contains(", ") & ~c("line").contains("|"))
+    row = F.concat(F.lit("  |  "), F.replace("line", F.lit(", "), F.lit(" |")), F.lit(" | "))
+    return rows.select("doc_id", "i", F.array_join(text.markdown_cells(row), "~").alias("cells"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
+def stale_rows(t):
+    """Readable rows that aren't enabled and that no urgent, pending order expects."""
+    k = c("c_custkey")
+    existing = t.customer.select("c_custkey", (k % 2 == 0).alias("readable"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("enabled"))
+    expected = t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(c("o_custkey").alias("c_custkey"))
+    return registry.stale(existing, expected, "c_custkey").select("c_custkey")
+
+
+LISTED = "SELECT 'configs/' || CASE WHEN s_suppkey % 5 = 0 THEN 'sub/' ELSE '' END || s_name || CASE s_suppkey % 4 WHEN 0 THEN '.draft.json' WHEN 1 THEN '.json' WHEN 2 THEN '.json.bak' ELSE '.md' END AS path FROM supplier"
+
+
+def listed(t):
+    k = c("s_suppkey")
+    end = F.when(k % 4 == 0, ".draft.json").when(k % 4 == 1, ".json").when(k % 4 == 2, ".json.bak").otherwise(".md")
+    return t.supplier.select(F.concat(F.lit("configs/"), F.when(k % 5 == 0, "sub/").otherwise(""), "s_name", end).alias("path"))
+
+
+@query(f"SELECT path FROM ({LISTED}) WHERE path LIKE '%.json' AND path NOT LIKE '%.draft.json'")
+def final_configs(t):
+    return files.configs(listed(t))
+
+
+@query(f"SELECT path FROM ({LISTED}) WHERE path LIKE '%.draft.json' AND regexp_extract(path, '([^/]*)\\.draft\\.json$', 1) IN (SELECT s_name FROM supplier WHERE s_nationkey < 12)")
+def draft_configs(t):
+    """Drafts of the targets that are asked for: the 12 first nations' suppliers, whose names are few."""
+    wanted = t.supplier.where("s_nationkey < 12").select(F.concat(F.lit("configs/"), "s_name", F.lit(".draft.json")).alias("path"))
+    drafts = files.configs(listed(t), drafts=True).withColumn("base", files.base_name("path"))
+    return drafts.join(wanted.select(files.base_name("path").alias("base")), "base", "left_semi").select("path")
+
+
+@query("SELECT doc_id, lang, source FROM documents JOIN labels USING (doc_id) WHERE CASE WHEN toxic = 1 THEN NULL ELSE quality = 1 END = false")
+def failed_records(t):
+    """The projection of failed records: an unknown outcome is no failure."""
+    rows = t.documents.join(t.labels, "doc_id").withColumn("overall_pass", F.when(c("toxic") != 1, c("quality") == 1))
+    return rows.where(c("overall_pass") == F.lit(False)).select("doc_id", "lang", "source")
+
+
+@query("SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS pretty FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 'not ' || props FROM events WHERE event_id % 3 = 0")
+def pretty_json(t):
+    """JSON texts indented by two; others as they are."""
+    from trialytics.udf.jsontext import pretty
+
+    return t.events.select("event_id", pretty(F.when(c("event_id") % 3 == 0, F.concat(F.lit("not "), "props")).otherwise(c("props"))).alias("pretty"))
+
+
+@query("SELECT page_id, length(html) > 0 AS readable, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages WHERE page_id % 4 > 0 UNION ALL SELECT page_id, false, CAST(octet_length(encode(html)) + 1 AS BIGINT) FROM pages WHERE page_id % 4 = 0")
+def readable_documents(t):
+    """Whether files' bytes are UTF-8: every fourth ends with a byte that no such text holds."""
+    from trialytics.plans import study
+
+    content = F.when(c("page_id") % 4 == 0, F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("html", "UTF-8"))
+    rows = t.pages.select("page_id", content.alias("content")).withColumn("readable", F.is_valid_utf8(c("content").cast("string"))).withColumn("value", F.make_valid_utf8(c("content").cast("string")))
+    return rows.select("page_id", (F.length(F.coalesce(study.read_text(), F.lit(""))) > 0).alias("readable"), F.length("content").cast("bigint").alias("bytes"))
