@@ -160,3 +160,20 @@ def test_files_and_reports(spark, tmp_path):
     assert "&lt;" in reports.svg_bars("a<b", [("x", 1), ("y", 0)])
     assert reports.manifest([str(tmp_path / "o.csv")], str(tmp_path))[0]["bytes"] == os.path.getsize(tmp_path / "o.csv")
     assert reports.fenced("``` a").startswith("````")
+
+
+def test_tables_of_lines_are_those_of_texts(spark):
+    """Both table functions and the operator over the same documents: runs broken by width, text and document, tables without rows, separators at the start."""
+    import random
+
+    from trialytics.operators import catalog
+    from trialytics.udf import mdtable
+
+    rng = random.Random(6)
+    parts = ["| a | b |", "| c | d |", "|---|---|", "|:-:|", "| one |", "text", "", "| x | y | z |", "|---|---|---|"]
+    docs = {f"d{i}": "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for i in range(60)}
+    frame = spark.createDataFrame(list(docs.items()), "path string, text string").repartition(4)
+    lines = spark.createDataFrame([(p, i, x) for p, text in docs.items() for i, x in enumerate(text.split("\n"))], "path string, i int, line string").repartition(4)
+    want = sorted((p, *row) for p, text in docs.items() for row in mdtable.tables(text))
+    assert sorted(map(tuple, mdtable.tables_of_lines(lines, "path", "i", "line").collect())) == want
+    assert sorted(map(tuple, catalog.table_rows(frame, "path", "text").collect())) == want

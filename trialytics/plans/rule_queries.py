@@ -10,7 +10,7 @@ from trialytics.plans import batch
 from trialytics.plans.queries import c, query
 from trialytics.schemas import STAGES
 from trialytics.sources import files
-from trialytics.udf import bundle
+from trialytics.udf import bundle, mdtable
 
 
 @query(r"""WITH s AS (SELECT p_partkey, '#include <' || p_name || '>  ' || chr(13) || chr(10) || 'int x;' || chr(10) || chr(9) || '#include "b.h"' || chr(9) || chr(10) || 'end' AS w FROM part)
@@ -310,3 +310,13 @@ def readable_documents(t):
     content = F.when(c("page_id") % 4 == 0, F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("html", "UTF-8"))
     rows = t.pages.select("page_id", content.alias("content")).withColumn("readable", F.is_valid_utf8(c("content").cast("string"))).withColumn("value", F.make_valid_utf8(c("content").cast("string")))
     return rows.select("page_id", (F.length(F.coalesce(study.read_text(), F.lit(""))) > 0).alias("readable"), F.length("content").cast("bigint").alias("bytes"))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS path, 1 AS table_no, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS row_no, 'Key~Customer' AS header, c_custkey || '~' || c_name AS cells FROM customer")
+def md_tables_of_lines(t):
+    """A report of each nation's customers, whose lines come to the table function one by one."""
+    path, named = c("c_nationkey").cast("string").alias("path"), F.concat(F.lit("| "), c("c_custkey").cast("string"), F.lit(" | "), "c_name", F.lit(" |"))
+    fixed = F.array(*(F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(line).alias("line")) for i, line in enumerate(("Customers | all", "", "| Key | Customer |", "|---|:---:|"), -4)))
+    heads = t.customer.select(path).distinct().select("path", F.explode(fixed).alias("l")).select("path", "l.place", "l.line")
+    rows = mdtable.tables_of_lines(heads.unionByName(t.customer.select(path, c("c_custkey").cast("bigint").alias("place"), named.alias("line"))), "path", "place", "line")
+    return rows.select("path", "table_no", "row_no", F.array_join("header", "~").alias("header"), F.array_join("cells", "~").alias("cells"))
