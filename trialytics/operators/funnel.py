@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stage_funnel(stages: DataFrame, dimension: DataFrame) -> DataFrame:
-    """For each stage of the dimension, in order, rows by status; reached = passed + failed; stages without rows count 0."""
-    is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+def stage_funnel(stages: DataFrame, dimension: DataFrame, n: str | None = None) -> DataFrame:
+    """For each stage of the dimension, in order, rows by status; reached = passed + failed; stages without rows count 0. n: a column that says for how many rows a row stands."""
+    is_ = lambda *s: F.count_if(F.col("status").isin(*s)) if n is None else F.sum(F.when(F.col("status").isin(*s), F.col(n)))
     counts = stages.groupBy("stage").agg(is_("passed").alias("passed"), is_("failed").alias("failed"), is_("skipped").alias("skipped"), is_("not_recorded", "unknown").alias("not_recorded_or_unknown"))
     named = ("passed", "failed", "skipped", "not_recorded_or_unknown")
     joined = dimension.join(counts, "stage", "left").select("stage_order", "stage", *(F.coalesce(n, F.lit(0)).alias(n) for n in named))

@@ -16,11 +16,20 @@ def group_key(x: Column | str) -> Column:
 
 
 def _rates(grouped, passed: Column) -> DataFrame:
-    out = grouped.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"))
+    return _with_rates(grouped.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed")))
+
+
+def _with_rates(out: DataFrame) -> DataFrame:
     low, high = wilson("passed", "total")
     return out.withColumns({"pass_rate": F.try_divide(F.col("passed").cast("double"), F.col("total").cast("double")), "wilson_95_low": low, "wilson_95_high": high})
 
 
+def rates_of_counts(df: DataFrame, keys: Sequence[str], n: str, passed: Column) -> DataFrame:
+    """keys with the columns of pass_rates, where a row stands for n rows."""
+    sums = {"total": F.sum(n), "passed": F.sum(F.when(passed, F.col(n))), "failed": F.sum(F.when(~passed, F.col(n)))}
+    return _with_rates(df.groupBy(*keys).agg(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items())))
+
+
 def pass_rates(df: DataFrame, dimension: Column | str, passed: Column) -> DataFrame:
     """group, total, passed, failed, pass_rate and its Wilson interval."""
     return _rates(df.groupBy(group_key(dimension).alias("group")), passed)

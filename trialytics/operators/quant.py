@@ -94,7 +94,8 @@ def spearman(df: DataFrame, x: str, y: str, *groups: str, weight: str | None = N
     return cells.groupBy(*groups).agg(F.sum("_w").alias("n"), rho.alias("spearman"))
 
 
-def two_by_two(df: DataFrame, group: Column, first: str, second: str, passed: Column) -> DataFrame:
-    """Counts and Fisher's exact p of two groups' outcomes; no row unless both groups occur."""
-    table = df.groupBy().agg(*(F.count_if((group == g) & ok).alias(n) for g, n, ok in ((first, "a", passed), (first, "b", ~passed), (second, "c", passed), (second, "d", ~passed))))
+def two_by_two(df: DataFrame, group: Column, first: str, second: str, passed: Column, n: str | None = None) -> DataFrame:
+    """Counts and Fisher's exact p of two groups' outcomes; no row unless both groups occur. n: a column that says for how many rows a row stands."""
+    held = lambda condition: F.count_if(condition) if n is None else F.coalesce(F.sum(F.when(condition, F.col(n))), F.lit(0))
+    table = df.groupBy().agg(*(held((group == g) & ok).alias(name) for g, name, ok in ((first, "a", passed), (first, "b", ~passed), (second, "c", passed), (second, "d", ~passed))))
     return table.where("a + b > 0 and c + d > 0").withColumn("fisher_p", fisher_exact("a", "b", "c", "d"))

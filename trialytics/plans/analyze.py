@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialytics.operators import classify, funnel, groups, quant, records, validate
 from trialytics.schemas import METRICS, STAGES, stage_dimension
-from trialytics.session import cut
+from trialytics.session import cut, free
 from trialytics.sinks import reports
 
 # Columns of the failure report, and titles of the tables for print.
@@ -22,35 +22,66 @@ INFERENCE_NOTE = "Exploratory only: targets are few and not guaranteed to be ind
 FATAL = ("unknown overall result", "duplicate", "retry or repair recorded")
 
 
-def long_stages(rows: DataFrame) -> DataFrame:
-    """target_id, stage, status of wide records."""
-    return rows.select("target_id", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.coalesce(f"{s}_status", F.lit("not_recorded")).alias("status")) for s in STAGES))).alias("s")).select("target_id", "s.stage", "s.status")
+#: The summary's counters, by the part of it that they stand in.
+COUNTERS = {
+    "normalization": ("records_with_metadata", "normalization_applied", "normalization_applied_and_passed", "strict_format_failures"),
+    "generation": ("done_reason_length_count", "design_stop_count", "code_stop_count"),
+    "data_quality": ("legacy_record_count", "missing_original_loc_count", "missing_generated_loc_count"),
+}
 
 
-def tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """Lazy result tables of wide records."""
-    passed, spark = F.col("overall_pass"), rows.sparkSession
+def counts(rows: DataFrame) -> DataFrame:
+    """kind, key, value, n: all that the summary counts of wide records, in one scan and one shuffle.
+
+    Kinds: overall, repository, granularity, failure_stage and failure_category by outcome
+    (passed, failed or unknown), stage by status, and COUNTERS, whose key is the counter.
+    """
     c = F.col
     flag = lambda n: F.coalesce(c(n), F.lit(False))
+    outcome = F.when(c("overall_pass"), "passed").when(~c("overall_pass"), "failed").otherwise("unknown")
+    met = {
+        "records_with_metadata": c("normalization_applied").isNotNull(), "normalization_applied": flag("normalization_applied"), "normalization_applied_and_passed": flag("normalization_applied") & c("overall_pass"), "strict_format_failures": ~c("strict_format_pass"),
+        "done_reason_length_count": (c("design_done_reason") == "length") | (c("code_done_reason") == "length"), "design_stop_count": c("design_done_reason") == "stop", "code_stop_count": c("code_done_reason") == "stop",
+        "legacy_record_count": flag("legacy_format"), "missing_original_loc_count": c("original_loc").isNull(), "missing_generated_loc_count": c("generated_loc").isNull(),
+    }
+    one = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    of = [("overall", F.lit("")), *((n, groups.group_key(n)) for n in ("repository", "granularity")), *((n, F.coalesce(n, F.lit("none"))) for n in ("failure_stage", "failure_category"))]
+    told = [one(kind, key, outcome) for kind, key in of]
+    told += [one("stage", F.lit(s), F.coalesce(f"{s}_status", F.lit("not_recorded"))) for s in STAGES]
+    told += [F.when(met[name], one(kind, F.lit(name), F.lit("met"))) for kind, names in COUNTERS.items() for name in names]
+    return rows.select(F.explode(F.array_compact(F.array(*told))).alias("t")).groupBy("t.kind", "t.key", "t.value").agg(F.count("*").alias("n"))
+
+
+def tables(rows: DataFrame, counted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Lazy result tables of wide records. counted: counts(rows), if they are at hand."""
+    counted = counts(rows) if counted is None else counted
+    passed, spark, c = F.col("overall_pass"), rows.sparkSession, F.col
+    kind = lambda *names: counted.where(c("kind").isin(*names))
+    ok = c("value") == "passed"  # an unknown outcome neither passed nor failed
+    judged = kind("repository", "granularity").withColumns({"value": F.when(c("value") != "unknown", c("value"))})
+    met = lambda part: counted.agg(*(F.coalesce(F.sum(F.when((c("kind") == part) & (c("key") == name), c("n"))), F.lit(0)).alias(name) for name in COUNTERS[part]))
+    failures = lambda name: kind(name).where("value = 'failed'").select("key", "n")
+    stages = kind("stage").select(c("key").alias("stage"), c("value").alias("status"), "n")
+    overall = counted.withColumn("n", F.when(c("kind") == "overall", c("n")).otherwise(0)).withColumn("value", F.when(c("value") != "unknown", c("value")))
     return {
-        "overall": groups.overall(rows, passed),
-        "group_statistics": groups.pass_rates_by(rows, ["repository", "granularity"], passed).orderBy(F.desc("dimension"), "group"),
-        "stage_funnel": funnel.stage_funnel(long_stages(rows), stage_dimension(spark)).orderBy("stage_order").select("stage", "reached", "passed", "failed", "skipped", "not_recorded_or_unknown"),
-        "failure_stages": groups.failure_counts(rows, "failure_stage", ~passed),
-        "failure_categories": groups.failure_counts(rows, "failure_category", ~passed, by_count=True),
+        "overall": groups.rates_of_counts(overall, (), "n", ok),
+        "group_statistics": groups.rates_of_counts(judged, ("kind", "key"), "n", ok).withColumnsRenamed({"kind": "dimension", "key": "group"}).orderBy(F.desc("dimension"), "group"),
+        "stage_funnel": funnel.stage_funnel(stages, stage_dimension(spark), "n").orderBy("stage_order").select("stage", "reached", "passed", "failed", "skipped", "not_recorded_or_unknown"),
+        "failure_stages": failures("failure_stage").orderBy("key"),
+        "failure_categories": failures("failure_category").orderBy(F.desc("n"), "key"),
         "quantitative": quant.metrics_by_outcome(rows, METRICS, passed),
-        "inferential": quant.two_by_two(rows, c("granularity"), SPAN, MODULE, passed),
-        "normalization": groups.counters(rows, records_with_metadata=c("normalization_applied").isNotNull(), normalization_applied=flag("normalization_applied"), normalization_applied_and_passed=flag("normalization_applied") & passed, strict_format_failures=~c("strict_format_pass")),
-        "generation": groups.counters(rows, done_reason_length_count=(c("design_done_reason") == "length") | (c("code_done_reason") == "length"), design_stop_count=c("design_done_reason") == "stop", code_stop_count=c("code_done_reason") == "stop"),
-        "data_quality": groups.counters(rows, legacy_record_count=flag("legacy_format"), missing_original_loc_count=c("original_loc").isNull(), missing_generated_loc_count=c("generated_loc").isNull()),
+        "inferential": quant.two_by_two(judged.where("kind = 'granularity'"), c("key"), SPAN, MODULE, ok, "n"),
+        **{part: met(part) for part in COUNTERS},
         "validation": validate.violations(rows, "target_id", validate.record_rules()).unionByName(validate.duplicate_keys(rows, "target_id")),
-        "failures": rows.where(c("overall_pass") == F.lit(False)).select(*FAILURE_COLUMNS),
+        "failures": rows.where(passed == F.lit(False)).select(*FAILURE_COLUMNS),
     }
 
 
 def summary(rows: DataFrame) -> dict:
-    """The summary document: small aggregates, a job each."""
-    made = {name: reports.rows_as_json(df) for name, df in tables(rows).items() if name != "failures"}
+    """The summary document. The rows are scanned once for all counts, which are few and written, and again for the metrics and the rules."""
+    counted = cut(counts(rows), "counts")
+    made = {name: reports.rows_as_json(df) for name, df in tables(rows, counted).items() if name != "failures"}
+    free(counted)
     one = lambda name: made[name][0] if made[name] else {}
     counted = lambda name: {r["key"]: r["n"] for r in sorted(made[name], key=lambda r: r["key"])}
     metrics = {r["metric"]: {"n": r["n"], **{k: r[k] for k in ("pass_mean", "pass_median", "fail_mean", "fail_median")}, "point_biserial_r": r["point_biserial"], "spearman_rho": r["spearman"]} for r in made["quantitative"]}
