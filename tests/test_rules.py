@@ -177,3 +177,25 @@ def test_tables_of_lines_are_those_of_texts(spark):
     want = sorted((p, *row) for p, text in docs.items() for row in mdtable.tables(text))
     assert sorted(map(tuple, mdtable.tables_of_lines(lines, "path", "i", "line").collect())) == want
     assert sorted(map(tuple, catalog.table_rows(frame, "path", "text").collect())) == want
+
+
+def test_error_lines_as_by_lines(spark):
+    """Against looking at every line in turn; the words that a pattern begins with only spare texts that can't match."""
+    import random
+    import re
+
+    from trialytics.operators.classify import ERROR_LINES
+
+    assert text.literal_heads("ab cd|xyz:") == ["ab cd", "xyz:"] and text.literal_heads("Assert.*x|abcd?") == ["asser", "abc"] and text.literal_heads("ab|xyz") is None and text.literal_heads("a(b|c)def") is None
+    rng = random.Random(3)
+    parts = ["a.c:1: ERROR: x", "note", "", "  Fatal  error", "assertion `x' failed", "Assertion\tfailed", "timed out", "KILLED", "x\ty  Timeout", "tracebacK é", "failed\rx"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(200)] + [None]
+
+    def by_hand(value):
+        for pattern in ERROR_LINES if value is not None else ():
+            for line in value.split("\n"):
+                if re.search(pattern, line, re.IGNORECASE):
+                    return re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ")
+        return None
+
+    assert values(spark, text.first_error_line("x", ERROR_LINES), texts) == [by_hand(t) for t in texts]

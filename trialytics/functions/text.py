@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,16 +78,27 @@ def ctest_counts(x: Column | str) -> Column:
     return F.struct(ran.alias("ran"), (ran - failed).alias("passed"), failed.alias("failed"))
 
 
+def literal_heads(pattern: str) -> list[str] | None:
+    """What the alternatives of a pattern begin with, in lower case; None if one has no plain beginning of three characters."""
+    heads = [re.match(r"[A-Za-z0-9 :_-]*", part)[0] for part in pattern.split("|")]
+    # a last character may be repeated or left out by what follows it
+    cut = [h if len(h) == len(part) else h[:-1] for h, part in zip(heads, pattern.split("|"), strict=True)]
+    return [h.lower() for h in cut] if "(" not in pattern and "[" not in pattern and "\\" not in pattern and all(len(h) >= 3 for h in cut) else None
+
+
 def first_error_line(x: Column | str, patterns: Sequence[str], size: int = 500) -> Column:
     """The first line that matches the first pattern that matches at all; blanks collapsed, cut to size.
 
     Patterns match within lines ('.' matches no line end). Each is looked for once, from the
-    text's start; the line is cut out around the place where it is found.
+    text's start, and only in texts that hold one of the words it begins with; the line is cut
+    out around the place where it is found.
     """
     text = _c(x)
 
     def line(pattern: str) -> Column:
         at = F.regexp_instr(text, F.lit(f"(?id)(?:{pattern})"))
+        if heads := literal_heads(pattern):
+            at = F.when(reduce(Column.__or__, (F.lower(text).contains(h) for h in heads)), at)
         around = F.concat(F.substring_index(F.left(text, at - 1), "\n", -1), F.substring_index(F.substring(text, at, F.length(text)), "\n", 1))
         return F.when(at > 0, around)
 
