@@ -96,6 +96,7 @@ def run_overview(spark: SparkSession, args: argparse.Namespace) -> int:
     row["source_replacement"] = row["source_replacement"] or "{}"
     made = overview.report(row, contents)
     row.pop("experiment")
+    row.pop("facts")
     row["source_replacement"] = json.loads(row["source_replacement"])
     reports.write_json({"schema_version": "1.0", "generated_at_utc": reports.utc_now(), **row}, os.path.join(folder, "experiment_overview.json"))
     with open(os.path.join(folder, "experiment_overview.md"), "w", encoding="utf-8", newline="\n") as out:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialytics.functions import coerce, text
+from trialytics.functions import coerce, fmt, text
 from trialytics.plans.study import EXPERIMENTS, folders
 from trialytics.sinks import reports
 from trialytics.udf.similarity import compare
@@ -100,32 +100,67 @@ def overviews(docs: DataFrame) -> DataFrame:
         coerce.model_of("run").alias("model"), at("manifest", "overall_pass", "boolean").alias("overall_pass"),
         F.size(F.filter("stages", lambda s: s["passed"])).alias("stage_passed"), F.size(F.filter("stages", lambda s: s["passed"].isNotNull())).alias("stage_total"), tests["direct"].alias("direct_tests"), tests["full"].alias("full_tests"),
         total(seconds("design"), seconds("code")).alias("generation_total_seconds"), total(seconds("built", "configure.elapsed_seconds"), seconds("built", "build.elapsed_seconds"), seconds("direct"), seconds("full"), seconds("ctest")).alias("evaluation_total_seconds"),
+        F.struct(
+            *(said("source", k).alias(k) for k in ("target_class", "original_function_body_included_for_design_generation", "original_function_body_excluded_from_regeneration_input", "replacement_scope")),
+            F.coalesce(F.nullif(F.array_join(at("source", "dependency_methods", "array<string>"), ", "), F.lit("")), F.lit("N/A")).alias("dependency_methods"),
+            *(said("run", f"conditions.{k}").alias(k) for k in ("retry_on_failure", "automatic_repair")),
+            F.transform("stages", lambda s: F.coalesce(fmt.duration(s["elapsed_seconds"]), F.lit("N/A"))).alias("stage_seconds"),
+            fmt.duration(total(seconds("design"), seconds("code"))).alias("generation"), fmt.duration(total(seconds("built", "configure.elapsed_seconds"), seconds("built", "build.elapsed_seconds"), seconds("direct"), seconds("full"), seconds("ctest"))).alias("evaluation"),
+        ).alias("facts"),
         "inputs", "outputs", "stages", F.array(*map(traffic, GENERATIONS)).alias("llm_input_output"), comparison.alias("code_comparison"), F.to_json("replacement").alias("source_replacement"),
     )
 
 
+# The report's title, its sections in order, and what its tables call their columns and rows.
+TITLE = "# ラウンドトリップ実験 総合レポート"
+SECTIONS = (
+    "一目で分かる結果", "実験のデータフロー", "対象と入力条件", "LLM実行条件", "入力ファイル", "生成物・評価成果物", "各工程の評価", "LLMへ送信した入力と返却された出力", "元コードと再生成コードのテキスト比較", "評価の解釈", "内容確認", "再現性のための主要ファイル",
+)
+ITEM = ("項目", "値")
+FLOW_COLUMNS = ("段階", "主な入力", "主な出力", "結果")
+FILE_COLUMNS = ("役割", "パス", "行数", "サイズ", "SHA-256")
+STAGE_COLUMNS = ("工程", "結果", "詳細", "時間")
+EXCHANGE_COLUMNS = ("段階", "モデル", "system文字数", "prompt文字数", "出力文字数")
+MISSING, YES, NO = "欠落", "はい", "いいえ"
+MODEL_ROWS = (("Provider", "provider"), ("Model", "name"), ("Local model ID", "local_id"), ("Architecture", "architecture"), ("Parameters", "parameters"), ("Quantization", "quantization"), ("Ollama", "ollama_version"), *((n, n) for n in ("temperature", "seed", "num_ctx", "num_predict", "top_k", "top_p", "repeat_penalty")))
+COMPARED = (("完全一致", "exact_match"), ("空白を除いた一致", "whitespace_insensitive_match"), ("文字列類似度", "similarity_ratio"), ("元コード行数", "original_lines"), ("再生成コード行数", "regenerated_lines"), ("元コードSHA-256", "original_sha256"), ("再生成コードSHA-256", "regenerated_sha256"))
+
+
 def report(row: dict, contents: dict[str, str]) -> str:
-    """The overview of an experiment in Markdown. contents: texts to show in full, by path."""
+    """The overview of an experiment in Markdown, in SECTIONS; the texts are our own. contents: texts to show in full, by path; without any, exchanges and contents are left out."""
     cell = lambda v: "—" if v in (None, "") else str(v).replace("|", "\\|").replace("\n", " ")
     grid = lambda heads, lines: "\n".join("| " + " | ".join(map(cell, x)) + " |" for x in [heads, ["---"] * len(heads), *lines])
-    verdict = {True: "PASS", False: "FAIL"}.get(row["overall_pass"], "N/A")
+    code = lambda v: f"`{v if v is not None else 'N/A'}`"
+    label = lambda v: {True: "PASS", False: "FAIL"}.get(v, "N/A")
+    shown = lambda v: {True: YES, False: NO, "true": YES, "false": NO}.get(v, "N/A" if v is None else f"{v:.4f}" if isinstance(v, float) else v)
     counts = lambda t: "N/A" if t["passed"] is None else f"{t['passed']}/{t['expected'] if t['expected'] is not None else t['ran']}"
-    files = lambda listed: grid(["Role", "Path", "Bytes", "Lines", "SHA-256"], [[f["role"], f["path"], f["size_bytes"], f["line_count"], f["sha256"]] for f in listed])
-    pairs = lambda names: grid(["Item", "Value"], [[n, row[n]] for n in names])
-    sections = {
-        "Result": grid(["Item", "Value"], [["Experiment", row["experiment_id"]], ["Run", row["run_id"]], ["Target", row["target_name"]], ["Model", row["model"]["name"]], ["Overall", verdict], ["Stages passed", f"{row['stage_passed']}/{row['stage_total']}"], ["Direct tests", counts(row["direct_tests"])], ["All tests", counts(row["full_tests"])]]),
-        "Target": pairs(["repository", "repository_commit", "submodule_commit", "target_name", "target_granularity", "source_file"]),
-        "Model": grid(["Item", "Value"], list(row["model"].items())),
-        "Inputs": files(row["inputs"]),
-        "Outputs": files(row["outputs"]),
-        "Exchanges": grid(["Stage", "Model", "System chars", "Prompt chars", "Response chars"], [[x["stage"], x["model"], x["system_chars"], x["prompt_chars"], x["response_chars"]] for x in row["llm_input_output"]]),
-        "Stages": grid(["Stage", "Status", "Detail", "Seconds"], [[s["name"], s["status"], s["detail"], s["elapsed_seconds"]] for s in row["stages"]]),
-        "Time": pairs(["generation_total_seconds", "evaluation_total_seconds"]),
-        "Comparison of code": grid(["Item", "Value"], list(row["code_comparison"].items())),
-        "Replacement": reports.fenced(row["source_replacement"] or "{}", "json"),
-        "Prompts": "\n".join(reports.collapsible(x["stage"], x["prompt"]) for x in row["llm_input_output"]),
-        "Responses": "\n".join(reports.collapsible(x["stage"], x["response_text"]) for x in row["llm_input_output"]),
-        "Missing files": "\n".join(f"- {f['path']}" for f in [*row["inputs"], *row["outputs"]] if not f["exists"]) or "- none",
-        "Contents": "\n".join(reports.collapsible(p, t) for p, t in contents.items()) or "Not included.",
-    }
-    return "\n\n".join(["# Experiment overview", *(f"## {i}. {title}\n\n{body}" for i, (title, body) in enumerate(sections.items(), 1))]) + "\n"
+    files = lambda listed: grid(FILE_COLUMNS, [[f["role"], code(f["path"]), *((f[n] if f["exists"] else MISSING) for n in ("line_count", "size_bytes")), code(f["sha256"]) if f["sha256"] else "N/A"] for f in listed])
+    facts, model, compared = row["facts"], row["model"], row["code_comparison"]
+    there = {f["path"].split("/", 2)[-1] for f in [*row["inputs"], *row["outputs"]] if f["exists"]}
+    names = lambda listed: ", ".join(code(n) for n in listed if n in there) or "N/A"
+    target = [
+        ("Repository", row["repository"]), ("Repository commit", code(row["repository_commit"])), ("GoogleTest commit", code(row["submodule_commit"])), ("対象クラス", facts["target_class"]), ("対象関数", row["target_name"]), ("置換粒度", row["target_granularity"]), ("ソース", code(row["source_file"])),
+        ("設計生成時に元関数本体を含む", shown(facts["original_function_body_included_for_design_generation"])), ("コード再生成時に元関数本体を除外", shown(facts["original_function_body_excluded_from_regeneration_input"])), ("置換範囲", facts["replacement_scope"]), ("依存メソッド", facts["dependency_methods"]),
+    ]
+    first = [
+        ("実験ID", code(row["experiment_id"])), ("実行ID", code(row["run_id"])), ("対象", code(row["target_name"])), ("粒度", code(row["target_granularity"])), ("モデル", code(model["name"])), ("総合判定", f"**{label(row['overall_pass'])}**"),
+        ("評価工程", f"{row['stage_passed']}/{row['stage_total']} PASS"), ("直接テスト", f"{counts(row['direct_tests'])} PASS"), ("全GoogleTest", f"{counts(row['full_tests'])} PASS"), ("生成処理時間", facts["generation"]), ("評価処理時間", facts["evaluation"]),
+    ]
+    flow = [
+        ("元コード → 設計文書", names(["input/design_input.cpp", "prompts/design_generation_prompt.md"]), names(["generated/design_document.md"]), row["stages"][0]["status"]),
+        ("設計文書 → コード", names(["generated/design_document.md", "input/fixed_scaffold.cpp", "input/dependency_context.txt"]), names([REGENERATED]), row["stages"][1]["status"]),
+        ("再生成コード → 評価", names([REGENERATED]), names([DOCUMENTS["manifest"], "evaluation/evaluation_summary.md", "evaluation/replacement_diff.patch"]), label(row["overall_pass"])),
+    ]
+    exchanges = [grid(EXCHANGE_COLUMNS, [[x["stage"], code(x["model"]), x["system_chars"], x["prompt_chars"], x["response_chars"]] for x in row["llm_input_output"]])]
+    for x in row["llm_input_output"] if contents else ():
+        kinds = (("system", "system", "text"), ("prompt", "prompt", "text"), ("response", "response_text", "markdown" if x["stage"] == GENERATIONS["design"] else "cpp"), ("request JSON", "request_json", "json"), ("response JSON", "response_json", "json"))
+        exchanges.append(f"### {x['stage']}\n\n" + "\n".join(reports.collapsible(f"{x['stage']}: {title}", x[name], language) for title, name, language in kinds if x.get(name)))
+    verdict = {True: "Every recorded stage passed.", False: "At least one stage did not pass."}.get(row["overall_pass"], "There is no overall result.")
+    bodies = (
+        grid(ITEM, first), grid(FLOW_COLUMNS, flow), grid(ITEM, target), grid(ITEM, [*((title, model.get(name)) for title, name in MODEL_ROWS), ("再試行", shown(facts["retry_on_failure"])), ("自動修正", shown(facts["automatic_repair"]))]),
+        files(row["inputs"]), files(row["outputs"]), grid(STAGE_COLUMNS, [[s["name"], s["status"], s["detail"], seconds] for s, seconds in zip(row["stages"], facts["stage_seconds"], strict=True)]), "\n\n".join(exchanges),
+        grid(ITEM, [(title, code(compared[name]) if name.endswith("sha256") else shown(compared[name])) for title, name in COMPARED]) if compared["available"] else "Files to compare are missing.", f"{verdict} Tests speak for what they cover.",
+        "\n".join(reports.collapsible(p, t) for p, t in contents.items()), "\n".join(f"- {f['role']}: {code(f['path'])}" for f in [*row["inputs"], *row["outputs"]] if f["exists"]),
+    )
+    made = [f"## {i}. {title}\n\n{body}" for i, (title, body) in enumerate(zip(SECTIONS, bodies, strict=True), 1) if contents or title != "内容確認"]
+    return "\n\n".join([TITLE, *made]) + "\n"
