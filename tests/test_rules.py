@@ -132,7 +132,9 @@ def test_records(spark):
 def test_record_rules(spark):
     names = {"overall_pass": True, "granularity": "class_span", "original_measurement_scope": "class_span_design_input_fallback", "retry_performed": None, "automatic_repair_performed": None, "code_done_reason": None, "design_done_reason": None, "generated_loc": 1, "legacy_format": False}
     names |= {f"{s}_status": "passed" for s in STAGES}
-    cases = {"fine": {}, "scope": {"original_measurement_scope": "whole_source_files_fallback"}, "design failed": {"design_generation_status": "failed"}, "stopped unpassed": {"code_done_reason": "stop", "code_regeneration_status": "unknown"}, "cut short": {"code_done_reason": "length"}, "unknown": {"overall_pass": None}, "no size": {"code_done_reason": "stop", "generated_loc": None}}
+    cases = {"fine": {}, "scope": {"original_measurement_scope": "whole_source_files_fallback"}, "design failed": {"design_generation_status": "failed"},
+        "stopped unpassed": {"code_done_reason": "stop", "code_regeneration_status": "unknown"}, "cut short": {"code_done_reason": "length"}, "unknown": {"overall_pass": None},
+        "no size": {"code_done_reason": "stop", "generated_loc": None}}
     kind = {bool: "boolean", int: "int"}
     schema = "target_id string, " + ", ".join(f"{n} {kind.get(type(v), 'string')}" for n, v in (names | {"retry_performed": True, "automatic_repair_performed": True}).items())
     rows = spark.createDataFrame([(k, *(names | v).values()) for k, v in cases.items()], schema)

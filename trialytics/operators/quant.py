@@ -40,7 +40,9 @@ def prefix_counts(counted: DataFrame, value: str, *groups: str, counts: Sequence
     ahead, whole = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
     products = [F.sum(F.col(value) * F.col(c)).alias(f"_{c}_product") for c in counts if means]
     totals = ranged.groupBy(*groups, "_range").agg(*(F.sum(c).alias(f"_{c}_sum") for c in counts), *products)
-    totals = totals.withColumns({f"_{c}_ahead": F.coalesce(F.sum(f"_{c}_sum").over(ahead), F.lit(0)) for c in counts} | {f"{c}_of": F.sum(f"_{c}_sum").over(whole) for c in counts} | ({f"{c}_mean": F.try_divide(F.sum(f"_{c}_product").over(whole), F.sum(f"_{c}_sum").over(whole)) for c in counts} if means else {}))
+    totals = totals.withColumns({f"_{c}_ahead": F.coalesce(F.sum(f"_{c}_sum").over(ahead),
+        F.lit(0)) for c in counts} | {f"{c}_of": F.sum(f"_{c}_sum").over(whole) for c in counts} | ({f"{c}_mean": F.try_divide(F.sum(f"_{c}_product").over(whole),
+        F.sum(f"_{c}_sum").over(whole)) for c in counts} if means else {}))
     local = ranged.withColumns({f"_{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts})
     joined = local.alias("l").join(totals.alias("t"), _same("l", "t", ["_range", *groups]))
     made = [x for c in counts for x in ((F.col(f"_{c}_ahead") + F.col(f"_{c}_inside")).alias(f"{c}_below"), F.col(f"t.{c}_of"), *([F.col(f"t.{c}_mean")] if means else []))]

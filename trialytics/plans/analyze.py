@@ -150,7 +150,8 @@ def write_reports(rows: DataFrame, folder: str, svg: bool = True, root: str | No
         with open(at(name), "w", encoding="utf-8", newline="\n") as out:
             out.write(words)
     listed = reports.manifest((at(f) for f in [*files, *charts]), root)
-    about = {"schema_version": "1.0", "project_root": root, "generated_at_utc": reports.utc_now(), "main_target_count": made["overall"]["total"], "output_files": listed, "read_only_analysis": True, "external_commands_executed": False, "llm_called": False, "docker_called": False, "tests_called": False}
+    about = {"schema_version": "1.0", "project_root": root, "generated_at_utc": reports.utc_now(), "main_target_count": made["overall"]["total"], "output_files": listed, "read_only_analysis": True,
+        "external_commands_executed": False, "llm_called": False, "docker_called": False, "tests_called": False}
     reports.write_json(about, at("analysis_manifest.json"))
     return listed
 

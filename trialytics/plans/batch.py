@@ -32,7 +32,8 @@ READINESS = ("repository_id", "target_id", "target_name", "adoption_status", "gr
 READINESS_TITLES = {"repository_id": "repository", "target_name": "target", "adoption_status": "adoption", "granularity": "granularity", "sources": "source files", "direct_test_count": "direct tests", "expected_full_tests": "full tests", "metadata": "metadata", "execution": "execution"}
 MODEL = {"name": "qwen2.5-coder:32b", "temperature": 0, "seed": 42, "num_ctx": 8192, "num_predict": 2048, "top_k": 40, "top_p": 0.9, "repeat_penalty": 1.1, "stream": False, "generations": 1, "retry": False, "automatic_repair": False}
 COMMANDS = ("docker_image", "configure_command", "build_command", "direct_test_command", "full_test_command", "ctest_command")
-FIELDS = {"adoption_status": "string", "granularity": "string", "source_descriptor": "string", "source_files": "array<string>", "test_descriptor": "string", "test_files": "array<string>", "direct_test_count": "bigint", "direct_test_names": "array<string>", "direct_test_filter": "string", "expected_full_tests": "bigint", "notes": "string"}
+FIELDS = {"adoption_status": "string", "granularity": "string", "source_descriptor": "string", "source_files": "array<string>", "test_descriptor": "string", "test_files": "array<string>",
+    "direct_test_count": "bigint", "direct_test_names": "array<string>", "direct_test_filter": "string", "expected_full_tests": "bigint", "notes": "string"}
 
 
 def catalog_records(docs: DataFrame, columns: Mapping[str, Sequence[str]], path: str = "path", text: str = "text") -> DataFrame:

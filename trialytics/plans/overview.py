@@ -17,7 +17,9 @@ from trialytics.udf.similarity import compare
 # Documents of an experiment; files and what they are for; titles of the exchanges and stages.
 DOCUMENTS = {
     "source": "input/source_metadata.json", "run": "configs/run_config.json", "design": "raw_output/design_generation_metadata.json", "code": "raw_output/code_regeneration_metadata.json", "manifest": "evaluation/evaluation_manifest.json", "replacement": "evaluation/source_replacement.json",
-    "built": "evaluation/build_result.json", "direct": "evaluation/direct_test_result.json", "full": "evaluation/full_test_result.json", "ctest": "evaluation/ctest_result.json", "design_request": "raw_output/design_generation_request.json", "design_response": "raw_output/design_generation_response.json", "code_request": "raw_output/code_regeneration_request.json", "code_response": "raw_output/code_regeneration_response.json",
+    "built": "evaluation/build_result.json", "direct": "evaluation/direct_test_result.json", "full": "evaluation/full_test_result.json", "ctest": "evaluation/ctest_result.json",
+    "design_request": "raw_output/design_generation_request.json", "design_response": "raw_output/design_generation_response.json", "code_request": "raw_output/code_regeneration_request.json",
+    "code_response": "raw_output/code_regeneration_response.json",
 }
 ORIGINAL, REGENERATED = "backup/original_write_body.cpp", "generated/regenerated_write_body.cpp"
 INPUTS = (
@@ -46,7 +48,8 @@ def overviews(docs: DataFrame) -> DataFrame:
     below = folders(docs.select("path")).where(F.col("dir").rlike(f"^{EXPERIMENTS}/[^/]+$")).withColumn("experiment", F.substring_index("dir", "/", -1))
     held = below.join(docs, "path")
     text_of = lambda rel: F.max(F.when((F.col("rel") == rel) & (F.col("readable") | ~F.col("rel").endswith(".json")), F.col("value")))
-    gathered = held.groupBy("experiment").agg(*(text_of(rel).alias(f"_{n}") for n, rel in DOCUMENTS.items()), text_of(ORIGINAL).alias("_original"), text_of(REGENERATED).alias("_regenerated"), *(F.max(F.when(F.col("rel") == rel, F.col("sha256"))).alias(n) for n, rel in (("_original_sha256", ORIGINAL), ("_regenerated_sha256", REGENERATED))))
+    gathered = held.groupBy("experiment").agg(*(text_of(rel).alias(f"_{n}") for n, rel in DOCUMENTS.items()), text_of(ORIGINAL).alias("_original"), text_of(REGENERATED).alias("_regenerated"),
+        *(F.max(F.when(F.col("rel") == rel, F.col("sha256"))).alias(n) for n, rel in (("_original_sha256", ORIGINAL), ("_regenerated_sha256", REGENERATED))))
 
     def document(name: str) -> Column:
         doc = F.try_parse_json(f"_{name}")
@@ -85,13 +88,17 @@ def overviews(docs: DataFrame) -> DataFrame:
     one, two = text.normalized_text("_original"), text.normalized_text("_regenerated")
     both = compare(one, two)
     there = one.isNotNull() & two.isNotNull()
-    comparison = F.struct(there.alias("available"), both["exact"].alias("exact_match"), both["ignoring_space"].alias("whitespace_insensitive_match"), both["similarity"].alias("similarity_ratio"), F.when(there, text.line_count(one)).alias("original_lines"), F.when(there, text.line_count(two)).alias("regenerated_lines"), F.when(there, F.col("_original_sha256")).alias("original_sha256"), F.when(there, F.col("_regenerated_sha256")).alias("regenerated_sha256"))
+    comparison = F.struct(there.alias("available"), both["exact"].alias("exact_match"), both["ignoring_space"].alias("whitespace_insensitive_match"), both["similarity"].alias("similarity_ratio"),
+        F.when(there, text.line_count(one)).alias("original_lines"), F.when(there, text.line_count(two)).alias("regenerated_lines"), F.when(there, F.col("_original_sha256")).alias("original_sha256"),
+        F.when(there, F.col("_regenerated_sha256")).alias("regenerated_sha256"))
     path = lambda rel: F.concat_ws("/", F.lit(EXPERIMENTS), "experiment", F.lit(rel))
     string = lambda doc, name: F.when(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")) == "STRING", at(doc, name)).otherwise("")
 
     def traffic(kind: str) -> Column:
         told, ask, reply = coerce.exchange(f"{kind}_request", f"{kind}_response"), f"{kind}_request", f"{kind}_response"
-        return F.struct(F.lit(GENERATIONS[kind]).alias("stage"), path(DOCUMENTS[ask]).alias("request_path"), path(DOCUMENTS[reply]).alias("response_path"), *(told[n].alias(n) for n in ("model", "stream", "system_chars", "prompt_chars", "response_chars")), string(ask, "system").alias("system"), string(ask, "prompt").alias("prompt"), string(reply, "response").alias("response_text"))
+        return F.struct(F.lit(GENERATIONS[kind]).alias("stage"), path(DOCUMENTS[ask]).alias("request_path"), path(DOCUMENTS[reply]).alias("response_path"),
+            *(told[n].alias(n) for n in ("model", "stream", "system_chars", "prompt_chars", "response_chars")), string(ask, "system").alias("system"), string(ask, "prompt").alias("prompt"),
+            string(reply, "response").alias("response_text"))
 
     rows = rows.withColumn("stages", stages)
     return rows.select(
@@ -122,7 +129,8 @@ FILE_COLUMNS = ("役割", "パス", "行数", "サイズ", "SHA-256")
 STAGE_COLUMNS = ("工程", "結果", "詳細", "時間")
 EXCHANGE_COLUMNS = ("段階", "モデル", "system文字数", "prompt文字数", "出力文字数")
 MISSING, YES, NO = "欠落", "はい", "いいえ"
-MODEL_ROWS = (("Provider", "provider"), ("Model", "name"), ("Local model ID", "local_id"), ("Architecture", "architecture"), ("Parameters", "parameters"), ("Quantization", "quantization"), ("Ollama", "ollama_version"), *((n, n) for n in ("temperature", "seed", "num_ctx", "num_predict", "top_k", "top_p", "repeat_penalty")))
+MODEL_ROWS = (("Provider", "provider"), ("Model", "name"), ("Local model ID", "local_id"), ("Architecture", "architecture"), ("Parameters", "parameters"), ("Quantization", "quantization"),
+    ("Ollama", "ollama_version"), *((n, n) for n in ("temperature", "seed", "num_ctx", "num_predict", "top_k", "top_p", "repeat_penalty")))
 COMPARED = (("完全一致", "exact_match"), ("空白を除いた一致", "whitespace_insensitive_match"), ("文字列類似度", "similarity_ratio"), ("元コード行数", "original_lines"), ("再生成コード行数", "regenerated_lines"), ("元コードSHA-256", "original_sha256"), ("再生成コードSHA-256", "regenerated_sha256"))
 
 

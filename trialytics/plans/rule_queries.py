@@ -223,8 +223,10 @@ def record_rules(t):
     pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
     states = {f"{s}_status": F.lit("passed") for s in STAGES} | {"code_regeneration_status": F.when(k % 11 < 5, "passed").otherwise("failed"), "design_generation_status": F.when(k % 13 == 0, "unknown").otherwise("passed")}
     rows = t.orders.select(
-        k.alias("id"), pick(4, True, False, True, None).alias("overall_pass"), F.when(k % 3 == 0, "class_span").otherwise("module_files").alias("granularity"), F.when(k % 5 == 0, "whole_source_files_fallback").when(k % 5 == 1, "class_span_design_input_fallback").otherwise("legacy_backup_tree_fallback").alias("original_measurement_scope"),
-        (k % 7 == 0).alias("retry_performed"), F.lit(None).cast("boolean").alias("automatic_repair_performed"), F.when(k % 6 == 0, "stop").when(k % 6 == 1, "length").alias("code_done_reason"), F.when(k % 8 == 0, "stop").alias("design_done_reason"), F.when(k % 9 > 0, 5).alias("generated_loc"), (k % 2 == 0).alias("legacy_format"), *(v.alias(n) for n, v in states.items()),
+        k.alias("id"), pick(4, True, False, True, None).alias("overall_pass"), F.when(k % 3 == 0, "class_span").otherwise("module_files").alias("granularity"),
+        F.when(k % 5 == 0, "whole_source_files_fallback").when(k % 5 == 1, "class_span_design_input_fallback").otherwise("legacy_backup_tree_fallback").alias("original_measurement_scope"),
+        (k % 7 == 0).alias("retry_performed"), F.lit(None).cast("boolean").alias("automatic_repair_performed"), F.when(k % 6 == 0, "stop").when(k % 6 == 1, "length").alias("code_done_reason"),
+        F.when(k % 8 == 0, "stop").alias("design_done_reason"), F.when(k % 9 > 0, 5).alias("generated_loc"), (k % 2 == 0).alias("legacy_format"), *(v.alias(n) for n, v in states.items()),
     )
     return validate.violations(rows, "id", validate.record_rules()).select("id", "rule_no")
 

@@ -44,7 +44,8 @@ LEGACY_ORIGINAL, LEGACY_GENERATED = "backup/original_write_body.cpp", "generated
 RECORD = (
     "target_id", "run_id", "repository", "target_name", "experiment_directory", "config_path", "legacy_format", "result_source", "granularity", "source_files", "test_files", "expected_direct_tests", "expected_full_tests", "num_ctx", "num_predict",
     "design_done_reason", "design_prompt_eval_count", "design_eval_count", "code_done_reason", "code_prompt_eval_count", "code_eval_count", "normalization_applied", "normalization_type", "strict_format_pass", "retry_performed", "automatic_repair_performed",
-    "overall_pass", "result", "failure_stage", "failure_category", "failure_category_ja", "failure_detail", "original_loc", "original_chars", "original_measurement_scope", "generated_loc", "generated_chars", "generated_original_loc_ratio", "restored", "repository_clean", "total_recorded_elapsed_seconds", "data_quality_notes",
+    "overall_pass", "result", "failure_stage", "failure_category", "failure_category_ja", "failure_detail", "original_loc", "original_chars", "original_measurement_scope", "generated_loc",
+    "generated_chars", "generated_original_loc_ratio", "restored", "repository_clean", "total_recorded_elapsed_seconds", "data_quality_notes",
 )
 STAGE_KINDS = {"exit_code": "bigint", "timed_out": "boolean", "elapsed_seconds": "double", "tests_ran": "bigint", "tests_passed": "bigint", "tests_failed": "bigint"}
 COLUMNS = (*RECORD, *(f"{s}_{a}" for s in STAGES for a in STAGE_ATTRIBUTES))
@@ -321,7 +322,8 @@ def standard_records(docs: DataFrame, prefixes: Sequence[tuple[str, str]] = (),
     numbers = ("expected_direct_tests", "expected_full_tests", "num_ctx", "num_predict", *(f"{k}_{n}" for k in ("design", "code") for n in ("prompt_eval_count", "eval_count")))
     truths = ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean", "evaluated", "otherwise")
     values = {
-        "repository": first("config_repository", coerce.repository_of("target_id", prefixes)), "target_name": first("config_name", coerce.name_of("target_id", [p for p, _ in prefixes])), "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(False), "result_source": F.coalesce("evaluation.path", F.lit("batch/manifests fallback")),
+        "repository": first("config_repository", coerce.repository_of("target_id", prefixes)), "target_name": first("config_name", coerce.name_of("target_id", [p for p, _ in prefixes])),
+        "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(False), "result_source": F.coalesce("evaluation.path", F.lit("batch/manifests fallback")),
         "source_files": F.array_join("source_list", "; "), "test_files": F.array_join("test_list", "; "), **{n: coerce.coerce_int(n) for n in numbers}, **{n: coerce.coerce_bool(n) for n in truths},
         "told_stage": first("pipeline_stage", "other_stage"), "told_detail": first("pipeline_reason", "other_reason"),
     }
@@ -353,7 +355,8 @@ def standard_records(docs: DataFrame, prefixes: Sequence[tuple[str, str]] = (),
 def _blamed(rows: DataFrame, stopped: Mapping[str, tuple[str, str]]) -> DataFrame:
     """rows with the stage, category and detail of their failure."""
     blank = F.lit(None).cast("string")
-    row = {"overall_pass": F.col("overall_pass"), "design_reason": F.col("design_done_reason"), "code_reason": F.col("code_done_reason"), "failure_present": F.col("failure_present"), "failure_stage": F.col("pipeline_stage"), "detail": F.col("told_detail"), "told_stage": F.col("told_stage"), "direct_test_elapsed": F.col("direct_test_elapsed_seconds")}
+    row = {"overall_pass": F.col("overall_pass"), "design_reason": F.col("design_done_reason"), "code_reason": F.col("code_done_reason"), "failure_present": F.col("failure_present"),
+        "failure_stage": F.col("pipeline_stage"), "detail": F.col("told_detail"), "told_stage": F.col("told_stage"), "direct_test_elapsed": F.col("direct_test_elapsed_seconds")}
     row["failure_message"] = coerce.first_nonempty("pipeline_reason", F.left(F.col("failure_text"), F.lit(500)))
     for s in STAGES:
         row |= {f"{s}_status": F.col(f"{s}_status"), f"{s}_timed_out": F.col(f"{s}_timed_out"), f"{s}_exit": F.col(f"{s}_exit_code"), f"{s}_ran": F.coalesce(f"{s}_tests_ran", f"{s}_tests_passed", f"{s}_tests_failed")}
@@ -367,7 +370,8 @@ def _blamed(rows: DataFrame, stopped: Mapping[str, tuple[str, str]]) -> DataFram
 def _finished(rows: DataFrame) -> DataFrame:
     elapsed = [F.col(f"{s}_elapsed_seconds") for s in STAGES]
     total = F.aggregate(F.array_compact(F.array(*elapsed)), F.lit(0.0), lambda s, x: s + x)
-    made = {"result": coerce.result_label("overall_pass"), "failure_category_ja": classify.label("failure_category"), "total_recorded_elapsed_seconds": F.when(F.coalesce(*elapsed).isNotNull(), total), "generated_original_loc_ratio": F.when(F.col("original_loc") > 0, ratio("generated_loc", "original_loc"))}
+    made = {"result": coerce.result_label("overall_pass"), "failure_category_ja": classify.label("failure_category"), "total_recorded_elapsed_seconds": F.when(F.coalesce(*elapsed).isNotNull(), total),
+        "generated_original_loc_ratio": F.when(F.col("original_loc") > 0, ratio("generated_loc", "original_loc"))}
     return rows.withColumns(made).select(*COLUMNS)
 
 
@@ -385,9 +389,12 @@ def legacy_record(docs: DataFrame, legacy: Legacy) -> DataFrame:
     side = lambda c, one, two, n: F.when(c, F.col(f"{one}.{n}")).otherwise(F.col(f"{two}.{n}"))
     ok = F.col("overall_pass")
     values = {
-        "run_id": F.lit(legacy.run_id), "repository": F.lit(legacy.repository), "target_name": F.lit(legacy.target_name), "experiment_directory": F.lit(folder), "config_path": none("string"), "legacy_format": F.lit(True), "granularity": F.lit(legacy.granularity), "source_files": F.lit(""), "test_files": F.lit(""),
-        "expected_direct_tests": F.lit(legacy.expected_direct_tests).cast("bigint"), "expected_full_tests": F.lit(legacy.expected_full_tests).cast("bigint"), **{n: none("bigint") for n in ("num_ctx", "num_predict", "design_prompt_eval_count", "design_eval_count", "code_prompt_eval_count", "code_eval_count")},
-        **{n: none("string") for n in ("design_done_reason", "code_done_reason", "normalization_type", "failure_stage", "failure_detail")}, **{n: none("boolean") for n in ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean")},
+        "run_id": F.lit(legacy.run_id), "repository": F.lit(legacy.repository), "target_name": F.lit(legacy.target_name), "experiment_directory": F.lit(folder), "config_path": none("string"),
+        "legacy_format": F.lit(True), "granularity": F.lit(legacy.granularity), "source_files": F.lit(""), "test_files": F.lit(""),
+        "expected_direct_tests": F.lit(legacy.expected_direct_tests).cast("bigint"), "expected_full_tests": F.lit(legacy.expected_full_tests).cast("bigint"),
+        **{n: none("bigint") for n in ("num_ctx", "num_predict", "design_prompt_eval_count", "design_eval_count", "code_prompt_eval_count", "code_eval_count")},
+        **{n: none("string") for n in ("design_done_reason", "code_done_reason", "normalization_type", "failure_stage", "failure_detail")},
+        **{n: none("boolean") for n in ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean")},
         "failure_category": F.when(ok, "none").otherwise("unknown_failure"), "original_measurement_scope": F.when(body, "function_body_backup").otherwise("legacy_backup_tree_fallback"),
         **{f"original_{n}": side(body, "legacy_original", "legacy_backup_tree", n) for n in ("loc", "chars")}, **{f"generated_{n}": side(made, "legacy_generated", "legacy_generated_tree", n) for n in ("loc", "chars")},
         "data_quality_notes": F.concat_ws(" | ", F.when(~F.col("known"), NO_STANDARD), F.when(~body, NO_BODY), F.when(~made, NO_GENERATED)),
@@ -412,7 +419,8 @@ def pilot_records(docs: DataFrame) -> DataFrame:
     numbers = ("expected_direct_tests", "expected_full_tests", "num_ctx", "num_predict", "design_prompt_eval_count", "design_eval_count", "code_prompt_eval_count", "code_eval_count", "original_loc", "original_chars", "generated_loc", "generated_chars")
     truths = ("normalization_applied", "strict_format_pass", "retry_performed", "automatic_repair_performed", "restored", "repository_clean")
     values = {
-        "run_id": F.col("target_id"), "repository": F.lit(PILOTS), "target_name": name, "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(True), "result_source": F.coalesce("evaluation.path", F.lit("pilot failure")), "source_files": F.lit(""), "test_files": F.lit(""), "data_quality_notes": F.lit(""),
+        "run_id": F.col("target_id"), "repository": F.lit(PILOTS), "target_name": name, "experiment_directory": F.col("exp_dir"), "legacy_format": F.lit(True),
+        "result_source": F.coalesce("evaluation.path", F.lit("pilot failure")), "source_files": F.lit(""), "test_files": F.lit(""), "data_quality_notes": F.lit(""),
         "overall_pass": F.coalesce(coerce.coerce_bool("evaluated"), F.lit(False)), **{n: none("string") for n in texts}, **{n: none("bigint") for n in numbers}, **{n: none("boolean") for n in truths},
     }
     for stage in STAGES:
