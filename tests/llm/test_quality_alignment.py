@@ -16,7 +16,8 @@ from trialytics.llm.queries import tokenizer
 from trialytics.llm.tokens import byte_letters
 
 A, B = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
-ODD = [None, "", " ", "x", "  two  spaces ", "a\nb\r\nc", "<|endoftext|> <s> </s> <unk> <0x41>", "▁ under ▁score", "\0 nul \x1c\x85 ", "éÉ ñ ß 漢字 🙂👍🏽", "ﬁ ligature ½ ①", "don't we'll I'M", " lead", "tab\tand  runs   of    spaces", "é combined", "a" * 3000, "0123456789" * 30, "zero​width ﻿ bom", "same words same words same words", "\n" * 50, "x" * 10 + " " * 500 + "y"]
+ODD = [None, "", " ", "x", "  two  spaces ", "a\nb\r\nc", "<|endoftext|> <s> </s> <unk> <0x41>", "▁ under ▁score", "\0 nul \x1c\x85 ", "éÉ ñ ß 漢字 🙂👍🏽", "ﬁ ligature ½ ①", "don't we'll I'M", " lead",
+    "tab\tand  runs   of    spaces", "é combined", "a" * 3000, "0123456789" * 30, "zero​width ﻿ bom", "same words same words same words", "\n" * 50, "x" * 10 + " " * 500 + "y"]
 
 
 def texts(n, seed=1):

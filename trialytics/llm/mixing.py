@@ -148,7 +148,8 @@ def _rake_table(cells: DataFrame, sides: Sequence[str], targets: Sequence[Mappin
     return out.select(*sides, "_chance", F.when(F.col("_chance") > 0, F.lit(fraction) * F.col("_m") / F.col("_chance")).otherwise(0.0).alias("_factor")), residual
 
 
-def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id", rounds: int = 20, driver_cells: int = 200_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
+def _calibrate(docs: DataFrame, targets: Targets, fraction: float, source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, text_col: str = "text", id_col: str = "doc_id",
+    rounds: int = 20, driver_cells: int = 200_000, tolerance: float | None = None) -> tuple[DataFrame, dict[str, str]]:
     own = own_names(docs, OWN)
     sides = [own[n] for n in OWN[:3]]
     side = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))

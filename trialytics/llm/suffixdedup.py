@@ -116,7 +116,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
                 lasts.append(last)
             if rows:
                 index = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), dtype=np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(lasts))], names=found.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), dtype=np.int64)), batch.column(0).take(index),
+                    batch.column(1).take(index), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(lasts))], names=found.names)
 
     segments = cut(docs.mapInArrow(find, found), "segments")
     # written, so that the join below stands on plain exchanges, whose large partitions Spark can split
@@ -147,7 +148,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int = 64, shard_bytes:
                     else:
                         out.append((p["shard"], p["first"], p["last"], p["open"], data[p["first"] : p["last"] + length]))
                 shard, first, last, is_open, piece = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([ids[row]] * len(out), batch.column(0).type), pa.array([keys[row]] * len(out), pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(is_open, pa.bool_()), pa.array(piece, pa.binary())], names=fetched.names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([ids[row]] * len(out), batch.column(0).type), pa.array([keys[row]] * len(out), pa.binary()),
+                    pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(is_open, pa.bool_()), pa.array(piece, pa.binary())], names=fetched.names)
 
     same = F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.key") == F.col("l.key"))
     joined = docs.alias("d").join(listed.alias("l"), same).select("d.id", "d.key", "d.text", "l.parts")
@@ -199,7 +201,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     ranges = repeated_windows(rows, length, **options).groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span)), *([T.StructField("kept", T.BinaryType())] if with_kept else [])])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
+        T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span)), *([T.StructField("kept", T.BinaryType())] if with_kept else [])])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *([pa.binary()] if with_kept else [])]
