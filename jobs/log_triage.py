@@ -11,6 +11,7 @@ place is mended by the next.
     OUT/records   a row a log, partitioned by batch and repository
     OUT/counts    logs, lines and characters by repository and category, partitioned by batch
     OUT/report    pass rates by repository with Wilson's interval, over all batches (CSV)
+    OUT/owner     the stream whose checkpoint knows these batches; a run with another one is an error
 
 The report is summed from counts, a few rows a batch; texts and records are read once. A log
 that arrives again under its id replaces the earlier one in current(), not in the counts, which
@@ -32,6 +33,7 @@ import sys
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,21 @@ def _stream_path(spark: SparkSession, logs: str) -> str:
     return f"{logs.rstrip('/')[:-1]}[{name[-1]}]" if row and row[0].endswith(f"/{name}") else logs
 
 
+def _claim(spark: SparkSession, output: str, stream: str) -> None:
+    """Mark the output as the stream's own; an error if it is another's, whose batches would stand beside this one's under the same numbers."""
+    path = f"{output}/owner"
+    try:
+        held = {r[0] for r in spark.read.schema("stream string").parquet(path).collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = set()
+    if not held:
+        spark.range(1).select(F.lit(stream).alias("stream")).coalesce(1).write.mode("overwrite").parquet(path)
+    elif held != {stream}:
+        raise ValueError(f"{output} was written with another checkpoint; use that one, or a new output")
+
+
 def _into_partitions(df: DataFrame, path: str, *by: str) -> None:
     """Overwrite the partitions of df's rows and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -83,6 +100,7 @@ def run(spark: SparkSession, logs: str, output: str, checkpoint: str, config: di
 
     def step(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
+        _claim(own, output, own.sparkContext.getLocalProperty("sql.streaming.queryId"))
         seen = Observation("triage")
         rows = triage(batch, config).withColumn("batch", F.lit(number).cast("long")).observe(seen, F.count(F.lit(1)).alias("n"))
         # rebalance: files of an even size, large repositories in several

@@ -7,6 +7,7 @@ user's results of a day are a trial. The job keeps a high-water mark, the latest
 taken: a run looks for later results, and recounts the days from that of the mark, less
 late_days, on. The filter on ts reaches the Parquet scan, so earlier days aren't read. Results
 that come later than late_days are not taken; set late_days to the delay of the slowest source.
+Without the mark's folder all days are recounted.
 
     OUT/funnel    by day and stage: results by status, those that reached the stage, pass rate
                   with Wilson's interval; partitioned by day

@@ -58,6 +58,19 @@ def test_triage_takes_only_new_logs(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/report").count() == 4
 
 
+def test_triage_refuses_the_output_of_another_checkpoint(spark, tmp_path):
+    """A lost checkpoint would count its logs a second time."""
+    logs, out = str(tmp_path / "logs"), str(tmp_path / "out")
+    add(spark, LOGS, SCHEMA, logs)
+    log_triage.run(spark, logs, out, str(tmp_path / "check"))
+    before = rows(spark.read.parquet(f"{out}/records")), rows(log_triage.report(spark, out))
+    with pytest.raises(Exception, match="another checkpoint"):
+        log_triage.run(spark, logs, out, str(tmp_path / "other"))
+    assert (rows(spark.read.parquet(f"{out}/records")), rows(log_triage.report(spark, out))) == before
+    add(spark, MORE, SCHEMA, logs)
+    assert log_triage.run(spark, logs, out, str(tmp_path / "check"))["logs"] == 4
+
+
 def test_triage_mends_a_batch_that_was_cut_short(spark, tmp_path, monkeypatch):
     """The output of a batch is written, the checkpoint isn't: the batch comes again under its number."""
     logs, out, check = (str(tmp_path / n) for n in ("logs", "out", "check"))
