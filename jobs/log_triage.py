@@ -33,7 +33,6 @@ import sys
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +73,10 @@ def _stream_path(spark: SparkSession, logs: str) -> str:
 def _claim(spark: SparkSession, output: str, stream: str) -> None:
     """Mark the output as the stream's own; an error if it is another's, whose batches would stand beside this one's under the same numbers."""
     path = f"{output}/owner"
-    try:
-        held = {r[0] for r in spark.read.schema("stream string").parquet(path).collect()}
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        held = set()
+    spark.createDataFrame([], "stream string").write.mode("ignore").parquet(path)  # the folder, where it isn't there
+    held = {r[0] for r in spark.read.schema("stream string").parquet(path).collect()}
     if not held:
-        spark.range(1).select(F.lit(stream).alias("stream")).coalesce(1).write.mode("overwrite").parquet(path)
+        spark.range(1).select(F.lit(stream).alias("stream")).coalesce(1).write.mode("append").parquet(path)
     elif held != {stream}:
         raise ValueError(f"{output} was written with another checkpoint; use that one, or a new output")
 

@@ -36,7 +36,6 @@ import sys
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +52,8 @@ TRIALS = "trials long, passed long, failed long, pass_rate double, wilson_95_low
 
 def high_water(spark: SparkSession, mark: str, kind: str) -> str | None:
     """The latest time that earlier runs have taken, as text in the session's time zone; None before the first."""
-    try:
-        return spark.read.schema(f"up_to {kind}").parquet(mark).agg(F.max("up_to").cast("string")).head()[0]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    spark.createDataFrame([], f"up_to {kind}").write.mode("ignore").parquet(mark)  # the folder, where it isn't there
+    return spark.read.schema(f"up_to {kind}").parquet(mark).agg(F.max("up_to").cast("string")).head()[0]
 
 
 def judged(events: DataFrame, config: dict) -> DataFrame:

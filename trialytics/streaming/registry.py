@@ -24,8 +24,8 @@ def current(spark: SparkSession, registry_path: str, schema: T.StructType) -> Da
 
 def _rows(spark: SparkSession, registry_path: str, schema: T.StructType) -> DataFrame:
     whole = T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())])
-    # an empty write makes the folder, and nothing where it is there
-    spark.createDataFrame([], whole).write.mode("append").partitionBy(BUCKET).parquet(registry_path)
+    # the folder, where it isn't there
+    spark.createDataFrame([], whole).write.mode("ignore").partitionBy(BUCKET).parquet(registry_path)
     return spark.read.schema(whole).parquet(registry_path)
 
 
