@@ -205,6 +205,22 @@ def test_encoder_equals_tokenizer():
     assert encoder.encode(texts) == [encoder.ids(t) for t in texts]
 
 
+def test_encoding_takes_few_bytes_a_token():
+    """Arrays of a call: the ids, the chunks' ends, and no index of all tokens beside them."""
+    import tracemalloc
+
+    encoder = packing.ChunkEncoder(tokenizer("word_bpe_49k.json"))
+    texts = ["the cat, and the dog. " * 1000] * 100
+    tracemalloc.start()
+    try:
+        ids, bounds = encoder.encode_all(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (np.diff(bounds) == bounds[0]).all() and bounds[0] == len(encoder.ids(texts[0])) // 4 and ids[: bounds[0]].tobytes() == encoder.ids(texts[0]) == ids[-bounds[0] :].tobytes()
+    assert peak < 24 * len(ids)
+
+
 def test_sketches():
     maker = fingerprints.BottomK(64, 5)
     a, b = prose(300, 1).encode(), prose(300, 2).encode()

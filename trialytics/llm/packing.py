@@ -23,6 +23,7 @@ no rows; further columns are ignored. Very long texts are cut over as many seque
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,8 @@ from trialytics.session import prepare
 
 #: Characters that Arrow takes for white space and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Chunks whose ids are put in place at once.
+GATHERED = 1 << 16
 #: A word of letters below U+0250 (in normal form C; but for one whose lower case is two), alone or before a mark.
 WORD_CHUNK = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,!?;:]?$"
 
@@ -120,10 +123,15 @@ class ChunkEncoder:
         chunks = split.flatten().dictionary_encode()
         pool, start, size = self.pool(chunks.dictionary)
         index = chunks.indices.to_numpy(zero_copy_only=False)
-        sizes = size[index]
-        ends = np.cumsum(sizes)
-        ids = pool[np.repeat(start[index] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(size[index])
         bounds = np.append(0, ends)[split.offsets.to_numpy()[1:]]
+        ids = np.empty(ends[-1] if len(ends) else 0, dtype="<u4")
+        for at in range(0, len(index), GATHERED):
+            part = index[at : at + GATHERED]
+            sizes = size[part]
+            own = np.cumsum(sizes)
+            end = int(ends[at + len(part) - 1])
+            ids[end - int(own[-1]) : end] = pool[np.repeat(start[part] - (own - sizes), sizes) + np.arange(own[-1])]
         if odd:
             parts = np.split(ids, bounds[:-1])
             for i in odd:
@@ -259,7 +267,7 @@ class Packer:
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, sentence_cut: int = 4, hard_cut: int = 64,
-    sequence_cost: int = 2, block_tokens: int = 1 << 20, block_chars: int = 1 << 24, with_ids: bool = False) -> DataFrame:
+    sequence_cost: int = 2, block_tokens: int = 1 << 20, block_chars: int = 1 << 22, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids the ids.
 
     See the module's docstring for the method and for what becomes of nulls and edge cases.
@@ -276,6 +284,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id
 
         from trialytics.llm import packing  # by name, so that the worker's own module keeps the encoders
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         encoder = packing.encoder_of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId(), seq_len, encoder.sentence_ends(), sentence_cut, hard_cut, sequence_cost)
         id_type = None
