@@ -56,6 +56,42 @@ def test_similarity_pairs_compares_all_neighbours(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["similarity_pairs"](spark, str(tmp_path)).collect())) == want
 
 
+def test_similarity_of_many_pairs_takes_few_calls(monkeypatch):
+    """Pairs are matched together, with the standard library's ratios; the calls a pair don't grow with its matching blocks."""
+    import random
+    import sys
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    from trialytics.udf import similarity
+
+    rng = random.Random(9)
+    left, right = [], []
+    for _ in range(300):
+        letters = rng.choice(("abcdefgh", "aé日😀b ", "abcdefghijklmnopqrstuvwxyz .,"))
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 60, 199, 200, 199, 150, 700)))) for _ in range(2))
+        at = rng.randint(0, len(a))
+        left.append(a)
+        right.append(rng.choice((b, b, a[at:] + b[:30] + a[:at], a[:at] + b + a[at:], a)))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = similarity.similarity.func(pd.Series(left), pd.Series(right))
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == want and calls < 180 * len(left)  # 131; 241 pair by pair
+    for together in (0, 2000):  # each alone, a few at once
+        monkeypatch.setattr(similarity, "TOGETHER", together)
+        assert similarity.ratios([None, *left, "x"], ["x", *right, None]) == [None, *want, None]
+
+
 def rows_of(spark, name, key):
     return {r[key]: r for r in QUERIES[name](spark, FOLDER).collect()}
 
