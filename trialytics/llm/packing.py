@@ -267,7 +267,7 @@ class Packer:
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, sentence_cut: int = 4, hard_cut: int = 64,
-    sequence_cost: int = 2, block_tokens: int = 1 << 20, block_chars: int = 1 << 22, with_ids: bool = False) -> DataFrame:
+    sequence_cost: int = 2, block_tokens: int = 1 << 20, block_chars: int = 1 << 23, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids the ids.
 
     See the module's docstring for the method and for what becomes of nulls and edge cases.
